@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, source_mix
+from . import chat_format, quality_rules, simhash, source_mix
 
 _MODULES = {
     "op1_source_mix": source_mix,
+    "op2_simhash_dedup": simhash,
     "op7_chat_format": chat_format,
     "op9_quality_rules": quality_rules,
 }
