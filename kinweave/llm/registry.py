@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, simhash, source_mix
+from . import chat_format, embedding_dedup, quality_rules, simhash, source_mix
 
 _MODULES = {
     "op1_source_mix": source_mix,
     "op2_simhash_dedup": simhash,
+    "op4_embedding_dedup": embedding_dedup,
     "op7_chat_format": chat_format,
     "op9_quality_rules": quality_rules,
 }
