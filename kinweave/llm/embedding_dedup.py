@@ -92,7 +92,8 @@ def links(classes: DataFrame, model: list, threshold: float = THRESHOLD) -> Data
     probes = coded.select("label", F.col("c").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"), F.explode(table).alias("k"))
     probes = probes.select("label", "a", "na", "ca", F.col("k.t").alias("t"), F.col("k.s").alias("s0"), F.explode(flips).alias("flip"))
     probes = probes.select("label", "a", "na", "ca", "t", F.col("s0").bitwiseXOR(F.col("flip")).alias("s"))
-    pairs = probes.join(index, ["label", "t", "s"]).filter("a < b")
+    # Exploded rows look small to the planner: without the hint it would broadcast the index, which grows with the input.
+    pairs = probes.join(index.hint("merge"), ["label", "t", "s"]).filter("a < b")
     apart = sum(F.bit_count(F.col("ca")[r].bitwiseXOR(F.col("cb")[r])) for r in range(len(model)))
     # A pair is kept in the first table in which it meets.
     first = F.lit(len(spans))

@@ -101,7 +101,7 @@ def links(classes: DataFrame) -> DataFrame:
     a = few.select("t", "ka", "kb", F.col("fp").alias("fp"), F.col("d").alias("da"))
     b = few.select("t", "ka", "kb", F.col("fp").alias("other"), F.col("d").alias("db"))
     gap = F.greatest(*[F.abs(F.get("da", F.lit(k)) - F.get("db", F.lit(k))) for k in range(REFERENCES)])
-    pairs = a.join(b, ["t", "ka", "kb"]).filter((F.col("fp") < F.col("other")) & (gap <= RADIUS))
+    pairs = a.join(b.hint("merge"), ["t", "ka", "kb"]).filter((F.col("fp") < F.col("other")) & (gap <= RADIUS))
     pairs = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select("fp", "other")
     # Local references in large buckets: the member itself and its neighbours in the blocks that may differ.
     free = [[0] + [_signed(1 << (BLOCK_BITS * b + k)) for b in range(BLOCKS) if b not in t for k in range(BLOCK_BITS)] for t in tables]
