@@ -19,6 +19,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character costs below the least score.
 UNKNOWN_PENALTY = 10.0
+#: Units up to this length are merged by scanning.
+SHORT = 48
 #: Entries that a worker's memo holds before it starts anew.
 MEMO = 400_000
 
@@ -127,8 +129,30 @@ class Pieces:
             out += self.fallback(p) if i is None else [i]
         return out
 
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Piece -> place of its score, 0 the best; equal scores share a place."""
+        place = {s: k for k, s in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        return {p: place[self.scores[i]] for p, i in self.ids.items()}
+
     def merge(self, unit: str) -> list[str]:
         """BPE: the adjacent pair whose union is the best piece is joined, the leftmost of equals, as long as one is."""
+        if len(unit) > SHORT:
+            return self._merge_long(unit)
+        parts, rank, never = list(unit), self.ranks.get, len(self.pieces)
+        costs = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
+        while costs and (least := min(costs)) < never:
+            i = costs.index(least)
+            parts[i] += parts.pop(i + 1)
+            costs.pop(i)
+            if i:
+                costs[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(costs):
+                costs[i] = rank(parts[i] + parts[i + 1], never)
+        return parts
+
+    def _merge_long(self, unit: str) -> list[str]:
+        """merge() with a heap, for units whose length squared would tell."""
         n, score = len(unit), self.order
         start, after, before, end = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(s[0], i, i + 2) for i in range(n - 1) if (s := score.get(unit[i : i + 2]))]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, quality_rules, simhash, source_mix
+from . import chat_format, embedding_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, token_counts
 
 _MODULES = {
     "op1_source_mix": source_mix,
     "op2_simhash_dedup": simhash,
+    "op3_sentencepiece": sentencepiece_codec,
     "op4_embedding_dedup": embedding_dedup,
+    "op6_token_counts": token_counts,
     "op7_chat_format": chat_format,
     "op9_quality_rules": quality_rules,
 }
