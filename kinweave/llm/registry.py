@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, token_counts
+from . import chat_format, embedding_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, token_counts, toxicity, url_filter
 
 _MODULES = {
     "op1_source_mix": source_mix,
     "op2_simhash_dedup": simhash,
     "op3_sentencepiece": sentencepiece_codec,
     "op4_embedding_dedup": embedding_dedup,
+    "op5_url_filter": url_filter,
     "op6_token_counts": token_counts,
     "op7_chat_format": chat_format,
+    "op8_toxicity": toxicity,
     "op9_quality_rules": quality_rules,
 }
 
