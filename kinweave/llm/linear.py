@@ -30,6 +30,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, ridge: float, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """(weights, weights of the dense extra columns, intercept) of a ridge logistic regression on labels from 0 to 1, by accelerated gradient steps. A sample of one class gives a constant."""
     n = len(y)
+    y = np.clip(y, 1e-3, 1 - 1e-3) if n else y
     if n == 0 or y.min() == y.max():
         share = float(y.mean()) if n else 0.0
         return np.zeros(x.shape[1]), np.zeros(extra.shape[1]), float(np.log((share + 1e-3) / (1 - share + 1e-3)))

@@ -19,6 +19,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character costs below the least score.
 UNKNOWN_PENALTY = 10.0
+#: Parts of a text longer than this are cut into the smallest units.
+WIDE = 40
 #: Units up to this length are merged by scanning.
 SHORT = 48
 #: Entries that a worker's memo holds before it starts anew.
@@ -103,20 +105,29 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.ids))
 
+    @cached_property
+    def longer(self) -> set[str]:
+        """The characters of longer pieces, but for the blank."""
+        return {c for p in self.ids if len(p) > 1 for c in p} - {BLANK}
+
     @cached_property
     def unit(self) -> re.Pattern:
         """Units: no piece reaches from one into the next. Blanks with the word after them, or one character that is in no longer piece."""
-        inner = {c for p in self.ids if len(p) > 1 for c in p} - {BLANK}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("pieces with inner blanks are not supported")
-        known = "".join(map(re.escape, sorted(inner)))
+        known = "".join(map(re.escape, sorted(self.longer)))
         return re.compile(f"{BLANK}+[{known}]*|[{known}]+|(?s:.)" if known else f"{BLANK}+|(?s:.)")
 
     def units(self, text: str) -> list[str]:
-        """The units of a text, in order; joined they give the escaped text."""
+        """Units of a text, in order, some of them empty; joined they give the escaped text."""
         if not text:
             return []
-        return self.unit.findall(BLANK * self.dummy_prefix + text.replace(" ", BLANK))
+        prefix = BLANK * self.dummy_prefix
+        if "  " in text or "\0" in text or BLANK in text or text[0] == " " or "\n" in self.longer:
+            return self.unit.findall(prefix + text.replace(" ", BLANK))
+        # Single blanks and line feeds only: cut before each blank and round each line feed; other characters without longer pieces may stay inside a unit.
+        parts = (prefix + text.replace(" ", "\0" + BLANK).replace("\n", "\0\n\0")).split("\0")
+        return parts if max(map(len, parts)) <= WIDE else [u for p in parts for u in (self.unit.findall(p) if len(p) > WIDE else (p,))]
 
     def fallback(self, char: str) -> list[int]:
         """The ids of a character that is no piece."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, token_counts, toxicity, url_filter
+from . import chat_format, embedding_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, source_mix, token_counts, toxicity, url_filter
 
 _MODULES = {
     "op1_source_mix": source_mix,
@@ -14,6 +14,7 @@ _MODULES = {
     "op7_chat_format": chat_format,
     "op8_toxicity": toxicity,
     "op9_quality_rules": quality_rules,
+    "op10_quality_classifier": quality_classifier,
 }
 
 

@@ -28,14 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .pieces import BLANK, BPE, MEMO, MODEL, UNKNOWN_PENALTY, Pieces
+from .pieces import BLANK, BPE, MODEL, UNKNOWN_PENALTY, Pieces
 
 #: Units in the broadcast table, at most.
-HOT = 300_000
+HOT = 200_000
 #: Characters of a unit in the lattice, at most: cut points are bits of one long.
 LONGEST = 60
 #: Units that a counting task holds before it passes them on.
-FLUSH = 200_000
+FLUSH = 100_000
+
+#: Rarer units that a worker remembers.
+RARE = 50_000
 
 _LOADED: dict = {}
 
@@ -143,12 +146,27 @@ def encode_units(units: DataFrame, model: Pieces) -> DataFrame:
     return df.select("unit", back.alias("ids"))
 
 
+class _Spelled(dict):
+    """Unit -> its ids as bytes; units that aren't there are encoded, and some of them remembered."""
+
+    def __init__(self) -> None:
+        self.model, self.rare = None, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.rare.get(unit)
+        if found is None:
+            if len(self.rare) >= RARE:
+                self.rare.clear()
+            found = self.rare[unit] = np.array(self.model.encode_unit(unit), np.int32).tobytes()
+        return found
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: Pieces | None = None, hot: int = HOT) -> DataFrame:
     """docs with the token ids of each text in column out (array<int>)."""
     model = model or Pieces.read(MODEL)
     spark = docs.sparkSession
     counts = common.saved(unit_counts(docs, model, text))
-    units = frequent(counts.filter(F.char_length("unit") <= LONGEST), hot).select("unit")
+    units = frequent(counts.filter(F.char_length("unit").between(1, LONGEST)), hot).select("unit")
     table = encode_units(units, model).toArrow().combine_chunks()
     common.discard(counts)
     shared = spark.sparkContext.broadcast((model, table.column("unit").to_pylist(), _flat(table.column("ids"))))
@@ -159,30 +177,20 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: Pieces
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, names, (offsets, values) = shared.value
         if _LOADED.get("names") is not names:
-            known = {}
+            known = _Spelled()
             for u, lo, hi in zip(names, offsets, offsets[1:]):
                 part = values[lo:hi]
                 if (part < 0).any():
                     part = np.array([y for x in part.tolist() for y in ([x] if x >= 0 else model.fallback(chr(-x)))], np.int32)
                 known[u] = part.tobytes()
-            _LOADED.update(names=names, known=known, rare={})
-        known, rare = _LOADED["known"], _LOADED["rare"]
-
-        def spelled(u: str) -> bytes:
-            b = known.get(u)
-            if b is None:
-                b = rare.get(u)
-                if b is None:
-                    if len(rare) >= MEMO // 2:
-                        rare.clear()
-                    b = rare[u] = np.array(model.encode_unit(u), np.int32).tobytes()
-            return b
-
+            _LOADED.update(names=names, known=known)
+        known = _LOADED["known"]
+        known.model = model
         for batch in batches:
             texts = batch.column(place)
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256).to_pylist()
-                coded = [None if x is None else b"".join(map(spelled, model.units(x))) for x in part]
+                coded = [None if x is None else b"".join(map(known.__getitem__, model.units(x))) for x in part]
                 ends = np.cumsum([0] + [len(x or b"") // 4 for x in coded]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x or b"" for x in coded), np.int32)), mask=pa.array([x is None for x in coded]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, 256).columns, ids], names=[*names_in, out])
