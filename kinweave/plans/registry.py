@@ -1,13 +1,374 @@
-"""Queries over the star-schema tables, by name, with their DuckDB oracles."""
+"""Queries over the star-schema tables, by name, with their DuckDB oracles.
+
+Graph queries run over the pedigree that sources.pedigree computes from customer."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kinship_terms as K
+from ..functions import text as X
+from ..operators import genealogy as G
+from ..operators import metrics, paths, scoring, transform
+from ..operators import questions as Q
+from ..sources.pedigree import PEDIGREE, persons
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, build, sql: str | None = None) -> None:
+    QUERIES[name] = build
+    if sql:
+        ORACLES[name] = sql
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _graph(build):
+    """A query on (persons, edges)."""
+    return lambda spark, d: build(persons(spark, d))
+
+
+# --- SQL blocks -----------------------------------------------------------------------------
+
+_PERSON = "person AS (" + PEDIGREE.format(customer="customer") + ")"
+_SIB = """sib AS (SELECT DISTINCT a.id AS src, b.id AS dst, b.sex FROM person a JOIN person b
+  ON a.id <> b.id AND (a.mother_id = b.mother_id OR a.father_id = b.father_id)
+  WHERE a.mother_id IS NOT NULL AND a.father_id IS NOT NULL AND b.mother_id IS NOT NULL AND b.father_id IS NOT NULL)"""
+_PAR = """par AS (SELECT id, sex, mother_id AS parent, 'Mother' AS who, 'Maternal' AS side FROM person WHERE mother_id IS NOT NULL
+  UNION ALL SELECT id, sex, father_id, 'Father', 'Paternal' FROM person WHERE father_id IS NOT NULL)"""
+_PE = """pe AS (SELECT id AS src, 'has' || who AS pred, parent AS dst FROM par UNION ALL SELECT id, 'hasParent', parent FROM par
+  UNION ALL SELECT parent, 'hasChild', id FROM par UNION ALL SELECT parent, CASE sex WHEN 'M' THEN 'hasSon' ELSE 'hasDaughter' END, id FROM par)"""
+_SP = """sp AS (SELECT id AS src, 'hasSpouse' AS pred, spouse_id AS dst FROM person WHERE spouse_id IS NOT NULL
+  UNION ALL SELECT id, CASE sex WHEN 'M' THEN 'hasWife' ELSE 'hasHusband' END, spouse_id FROM person WHERE spouse_id IS NOT NULL)"""
+_SE = "se AS (SELECT src, 'hasSibling' AS pred, dst FROM sib UNION ALL SELECT src, CASE sex WHEN 'M' THEN 'hasBrother' ELSE 'hasSister' END, dst FROM sib)"
+_GP = """gg AS (SELECT a.id AS src, a.side, lower(b.who) AS who, b.parent AS dst FROM par a JOIN par b ON a.parent = b.id),
+gp AS (SELECT src, 'has' || side || 'Grand' || who AS pred, dst FROM gg UNION SELECT src, 'hasGrand' || who, dst FROM gg
+  UNION SELECT src, 'hasGrandparent', dst FROM gg UNION SELECT dst, 'hasGrandchild', src FROM gg)"""
+_AU = """ps AS (SELECT p.id AS src, p.side, s.dst, s.sex FROM par p JOIN sib s ON s.src = p.parent),
+au AS (SELECT src, CASE sex WHEN 'M' THEN 'hasUncle' ELSE 'hasAunt' END AS pred, dst FROM ps
+  UNION SELECT src, 'has' || side || CASE sex WHEN 'M' THEN 'Uncle' ELSE 'Aunt' END, dst FROM ps)"""
+_CL = """cl0 AS (SELECT id, id AS anc, 0 AS dist FROM person UNION SELECT c.id, p.parent, c.dist + 1 FROM cl0 c JOIN par p ON p.id = c.anc WHERE c.dist < {depth}),
+cl AS (SELECT id, anc, min(dist) AS dist FROM cl0 GROUP BY ALL)"""
+_MR = """mr AS (SELECT a, b, mrca, da, db FROM (SELECT x.id AS a, y.id AS b, x.anc AS mrca, x.dist AS da, y.dist AS db,
+  row_number() OVER (PARTITION BY x.id, y.id ORDER BY x.dist + y.dist, x.anc) AS k FROM cl x JOIN cl y ON x.anc = y.anc AND x.id <> y.id) WHERE k = 1)"""
+_CO = """co AS (SELECT m.a AS src, m.b AS dst, 1 AS degree,
+  CASE WHEN (am.mother_id = m.mrca OR am.father_id = m.mrca) = (bm.mother_id = m.mrca OR bm.father_id = m.mrca) THEN 'parallel' ELSE 'cross' END AS type
+  FROM mr m JOIN person a ON a.id = m.a JOIN person b ON b.id = m.b JOIN person am ON am.id = a.mother_id JOIN person bm ON bm.id = b.mother_id WHERE m.da = 2 AND m.db = 2)"""
+
+
+def _sql(select: str, *blocks: str, depth: int = 2) -> str:
+    return "WITH RECURSIVE " + ", ".join([_PERSON, *blocks]).replace("{depth}", str(depth)) + " " + select
+
+
+# --- relations ------------------------------------------------------------------------------
+
+_E = (_PAR, _PE, _SP, _SIB, _SE)
+_ALL = (*_E, _GP, _AU)
+_add("kin_parent_edges", _graph(G.parent_edges), _sql("SELECT * FROM pe", _PAR, _PE))
+_add("kin_spouse_edges", _graph(G.spouse_edges), _sql("SELECT * FROM sp", _SP))
+_add("kin_siblings", _graph(G.siblings), _sql("SELECT * FROM sib", _SIB))
+_add("kin_brothers_sisters", _graph(G.sibling_edges), _sql("SELECT * FROM se", _SIB, _SE))
+_add("kin_grandparents", _graph(G.grandparent_edges), _sql("SELECT * FROM gp", _PAR, _GP))
+_add("kin_aunts_uncles", _graph(G.aunt_uncle_edges), _sql("SELECT * FROM au", _PAR, _SIB, _AU))
+_add("kin_edges_basic", _graph(lambda p: G.basic_edges(p).groupBy("pred").agg(F.count("*").alias("n"))), _sql("SELECT pred, count(*) AS n FROM (SELECT * FROM pe UNION ALL SELECT * FROM sp UNION ALL SELECT * FROM se UNION ALL SELECT * FROM gp UNION ALL SELECT * FROM au) GROUP BY pred", *_ALL))
+_add("ancestor_closure", _graph(lambda p: G.closure(p, 4)), _sql("SELECT * FROM cl", _PAR, _CL, depth=4))
+_add("mrca_pairs", _graph(lambda p: G.mrca(p, 2)), _sql("SELECT * FROM mr", _PAR, _CL, _MR))
+_add("cousins_typed", _graph(lambda p: G.cousins(p, 2)), _sql("SELECT * FROM co", _PAR, _CL, _MR, _CO))
+for _line, _name in (("mother_id", "matri"), ("father_id", "patri")):
+    _add(f"clan_{_name}", _graph(lambda p, line=_line: G.clans(p, line)), _sql(f"SELECT id, founder FROM ln WHERE up IS NULL", f"ln AS (SELECT id, id AS founder, {_line} AS up FROM person UNION ALL SELECT l.id, p.id, p.{_line} FROM ln l JOIN person p ON p.id = l.up)"))
+for _sys, _line, _other, _a, _b in (("crow", "mother_id", "father_id", "sameMatriclan", "fathersMatriclan"), ("omaha", "father_id", "mother_id", "samePatriclan", "mothersPatriclan")):
+    _add(
+        f"clan_pairs_{_sys}",
+        _graph(lambda p, s=_sys: G.clan_edges(p, s).groupBy("src", "pred").agg(F.count("*").alias("n"), F.sum("dst").alias("sum_dst"))),
+        _sql(
+            f"""SELECT src, pred, count(*) AS n, sum(dst)::BIGINT AS sum_dst FROM (
+            SELECT s.id AS src, CASE WHEN d.founder = c.founder THEN '{_a}' ELSE '{_b}' END AS pred, d.id AS dst
+            FROM person s JOIN clan c ON c.id = s.id JOIN clan f ON f.id = s.{_other} JOIN clan d ON d.id <> s.id AND (d.founder = c.founder OR d.founder = f.founder)) GROUP BY ALL""",
+            f"ln AS (SELECT id, id AS founder, {_line} AS up FROM person UNION ALL SELECT l.id, p.id, p.{_line} FROM ln l JOIN person p ON p.id = l.up), clan AS (SELECT id, founder FROM ln WHERE up IS NULL)",
+        ),
+    )
+_KIN = {
+    "hawaiian": "SELECT src, 'hasClassificatorySibling' AS pred, dst FROM co",
+    "iroquois": "SELECT src, unnest(CASE type WHEN 'parallel' THEN ['hasParallelCousin', 'hasClassificatorySibling'] ELSE ['hasCrossCousin'] END) AS pred, dst FROM co",
+    "dravidian": "SELECT src, unnest(CASE type WHEN 'parallel' THEN ['hasParallelCousin', 'hasClassificatorySibling'] ELSE ['hasCrossCousin', 'hasPotentialSpouse'] END) AS pred, dst FROM co",
+}
+_CPAR = " UNION SELECT src, 'hasClassificatoryParent', dst FROM ps WHERE (side = 'Maternal') = (sex = 'F')"
+_CROSS = " UNION SELECT src, CASE sex WHEN 'M' THEN '{m}' ELSE '{f}' END, dst FROM ps WHERE (side = 'Maternal') = (sex = 'M')"
+_REST = {"hawaiian": _CPAR, "iroquois": _CPAR + _CROSS.format(m="hasCrossUncle", f="hasCrossAunt"), "dravidian": _CPAR + _CROSS.format(m="hasCrossUncle", f="hasCrossAunt") + _CROSS.format(m="hasMama", f="hasAthai")}
+for _sys in _KIN:
+    _add(f"kin_edges_{_sys}", _graph(lambda p, s=_sys: G.kin_edges(p, s, 2)), _sql(_KIN[_sys] + _REST[_sys], _PAR, _SIB, _AU, _CL, _MR, _CO))
+
+
+def _candidates(p: DataFrame) -> DataFrame:
+    """Men and women whose ids differ by ten at most: a band join through blocks of eleven ids."""
+    block = F.floor(F.col("id") / 11)
+    men = p.filter("sex = 'M'").select(F.col("id").alias("a"), F.explode(F.array(block - 1, block, block + 1)).alias("k"))
+    return men.join(p.filter("sex = 'F'").select(F.col("id").alias("b"), block.alias("k")), "k").filter("abs(a - b) <= 10").select("a", "b")
+
+
+_LN = "ln{t} AS (SELECT id, id AS founder, {l} AS up FROM person UNION ALL SELECT l.id, p.id, p.{l} FROM ln{t} l JOIN person p ON p.id = l.up), clan{t} AS (SELECT id, founder FROM ln{t} WHERE up IS NULL)"
+_RULES = {
+    "eskimo": "(da = 2 AND db = 2)", "hawaiian": "(da >= 2 AND db >= 2)", "sudanese": "(da <= 2 AND db <= 2)", "iroquois": "type = 'parallel'", "dravidian": "type = 'parallel'",
+    "crow": "(ca.founder = cb.founder OR ca.founder = fb.founder OR cb.founder = fa.founder)", "omaha": "(ca.founder = cb.founder OR ca.founder = fb.founder OR cb.founder = fa.founder)",
+}
+for _sys, _rule in _RULES.items():
+    _own, _oth = ("mother_id", "father_id") if _sys != "omaha" else ("father_id", "mother_id")
+    _add(
+        f"marriage_ok_{_sys}",
+        _graph(lambda p, s=_sys: G.marriage_allowed(_candidates(p), p, s, 2)),
+        _sql(
+            f"""SELECT x.a, x.b, NOT (coalesce({_rule}, false) OR EXISTS (SELECT 1 FROM sib WHERE src = x.a AND dst = x.b)
+            OR EXISTS (SELECT 1 FROM par WHERE (id = x.a AND parent = x.b) OR (id = x.b AND parent = x.a))) AS allowed
+            FROM x LEFT JOIN mr ON mr.a = x.a AND mr.b = x.b LEFT JOIN co ON co.src = x.a AND co.dst = x.b
+            LEFT JOIN clan1 ca ON ca.id = x.a LEFT JOIN clan1 cb ON cb.id = x.b LEFT JOIN clan1 fa ON fa.id = x.pa LEFT JOIN clan1 fb ON fb.id = x.pb""",
+            _PAR, _SIB, _CL, _MR, _CO, _LN.format(t=1, l=_own),
+            f"x AS (SELECT a.id AS a, b.id AS b, a.{_oth} AS pa, b.{_oth} AS pb FROM person a JOIN person b ON a.sex = 'M' AND b.sex = 'F' AND abs(a.id - b.id) <= 10)",
+        ),
+    )
+
+# --- paths ----------------------------------------------------------------------------------
+
+
+def _walk(path: str) -> str:
+    """Blocks h0..hn of a path's frontier."""
+    out = ["h0 AS (SELECT id AS anchor, id AS node FROM person)", "edge AS (SELECT * FROM pe UNION ALL SELECT * FROM sp UNION ALL SELECT * FROM se)"]
+    for k, c in enumerate(path.split("."), 1):
+        out.append(f"h{k} AS (SELECT DISTINCT h.anchor, e.dst AS node FROM h{k - 1} h JOIN edge e ON e.src = h.node AND e.pred = '{K.PREDICATES[c]}')")
+    return ", ".join(out)
+
+
+def _edges(p: DataFrame) -> DataFrame:
+    return G.parent_edges(p).unionByName(G.spouse_edges(p)).unionByName(G.sibling_edges(p))
+
+
+for _path in ("F.B", "F.B.C", "F.F.B.C", "F.F.B.C.C", "F.F.B.C.C.C"):
+    _n = _path.count(".") + 1
+    _add(f"path_{_n}hop", _graph(lambda p, x=_path: paths.traverse(_edges(p), p, x)), _sql(f"SELECT * FROM h{_n}", *_E, _walk(_path)))
+_TWO = [p for p in K.BIO_PATHS if p.count(".") == 1]
+_UNION2 = " UNION ALL ".join(f"SELECT a.anchor, '{p}' AS path, e.dst AS node FROM (SELECT DISTINCT src AS anchor, dst AS node FROM edge WHERE pred = '{K.PREDICATES[p.split('.')[0]]}') a JOIN (SELECT DISTINCT src, dst FROM edge WHERE pred = '{K.PREDICATES[p.split('.')[1]]}') e ON e.src = a.node" for p in _TWO)
+_T2 = f"edge AS (SELECT * FROM pe UNION ALL SELECT * FROM sp UNION ALL SELECT * FROM se), t2 AS (SELECT DISTINCT * FROM ({_UNION2}))"
+_add("paths_2hop_all", _graph(lambda p: paths.traverse_all(_edges(p), p, _TWO)), _sql("SELECT * FROM t2", *_E, _T2))
+_add("paths_at_distance", _graph(lambda p: paths.at_distance(_edges(p), p, list(K.BIO_PATHS), 2).withColumn("paths", F.concat_ws(",", "paths"))), _sql("SELECT anchor, node, string_agg(path, ',' ORDER BY path) AS paths FROM t2 WHERE anchor <> node GROUP BY ALL", *_E, _T2))
+_W3 = """wk AS (SELECT DISTINCT anchor, 1 AS hop, src, pred, dst FROM h0 JOIN edge ON src = node AND pred = 'hasFather'
+  UNION ALL SELECT DISTINCT anchor, 2, src, pred, dst FROM h1 JOIN edge ON src = node AND pred = 'hasBrother'
+  UNION ALL SELECT DISTINCT anchor, 3, src, pred, dst FROM h2 JOIN edge ON src = node AND pred = 'hasChild')"""
+_add("context_facts", _graph(lambda p: paths.context_edges(_edges(p), p, "F.B.C")), _sql("SELECT * FROM wk", *_E, _walk("F.B.C"), _W3))
+_add(
+    "proof_size",
+    _graph(lambda p: paths.proof(_edges(p), p, "F.B.C")),
+    _sql(
+        """SELECT f.anchor, f.context, (f.n + q.persons)::BIGINT AS size FROM (SELECT anchor, string_agg('P' || src || '''s ' || lower(replace(pred, 'has', '')) || ' is P' || dst || '.', ' ' ORDER BY hop, src, dst, pred) AS context, sum(n) AS n
+        FROM (SELECT anchor, src, pred, dst, min(hop) AS hop, count(*) AS n FROM wk GROUP BY ALL) GROUP BY anchor) f
+        JOIN (SELECT anchor, count(DISTINCT x) AS persons FROM (SELECT anchor, src AS x FROM wk UNION ALL SELECT anchor, dst FROM wk) GROUP BY anchor) q USING (anchor)""",
+        *_E, _walk("F.B.C"), _W3,
+    ),
+)
+
+
+def _values(rows: list[tuple]) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+_BIO = f"bio(path, bio_term) AS (VALUES {_values(list(K.BIO_PATHS.items()))})"
+for _sys in K.SYSTEMS:
+    _rules = [(p, t, k) for s, p, t, k in K.overrides() if s == _sys] or [("none", "none", "none")]
+    _add(
+        f"cultural_terms_{_sys}",
+        _graph(lambda p, s=_sys: K.resolve_terms(paths.traverse_all(_edges(p), p, _TWO).withColumn("system", F.lit(s)), p.sparkSession).groupBy("system", "path", "bio_term", "kin_term", "has_override", "term").agg(F.count("*").alias("n"))),
+        _sql(f"SELECT '{_sys}' AS system, t2.path, bio_term, kin_term, kin_term IS NOT NULL AS has_override, coalesce(kin_term, bio_term) AS term, count(*) AS n FROM t2 JOIN bio USING (path) LEFT JOIN ov USING (path) GROUP BY ALL", *_E, _T2, _BIO, f"ov(path, kin_term, kin_predicate) AS (VALUES {_values(_rules)})"),
+    )
+
+# --- questions ------------------------------------------------------------------------------
+
+_joined = lambda df, *cols: df.withColumns({c: F.concat_ws("|", c) for c in cols})
+_EDGE = "edge AS (SELECT * FROM pe UNION ALL SELECT * FROM sp UNION ALL SELECT * FROM se)"
+_add(
+    "cat1_lookup",
+    _graph(lambda p: _joined(Q.fact_questions(_edges(p)), "names")),
+    _sql(
+        """SELECT anchor, pred AS template, replace(q, '{name}', 'P' || anchor) AS question_text, CASE kind WHEN 'person' THEN all_names[1] ELSE array_to_string(all_names, '|') END AS names,
+        'P' || anchor || CASE kind WHEN 'person' THEN '''s ' || lower(replace(pred, 'has', '')) || ' is ' || all_names[1] || '.' ELSE ' has the following ' || lower(replace(pred, 'has', '')) || 's: ' || array_to_string(all_names, ', ') || '.' END AS context
+        FROM (SELECT src AS anchor, pred, q, kind, list(DISTINCT 'P' || dst ORDER BY 'P' || dst) AS all_names FROM edge JOIN t USING (pred) GROUP BY ALL)""",
+        *_E, _EDGE, f"t(pred, q, kind) AS (VALUES {_values(list(Q.FACTS))})",
+    ),
+)
+_add(
+    "cat3_counts",
+    _graph(lambda p: Q.count_questions(_edges(p))),
+    _sql(
+        """SELECT src AS anchor, pred AS template, replace(q, '{name}', 'P' || src) AS question_text, count(*) AS n FROM edge JOIN t USING (pred) GROUP BY ALL
+        UNION ALL SELECT a.src, 'hasGrandchild', 'How many grandchildren does P' || a.src || ' have?', count(*) FROM edge a JOIN edge b ON a.dst = b.src AND a.pred = 'hasChild' AND b.pred = 'hasChild' GROUP BY ALL""",
+        *_E, _EDGE, f"t(pred, q) AS (VALUES {_values(list(Q.COUNTS))})",
+    ),
+)
+_add("cat3_filters", _graph(lambda p: _joined(Q.filter_questions(_edges(p)), "names")), _sql("SELECT src AS anchor, pred AS template, replace(q, '{name}', 'P' || src) AS question_text, string_agg('P' || dst, '|' ORDER BY 'P' || dst) AS names FROM edge JOIN t USING (pred) GROUP BY ALL", *_E, _EDGE, f"t(pred, q) AS (VALUES {_values(list(Q.FILTERS))})"))
+_R2 = "r2 AS (SELECT anchor, path, list('P' || node ORDER BY 'P' || node) AS names FROM t2 WHERE anchor <> node GROUP BY ALL)"
+_PLURAL = "CASE WHEN ends_with({t}, ')') THEN regexp_replace({t}, '^(.*) (\\(.*)$', '\\1s \\2') ELSE {t} || 's' END"
+_add(
+    "cat2_questions",
+    _graph(lambda p: _joined(Q.path_questions(_edges(p), p, _TWO), "names")),
+    _sql(
+        f"""SELECT anchor, path, hops, question_text, array_to_string(names, '|') AS names, bio_term FROM (SELECT *, 2 AS hops, row_number() OVER (PARTITION BY question_text ORDER BY path) AS k FROM (
+        SELECT anchor, path, names, bio_term, CASE len(names) WHEN 1 THEN 'Who is P' || anchor || '''s ' || bio_term || '?' ELSE 'Who are P' || anchor || '''s ' || {_PLURAL.format(t="bio_term")} || '?' END AS question_text FROM r2 JOIN bio USING (path))) WHERE k = 1""",
+        *_E, _T2, _R2, _BIO,
+    ),
+)
+for _sys in ("hawaiian", "iroquois", "dravidian", "crow", "omaha"):
+    _rules = [(p, t) for s, p, t, _ in K.overrides() if s == _sys and p.count(".") == 1]
+    _cap = _sys.capitalize()
+    _add(
+        f"cat4_{_sys}",
+        _graph(lambda p, s=_sys: _joined(Q.override_questions(_edges(p), p, s).filter("path in ('F.B', 'F.Z', 'M.B', 'M.Z')"), "gold").groupBy("question_text").agg(F.max("kind").alias("kind"), F.max("anchor").alias("anchor"))),
+        _sql(
+            f"""SELECT question_text, max(kind) AS kind, max(anchor) AS anchor FROM (SELECT anchor, unnest(['cultural_term', 'disambiguation', 'comparison']) AS kind, unnest([
+            'In the {_cap} kinship system, ' || CASE len(names) WHEN 1 THEN 'who is P' || anchor || '''s ' || kin_term ELSE 'who are P' || anchor || '''s ' || kin_term || 's' END || '?',
+            'In the {_cap} system, ' || array_to_string(names, ', ') || CASE len(names) WHEN 1 THEN ' is called P' || anchor || '''s ''' || kin_term ELSE ' are called P' || anchor || '''s ''' || kin_term || 's' END || '''. What is their actual biological relationship?',
+            'List all of P' || anchor || '''s ' || kin_term || 's according to the {_cap} system.']) AS question_text FROM r2 JOIN ov USING (path)) GROUP BY question_text""",
+            *_E, _T2, _R2, f"ov(path, kin_term) AS (VALUES {_values(_rules)})",
+        ),
+    )
+
+
+def _sample(p: DataFrame) -> DataFrame:
+    q = Q.path_questions(_edges(p), p, _TWO)
+    return Q.sampled(q, "path", 50, [(F.col("anchor") * 7919 + 13) % 10007, F.col("anchor")], "crow").select("question_id", "anchor", "path", "rank")
+
+
+_add(
+    "question_sample_ids",
+    _graph(_sample),
+    _sql(
+        """SELECT 'crow_' || lpad((row_number() OVER (ORDER BY path, rank))::VARCHAR, 4, '0') AS question_id, anchor, path, rank FROM (SELECT anchor, path, (row_number() OVER (PARTITION BY path ORDER BY (anchor * 7919 + 13) % 10007, anchor))::INT AS rank FROM r2) WHERE rank <= 50""",
+        *_E, _T2, _R2,
+    ),
+)
+
+
+# --- text -----------------------------------------------------------------------------------
+
+
+def _text(name: str, column, sql: str, table: str = "conversations", keys: str = "conv_id, turn") -> None:
+    ks = keys.split(", ")
+    _add(name, lambda spark, d: _table(spark, d, table).select(*ks, column(F.col("text")).alias("value")), f"SELECT {keys}, {sql} AS value FROM {table}")
+
+
+_S = X._S
+_STRIP = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+_NORM = lambda x: f"regexp_replace(regexp_replace(lower({_STRIP(f'coalesce({x}, {chr(39)*2})')}), '{_S}+', ' ', 'g'), '[^A-Za-z0-9_ ]', '', 'g')"
+_text("normalize_text", X.normalize_name, _NORM("text"))
+_text("question_type", X.question_type, "CASE WHEN contains(lower(text), 'how many') THEN 'count' WHEN contains(lower(text), 'biological relationship') OR contains(lower(text), 'what is their') THEN 'relationship' ELSE 'name' END")
+_text("extract_number", X.extract_number, "CASE WHEN text IS NULL OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN NULL WHEN regexp_extract(text, '\\b([0-9]+)\\b', 1) <> '' THEN TRY_CAST(regexp_extract(text, '\\b([0-9]+)\\b', 1) AS BIGINT) " + " ".join(f"WHEN contains(lower(text), '{w}') THEN {k}" for k, w in enumerate(X.NUMBERS)) + " END")
+_text("extract_relationship", X.extract_relationship, "CASE WHEN text IS NULL OR text = '' OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN NULL " + " ".join("WHEN contains(lower(text), '" + t.replace("'", "''") + f"') THEN '" + t.replace("'", "''") + "'" for t in X.RELATIONSHIPS) + f" ELSE lower({_STRIP('text')}) END")
+_NAMED = rf"regexp_extract_all(text, '\b([A-Z][a-z]+{_S}+[A-Z][a-z]+)\b', 1)"
+_add(
+    "extract_names",
+    lambda spark, d: _table(spark, d, "documents").select("doc_id", F.concat_ws("|", X.extract_names(F.col("text"))).alias("value")),
+    rf"""SELECT doc_id, CASE WHEN text IS NULL OR text = '' OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN ''
+    WHEN len({_NAMED}) > 0 THEN array_to_string(list_filter({_NAMED}, lambda n, i: list_position(list_transform({_NAMED}, lambda y: lower(y)), lower(n)) = i), '|')
+    WHEN regexp_extract(text, '\b([A-Z][a-z]{{2,}})\b', 1) <> '' THEN regexp_extract(text, '\b([A-Z][a-z]{{2,}})\b', 1) ELSE {_STRIP("text")} END AS value FROM documents""",
+)
+_add(
+    "cot_answer",
+    lambda spark, d: _table(spark, d, "part").select("p_partkey", X.cot_answer(F.concat(F.lit("STEP 1 - look.\n"), F.col("p_type"), F.lit("\nFINAL ANSWER: The part is "), F.col("p_name"), F.lit(".\n"))).alias("value")),
+    "SELECT p_partkey, p_name AS value FROM part",
+)
+for _mode in transform.MODES:
+    _term = "classificatory father" if _mode == "system_only" else "tier-pater"
+    _who = "Crow" if _mode == "term_only" else "Vespian"
+    _add(
+        f"relabel_{_mode}",
+        lambda spark, d, m=_mode: transform.relabel(_table(spark, d, "part").select("p_partkey", F.concat(F.lit("In the Crow kinship system, who is "), F.col("p_brand"), F.lit("'s classificatory father?")).alias("question_text")), "crow", m),
+        f"SELECT p_partkey, 'In the {_who} kinship system, who is ' || p_brand || '''s {_term}?' AS question_text, 'crow' AS kinship_system_original, 'fictional_crow_{_mode}' AS kinship_system, {'NULL' if _mode == 'term_only' else chr(39) + 'Vespian' + chr(39)}::VARCHAR AS fictional_label, '{_mode}' AS fictional_mode FROM part",
+    )
+
+
+def _paraphrased(spark: SparkSession, d: str) -> DataFrame:
+    q = _table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("In the Omaha system, who is "), F.initcap("n_name"), F.lit("'s cross-aunt?"))).otherwise(F.concat(F.lit("List all of "), F.initcap("n_name"), F.lit("'s cross-aunts according to the Omaha system."))).alias("q"))
+    text, idx = transform.paraphrase(F.col("q"))
+    return q.select("n_nationkey", text.alias("value"), idx.alias("pattern"))
+
+
+_CAPN = "array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_add("paraphrase_text", _paraphrased, f"SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Under the Omaha kinship convention, identify ' || {_CAPN} || '''s cross-aunt.' ELSE 'Within the Omaha system, give the complete list of ' || {_CAPN} || '''s cross-aunts.' END AS value, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 2 END AS pattern FROM nation")
+
+# --- scoring and metrics --------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' line statuses against their return flags, as small sets."""
+    li = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("predicted"), F.collect_set(F.when(F.col("l_linestatus") == "O", "N").otherwise("R")).alias("gold"), F.min("l_linenumber").alias("m"), F.count("*").alias("k"))
+    s = scoring.set_scores(F.col("predicted"), F.col("gold"))
+    return li.withColumns(s).withColumns({"category": (F.col("k") % 4 + 1).cast("int"), "n_hops": F.col("k").cast("int"), "has_override": F.col("l_orderkey") % 2 == 0, "is_error": F.lit(False)})
+
+
+_SC = """p AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS p, list(DISTINCT CASE l_linestatus WHEN 'O' THEN 'N' ELSE 'R' END) AS g, count(*) AS k FROM lineitem GROUP BY ALL),
+i AS (SELECT *, len(list_intersect(p, g)) AS b FROM p),
+s AS (SELECT l_orderkey, k, p, g, b = len(p) AND b = len(g) AS exact_match, b > 0 AS partial_match, b / len(p) AS precision, b / len(g) AS recall,
+  CASE WHEN b > 0 THEN 2 * (b / len(p)) * (b / len(g)) / (b / len(p) + b / len(g)) ELSE 0.0::DOUBLE END AS f1, (k % 4 + 1)::INT AS category, k::INT AS n_hops, l_orderkey % 2 = 0 AS has_override FROM i)"""
+_add("score_sets", lambda spark, d: _pairs(spark, d).select("l_orderkey", "exact_match", "partial_match", "precision", "recall", "f1"), f"WITH {_SC} SELECT l_orderkey, exact_match, partial_match, precision, recall, f1 FROM s")
+_rounded = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
+_add(
+    "score_summary",
+    lambda spark, d: _rounded(scoring.summary(_pairs(spark, d)), "mean_precision", "mean_recall", "mean_f1"),
+    f"WITH {_SC} SELECT category, n_hops, has_override, grouping(category, n_hops, has_override)::BIGINT AS grouping, count(*) AS n, count(*) FILTER (exact_match) AS exact, count(*) FILTER (partial_match) AS partial, 0::BIGINT AS errors, round(avg(precision), 6) AS mean_precision, round(avg(recall), 6) AS mean_recall, round(avg(f1), 6) AS mean_f1 FROM s GROUP BY GROUPING SETS ((), (category), (n_hops), (has_override))",
+)
+_add(
+    "error_taxonomy",
+    lambda spark, d: _pairs(spark, d).withColumn("class", scoring.error_class(F.col("predicted"), F.col("gold"), F.array(F.lit("A")))).groupBy("class").agg(F.count("*").alias("n")),
+    f"WITH {_SC} SELECT CASE WHEN exact_match THEN NULL WHEN len(p) = 0 THEN 'empty_format' WHEN len(list_intersect(p, g)) = len(g) THEN 'over_inclusion' WHEN len(list_intersect(p, g)) = len(p) THEN 'partial_under' WHEN partial_match THEN 'partial_overlap' WHEN p = ['A'] THEN 'default_substitution' ELSE 'wrong_disjoint' END AS class, count(*) AS n FROM s GROUP BY ALL",
+)
+_ORD = "(SELECT n_regionkey AS region, n_nationkey AS nation, o_orderpriority AS priority, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    c = _table(spark, d, "customer").join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = _table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+
+
+_add("macro_mean", lambda spark, d: _rounded(metrics.macro(_orders(spark, d), "region", "nation", "price"), "macro_mean"), f"SELECT region, round(avg(mean), 6) AS macro_mean, count(*) AS systems FROM (SELECT region, nation, avg(price) AS mean FROM {_ORD} GROUP BY ALL) GROUP BY region")
+_add("std_pop_samp", lambda spark, d: _rounded(metrics.spread(_orders(spark, d), ["region"], "price"), "mean", "std_pop", "std_samp").drop("x"), f"SELECT region, round(avg(price), 6) AS mean, round(stddev_pop(price), 6) AS std_pop, round(stddev_samp(price), 6) AS std_samp, count(*) AS n FROM {_ORD} GROUP BY region")
+_PRI = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_add("summary_pivot", lambda spark, d: _orders(spark, d).groupBy("region").pivot("priority", _PRI).count().select("region", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(f"p{p[0]}") for p in _PRI]), "SELECT region, " + ", ".join(f"count(*) FILTER (priority = '{p}') AS p{p[0]}" for p in _PRI) + f" FROM {_ORD} GROUP BY region")
+_LI = "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'real' WHEN 'NF' THEN 'fictional' WHEN 'NO' THEN 'system_only' ELSE 'term_only' END"
+_ABL = [f"round({c}, 6) AS {c}" for c in ("real", "fictional", "system_only", "term_only", "delta_full", "delta_sys", "delta_term", "interaction")]
+_add(
+    "ablation_2x2",
+    lambda spark, d: _rounded(metrics.ablation(_table(spark, d, "lineitem").select("l_linenumber", F.expr(_LI).alias("mode"), (F.col("l_quantity") / 50).alias("em")), ["l_linenumber"]), "real", "fictional", "system_only", "term_only", "delta_full", "delta_sys", "delta_term", "interaction"),
+    f"WITH m AS (SELECT l_linenumber, " + ", ".join(f"avg(l_quantity / 50) FILTER ({_LI} = '{m}') AS {m}" for m in ("real", "fictional", "system_only", "term_only")) + f" FROM lineitem GROUP BY l_linenumber), x AS (SELECT *, fictional - real AS delta_full, system_only - real AS delta_sys, term_only - real AS delta_term FROM m), y AS (SELECT *, delta_full - (delta_sys + delta_term) AS interaction FROM x) SELECT l_linenumber, {', '.join(_ABL)} FROM y",
+)
+_add("envelope_ci", lambda spark, d: metrics.envelope(_table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.min("l_discount").alias("lo"), F.max("l_tax").alias("hi")), ["l_returnflag"]), "SELECT l_returnflag, min(l_discount) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag")
+_add("top_paths", _graph(lambda p: paths.traverse_all(_edges(p), p, _TWO).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(10)), _sql("SELECT path, count(*) AS n FROM t2 GROUP BY path ORDER BY n DESC, path LIMIT 10", *_E, _T2))
+_add("dup_names", lambda spark, d: _table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1"), "SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+_add("limit_filtered", lambda spark, d: _table(spark, d, "part").filter("p_size in (1, 3)").orderBy("p_partkey").limit(25).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 3) ORDER BY p_partkey LIMIT 25")
+_add("augment_merge", lambda spark, d: transform.merged(_table(spark, d, "part").filter("p_size < 25").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v")), _table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v")), ["k"]), "SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size < 25 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+_add(
+    "population_stats",
+    _graph(lambda p: p.agg(F.count("*").alias("people"), F.count_if(F.col("spouse_id").isNotNull()).alias("married"), F.count_if(F.col("spouse_id").isNull()).alias("single"), F.count_distinct("father_id").alias("fathers"))),
+    _sql("SELECT count(*) AS people, count(spouse_id) AS married, count(*) - count(spouse_id) AS single, count(DISTINCT father_id) AS fathers FROM person"),
+)
+
+
+def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    li = _table(spark, d, "lineitem")
+    counts = li.groupBy(F.col("l_returnflag").alias("model"), F.when(F.col("l_linenumber") <= 2, "a").otherwise("b").alias("side")).agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("exact"))
+    return metrics.bootstrap_gap(counts, 2_000)
+
+
+_add("bootstrap_ci", _bootstrap)
+
 
 def queries() -> dict:
     """Name -> callable (spark, sf_dir) -> DataFrame."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {}
+    return dict(ORACLES)
