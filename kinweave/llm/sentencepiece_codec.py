@@ -114,13 +114,13 @@ def _merged(edges: Column, size: Column) -> Column:
 
 
 def encode_units(units: DataFrame, model: Pieces) -> DataFrame:
-    """unit, ids for distinct units of 1 to LONGEST characters; an id below zero is a character without a piece (its negative code point)."""
+    """unit, ids for distinct units of 1 to LONGEST characters; an id below zero is a character without a piece (-1 less its code point, so that NUL has one too)."""
     long = lambda x: F.lit(x).cast("long")
     # A set number of partitions: the units are few bytes but much work, and adaptive execution would put them in one task.
     spark = units.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     df = lattice(units.repartition(parts, "unit"), piece_table(spark, model), model.longest).withColumn("size", F.char_length("unit"))
-    code = lambda s: -F.ascii(F.substring(F.col("unit"), s + 1, F.lit(1)))
+    code = lambda s: -1 - F.ascii(F.substring(F.col("unit"), s + 1, F.lit(1)))
     if model.kind == BPE:
         places = lambda cuts: F.filter(F.sequence(F.lit(0), F.col("size")), lambda k: cuts.bitwiseAND(_bit(k)) != 0)
         token = lambda at, s, i: F.coalesce(F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == F.get(at, i + 1))), F.lit(0))["id"], code(s))
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: Pieces
             for u, lo, hi in zip(names, offsets, offsets[1:]):
                 part = values[lo:hi]
                 if (part < 0).any():
-                    part = np.array([y for x in part.tolist() for y in ([x] if x >= 0 else model.fallback(chr(-x)))], np.int32)
+                    part = np.array([y for x in part.tolist() for y in ([x] if x >= 0 else model.fallback(chr(-1 - x)))], np.int32)
                 known[u] = part.tobytes()
             _LOADED.update(names=names, known=known)
         known = _LOADED["known"]
