@@ -99,15 +99,15 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple
             "dup_line_ratio": by("n_dup_lines", "n_lines"),
         }
     )
-    return df.withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    # A filter on plain columns would be pushed down with all measures inlined into their own lambdas; none is pushed through a row number.
+    return df.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, ~F.col("base_failed") & compiled(rules)))
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with docs' own columns only."""
     row = common.fresh(docs, "row")
     judged = judge(docs.select(F.struct(*docs.columns).alias(row), F.col(text).alias(f"{row}_text")), row, f"{row}_text", rules)
-    # A filter on plain columns would be pushed down with all measures inlined into their own lambdas; one on a row-number column stays where it is.
-    return judged.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))).filter("kept").select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return judged.filter("kept").select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,8 @@ def test_url_filter_uses_the_entries_of_the_day(spark):
     got = sorted((r["page_id"], r["blocked"]) for r in url_filter.evaluate(pages, entries).collect())
     assert got == sorted([(i, b) for i, _, _, b in asked] + [(9, False)])
     assert url_filter.evaluate(pages.limit(0), entries).count() == 0 and url_filter.evaluate(pages, entries.limit(0)).count() == 10
+
+
+def test_rules_can_be_filtered(spark):
+    df = quality_rules.judge(docs(spark, [(1, "the plain word " * 3, "s"), (2, " ".join(f"the w{k}" for k in range(60)), "s")]))
+    assert [r["doc_id"] for r in df.filter("kept").select("doc_id").collect()] == [2]
