@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import written
+
 
 def _edges(df: DataFrame, src: str, pred: Column | str, dst: str) -> DataFrame:
     return df.select(F.col(src).alias("src"), (F.lit(pred) if isinstance(pred, str) else pred).alias("pred"), F.col(dst).alias("dst"))
@@ -124,12 +125,12 @@ def cousins(p: DataFrame, depth: int = 4) -> DataFrame:
 
 
 def clans(p: DataFrame, line: str = "mother_id", depth: int = 64) -> DataFrame:
-    """id, founder: the end of a person's maternal (or paternal) line, by pointer doubling: log(generations) joins, each over the kept result of the one before."""
+    """id, founder: the end of a person's maternal (or paternal) line, by pointer doubling: log(generations) joins, each over the written result of the one before (a self-join doubles the plan that it starts from)."""
     df = p.select("id", F.coalesce(line, "id").alias("founder"))
     for _ in range(max(1, (depth - 1).bit_length())):
-        df = df.persist(StorageLevel.DISK_ONLY)
+        df = written(df)
         df = df.join(df.select(F.col("id").alias("mid"), F.col("founder").alias("up")), F.col("founder") == F.col("mid")).select("id", F.col("up").alias("founder"))
-    return df
+    return written(df)
 
 
 def clan_edges(p: DataFrame, system: str) -> DataFrame:
