@@ -265,13 +265,15 @@ _text("normalize_text", X.normalize_name, _NORM("text"))
 _text("question_type", X.question_type, "CASE WHEN contains(lower(text), 'how many') THEN 'count' WHEN contains(lower(text), 'biological relationship') OR contains(lower(text), 'what is their') THEN 'relationship' ELSE 'name' END")
 _text("extract_number", X.extract_number, "CASE WHEN text IS NULL OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN NULL WHEN regexp_extract(text, '\\b([0-9]+)\\b', 1) <> '' THEN TRY_CAST(regexp_extract(text, '\\b([0-9]+)\\b', 1) AS BIGINT) " + " ".join(f"WHEN contains(lower(text), '{w}') THEN {k}" for k, w in enumerate(X.NUMBERS)) + " END")
 _text("extract_relationship", X.extract_relationship, "CASE WHEN text IS NULL OR text = '' OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN NULL " + " ".join("WHEN contains(lower(text), '" + t.replace("'", "''") + f"') THEN '" + t.replace("'", "''") + "'" for t in X.RELATIONSHIPS) + f" ELSE lower({_STRIP('text')}) END")
-_NAMED = rf"regexp_extract_all(text, '\b([A-Z][a-z]+{_S}+[A-Z][a-z]+)\b', 1)"
+# DuckDB's \b knows ASCII only: accented letters are put as _, other characters beyond ASCII as a full stop; neither can be part of a name.
+_ASCII = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\pL\p{Nd}\pM]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"
+_NAMED = rf"regexp_extract_all({_ASCII}, '\b([A-Z][a-z]+{_S}+[A-Z][a-z]+)\b', 1)"
 _add(
     "extract_names",
     lambda spark, d: _table(spark, d, "documents").select("doc_id", F.concat_ws("|", X.extract_names(F.col("text"))).alias("value")),
     rf"""SELECT doc_id, CASE WHEN text IS NULL OR text = '' OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN ''
     WHEN len({_NAMED}) > 0 THEN array_to_string(list_filter({_NAMED}, lambda n, i: list_position(list_transform({_NAMED}, lambda y: lower(y)), lower(n)) = i), '|')
-    WHEN regexp_extract(text, '\b([A-Z][a-z]{{2,}})\b', 1) <> '' THEN regexp_extract(text, '\b([A-Z][a-z]{{2,}})\b', 1) ELSE {_STRIP("text")} END AS value FROM documents""",
+    WHEN regexp_extract({_ASCII}, '\b([A-Z][a-z]{{2,}})\b', 1) <> '' THEN regexp_extract({_ASCII}, '\b([A-Z][a-z]{{2,}})\b', 1) ELSE {_STRIP("text")} END AS value FROM documents""",
 )
 _add(
     "cot_answer",
