@@ -1,0 +1,183 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+A text is the set of its runs of SHINGLE words, as 64-bit hashes; equal sets are one class before
+any pair is made. Candidates come from a prefix join, which loses none: put all sets in one total
+order, and two sets of similarity t or more share an element within the first
+n - ceil(t n) + 1 elements of each. The order puts elements that are common in a sample of the
+corpus last and goes by hash otherwise; the sample decides how much work there is, never which
+pairs are found. Candidates are verified by their whole sets.
+
+In a bucket (the classes with one prefix element in common) each class is first held against
+HUBS members only. What that leaves apart is held against the bucket again, except that members of
+the bucket's most frequent component are not held against each other: a bucket of near copies
+makes no square of pairs, and every similar pair still ends in one component.
+
+Defined cases: case and blanks count as in simhash; null and empty texts are one class; texts
+shorter than a shingle give one shingle; a null id takes part, and is not a component id unless
+all ids of its component are null; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from .graph import connected_components
+
+SEED = 42
+SHINGLE = 5
+#: Similarity as a fraction, so that no rounding decides.
+SIMILARITY = (4, 5)
+HUBS = 2
+#: Ids and elements up to this number are broadcast; above it the planner decides.
+FEW = 1_000_000
+#: Texts sampled for the order, how often an element must occur there to count as common, and how many common elements are kept.
+SAMPLE, COMMON, MOST = 5_000, 3, 200_000
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles, as signed integers."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.empty(0, np.int64)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    ends = ends[min(shingle, len(found)) - 1 :].tolist()
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(ends)).view(np.int64))
+
+
+def class_of(elements: np.ndarray) -> int:
+    """One hash of a whole set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes(), SEED)).view(np.int64))
+
+
+def _sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """key, cls, n, elements for every row."""
+    df = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x.as_py(), shingle) for x in b.column(1)]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists], ["key", "cls", "n", "elements"])
+
+    return df.mapInArrow(of, f"key {df.schema['key'].dataType.simpleString()}, cls long, n int, elements array<long>")
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that are common in a sample, sorted, and their counts there."""
+    few = sets.select("cls", "elements").limit(SAMPLE).dropDuplicates(["cls"])
+    counted = few.select(F.explode("elements").alias("x")).groupBy("x").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON)
+    top = counted.orderBy(F.desc("c"), "x").limit(MOST).toPandas().sort_values("x")
+    return top["x"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+
+
+def _prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """token, at, n, cls: the first elements of each set in the total order, with their places."""
+    known = sets.sparkSession.sparkContext.broadcast(_common(sets))
+    up, down = similarity
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, c = known.value
+        for b in batches:
+            cls, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            flat, at = b.column(2).flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            tokens, places = [], []
+            for k, n in enumerate(sizes.tolist()):
+                mine = flat[at[k] : at[k + 1]]
+                rank = np.zeros(n, np.int64)
+                if len(x):
+                    where = np.minimum(np.searchsorted(x, mine), len(x) - 1)
+                    rank = np.where(x[where] == mine, c[where], 0)
+                p = min(n, n - -(-n * up // down) + 1)
+                tokens.append(mine[np.lexsort((mine, rank))[:p]])
+                places.append(np.arange(p, dtype=np.int32))
+            many = [len(t) for t in tokens]
+            if many:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), pa.array(np.repeat(sizes, many)), pa.array(np.repeat(cls, many))], ["token", "at", "n", "cls"])
+
+    return sets.select("cls", "n", "elements").mapInArrow(of, "token long, at int, n int, cls long")
+
+
+def _can(a: str, b: str, similarity: tuple[int, int]) -> Column:
+    """Whether sizes and places leave room for the similarity, if this is the pair's first common element; it holds for that element of every similar pair."""
+    up, down = similarity
+    n = lambda t: F.col(f"{t}.n").cast("long")
+    rest = F.least(n(a) - F.col(f"{a}.at"), n(b) - F.col(f"{b}.at"))
+    return (F.least(n(a), n(b)) * down >= F.greatest(n(a), n(b)) * up) & (rest * (up + down) >= (n(a) + n(b)) * up)
+
+
+def _similar(pairs: DataFrame, whole: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    up, down = similarity
+    df = pairs.join(whole.select(F.col("cls").alias("a"), F.col("elements").alias("xa")), "a").join(whole.select(F.col("cls").alias("b"), F.col("elements").alias("xb")), "b")
+    both = F.size(F.array_intersect("xa", "xb")).cast("long")
+    return df.withColumn("both", both).filter(F.col("both") * (up + down) >= (F.size("xa") + F.size("xb")) * up).select("a", "b")
+
+
+def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """a, b: similar pairs of different classes that give the components of all similar pairs."""
+    prefixes = common.saved(_prefixes(sets, similarity))
+    # Most elements occur in one class only and go here.
+    shared = common.saved(prefixes.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("token"))
+    members = common.saved(prefixes.join(common.broadcast_if(shared, FEW), "token", "left_semi").dropDuplicates(["token", "cls"]))
+    common.discard(prefixes, shared)
+    found = [F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "at") for k in range(HUBS)]
+    buckets = members.groupBy("token").agg(F.array_distinct(F.array(*[F.min(f).dropFields("h") for f in found])).alias("hubs"))
+    hubs = members.join(buckets, "token").withColumn("hub", F.explode("hubs"))
+    x = hubs.select(F.struct("cls", "n", "at").alias("p"), F.col("hub").alias("q")).filter("p.cls <> q.cls").filter(_can("p", "q", similarity))
+    ordered = lambda df: df.select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")).distinct()
+    used = common.saved(members.select("cls").distinct())
+    whole = common.saved(sets.select("cls", "elements").join(common.broadcast_if(used, FEW), "cls", "left_semi").dropDuplicates(["cls"]))
+    first = common.saved(_similar(ordered(x), whole, similarity))
+    roots = connected_components(first, "a", "b").withColumnRenamed("node", "cls")
+    named = common.saved(members.select("token", "cls", "n", "at").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    # Any pair of different components has a side outside the bucket's most frequent component.
+    main = named.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("most.root").alias("main"))
+    mixed = common.saved(named.join(main, "token"))
+    p = mixed.filter("root <> main").select("token", F.struct("cls", "n", "at", "root").alias("p"))
+    q = mixed.select("token", "main", F.struct("cls", "n", "at", "root").alias("q"))
+    rest = p.join(q.hint("merge"), "token").filter((F.col("p.root") != F.col("q.root")) & ((F.col("q.root") == F.col("main")) | (F.col("p.cls") < F.col("q.cls"))) & _can("p", "q", similarity))
+    return first.unionByName(_similar(ordered(rest), whole, similarity))
+
+
+def _kept(docs: DataFrame, key: str, text: str, shingle: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """key, cls of every row, and cls, component_id, rep (the class whose row stands for the component)."""
+    sets = common.saved(_sets(docs, key, text, shingle))
+    classes = sets.groupBy("cls").agg(F.min("key").alias("least"))
+    roots = connected_components(links(sets, similarity), "a", "b")
+    named = common.saved(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root")))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "cls"))).alias("rep"))
+    return sets.select("key", "cls"), common.saved(named.join(ids, "root").select("cls", "component_id", F.col("rep.cls").alias("rep")))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """key, component_id (the smallest key reachable over similar pairs) for every row."""
+    rows, named = _kept(docs, key, text, shingle, similarity)
+    return rows.join(named, "cls").select(F.col("key").alias(key), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """One row of docs for each component: that of the least key, with its own text if the key repeats. Rows without a key can't stand for a group or be told apart, and stay."""
+    rows, named = _kept(docs, key, text, shingle, similarity)
+    row, mine = common.fresh(docs, "row"), common.fresh(docs, "cls")
+    stay = common.saved(named.filter("cls = rep").select("component_id", "cls"))
+    again = common.saved(rows.filter("key is not null").groupBy("key").count().filter("count > 1").select("key"))
+    # Those that go are the fewer, and the texts need no shuffle while they are few.
+    gone = common.saved(rows.filter("key is not null").join(stay, F.col("key") == F.col("component_id"), "left_anti").select("key").unionByName(again).distinct().withColumnRenamed("key", row))
+    kept = docs.filter(F.col(key).isNotNull()).join(common.broadcast_if(gone, FEW), F.col(key) == F.col(row), "left_anti")
+    if not again.isEmpty():
+        cls = F.udf(lambda t: class_of(shingles(None if t is None else bytes(t), shingle)), "long")
+        more = docs.join(again.select(F.col("key").alias(row)), F.col(key) == F.col(row), "left_semi").withColumn(mine, cls(F.col(text).cast("binary")))
+        want = stay.select(F.col("component_id").alias(row), F.col("cls").alias(f"{mine}_want"))
+        more = more.join(want, (F.col(key) == F.col(row)) & (F.col(mine) == F.col(f"{mine}_want")), "left_semi").dropDuplicates([key, mine])
+        kept = kept.unionByName(more.drop(mine))
+    return kept.unionByName(docs.filter(F.col(key).isNull()))
