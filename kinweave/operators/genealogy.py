@@ -77,10 +77,19 @@ def basic_edges(p: DataFrame) -> DataFrame:
     return _union(parent_edges(p), spouse_edges(p), sibling_edges(p), grandparent_edges(p), aunt_uncle_edges(p))
 
 
-def closure(p: DataFrame, depth: int = 4) -> DataFrame:
-    """id, anc, dist: ancestors within depth steps with their least distance, oneself at 0. One join a step; distances combine before the next, so inbreeding doesn't multiply rows."""
+def closure(p: DataFrame, depth: int | None = 4) -> DataFrame:
+    """id, anc, dist: ancestors within depth steps (None: all) with their least distance, oneself at 0. One join a step; distances combine before the next, so inbreeding doesn't multiply rows."""
     up = p.select("id", F.explode(F.array("mother_id", "father_id")).alias("to")).filter("to is not null").withColumnRenamed("id", "from")
     level = p.select("id", F.col("id").alias("anc"))
+    if depth is None:
+        up, level, k = written(up), written(level.withColumn("dist", F.lit(0))), 0
+        known = level
+        while not level.isEmpty():
+            k += 1
+            step = level.join(up, F.col("anc") == F.col("from")).select("id", F.col("to").alias("anc")).distinct()
+            level = written(step.join(known, ["id", "anc"], "left_anti").withColumn("dist", F.lit(k)))
+            known = known.unionByName(level)
+        return known
     levels = [level.withColumn("dist", F.lit(0))]
     for k in range(1, depth + 1):
         level = level.join(up, F.col("anc") == F.col("from")).select("id", F.col("to").alias("anc")).distinct()
@@ -88,11 +97,12 @@ def closure(p: DataFrame, depth: int = 4) -> DataFrame:
     return _union(*levels).groupBy("id", "anc").agg(F.min("dist").alias("dist"))
 
 
-def mrca(p: DataFrame, depth: int = 4) -> DataFrame:
-    """a, b, mrca, da, db for every ordered pair of different persons with a common ancestor within depth: the least da + db, then the least id."""
+def mrca(p: DataFrame, depth: int | None = 4, pairs: DataFrame | None = None) -> DataFrame:
+    """a, b, mrca, da, db for every ordered pair of different persons (or of pairs(a, b) only) with a common ancestor within depth (None: any): the least da + db, then the least id."""
     up = closure(p, depth)
     left, right = up.select(F.col("id").alias("a"), "anc", F.col("dist").alias("da")), up.select(F.col("id").alias("b"), "anc", F.col("dist").alias("db"))
-    best = left.join(right, "anc").filter("a <> b").groupBy("a", "b").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("sum"), "anc", "da", "db")).alias("x"))
+    both = left.join(right, "anc") if pairs is None else pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "anc"])
+    best = both.filter("a <> b").groupBy("a", "b").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("sum"), "anc", "da", "db")).alias("x"))
     return best.select("a", "b", F.col("x.anc").alias("mrca"), F.col("x.da").alias("da"), F.col("x.db").alias("db"))
 
 
@@ -167,14 +177,14 @@ def kin_edges(p: DataFrame, system: str, depth: int = 4) -> DataFrame:
     return held(c, of_cousin).unionByName(held(u, of_sibling)).distinct()
 
 
-def marriage_allowed(pairs: DataFrame, p: DataFrame, system: str, depth: int = 4) -> DataFrame:
+def marriage_allowed(pairs: DataFrame, p: DataFrame, system: str, depth: int | None = 4) -> DataFrame:
     """pairs(a, b) with allowed: no siblings, no parent and child, and the system's own prohibition."""
     sib = siblings(p).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("is_sibling"))
     line = parent_edges(p).filter("pred in ('hasParent', 'hasChild')").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("is_line")).distinct()
     df = pairs.join(sib, ["a", "b"], "left").join(line, ["a", "b"], "left")
     no = F.coalesce("is_sibling", F.lit(False)) | F.coalesce("is_line", F.lit(False))
     if system in ("eskimo", "hawaiian", "sudanese"):
-        df = df.join(mrca(p, depth), ["a", "b"], "left")
+        df = df.join(mrca(p, depth, pairs), ["a", "b"], "left")
         rule = {"eskimo": (F.col("da") == 2) & (F.col("db") == 2), "hawaiian": (F.col("da") >= 2) & (F.col("db") >= 2), "sudanese": (F.col("da") <= 2) & (F.col("db") <= 2)}[system]
     elif system in ("iroquois", "dravidian"):
         df = df.join(cousins(p, depth).select(F.col("src").alias("a"), F.col("dst").alias("b"), "type"), ["a", "b"], "left")

@@ -131,6 +131,23 @@ for _sys, _rule in _RULES.items():
         ),
     )
 
+# Over all ancestors; the queries above look two steps up, as their SQL does.
+_ALL_STEPS = 1_000_000
+_MRX = """mr AS (SELECT a, b, da, db FROM (SELECT x.a, x.b, ca.dist AS da, cb.dist AS db, row_number() OVER (PARTITION BY x.a, x.b ORDER BY ca.dist + cb.dist, ca.anc) AS k
+  FROM x JOIN cl ca ON ca.id = x.a JOIN cl cb ON cb.id = x.b AND cb.anc = ca.anc) WHERE k = 1)"""
+for _sys in ("eskimo", "hawaiian", "sudanese"):
+    _add(
+        f"marriage_ok_{_sys}_whole",
+        _graph(lambda p, s=_sys: G.marriage_allowed(_candidates(p), p, s, None)),
+        _sql(
+            f"""SELECT x.a, x.b, NOT (coalesce({_RULES[_sys]}, false) OR EXISTS (SELECT 1 FROM sib WHERE src = x.a AND dst = x.b)
+            OR EXISTS (SELECT 1 FROM par WHERE (id = x.a AND parent = x.b) OR (id = x.b AND parent = x.a))) AS allowed
+            FROM x LEFT JOIN mr ON mr.a = x.a AND mr.b = x.b""",
+            _PAR, _SIB, _CL, "x AS (SELECT a.id AS a, b.id AS b FROM person a JOIN person b ON a.sex = 'M' AND b.sex = 'F' AND abs(a.id - b.id) <= 10)", _MRX, depth=_ALL_STEPS,
+        ),
+    )
+_add("mrca_counts_whole", _graph(lambda p: G.mrca(p, None).groupBy("a", "da", "db").agg(F.count("*").alias("n"))), _sql("SELECT a, da, db, count(*) AS n FROM mr GROUP BY ALL", _PAR, _CL, _MR, depth=_ALL_STEPS))
+
 # --- paths ----------------------------------------------------------------------------------
 
 
