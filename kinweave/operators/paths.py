@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinship_terms import PREDICATES
+from ..sources.shared import written
 
 
 def path_steps(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -29,10 +30,13 @@ def traverse_all(edges: DataFrame, anchors: DataFrame, paths: list[str]) -> Data
     prefixes = sorted({".".join(p.split(".")[:k]) for p in paths for k in range(1, p.count(".") + 2)})
     tree = spark.createDataFrame([(".".join(x.split(".")[:-1]), x, PREDICATES[x.split(".")[-1]], x.count(".") + 1) for x in prefixes], "prefix string, longer string, step_pred string, hop int")
     front = anchors.select(F.col("id").alias("anchor"), F.lit("").alias("prefix"), F.col("id").alias("node"))
-    ends = []
-    for hop in range(1, max(p.count(".") for p in paths) + 2):
+    ends, last = [], max(p.count(".") for p in paths) + 1
+    # Each hop reads the one before twice; long walks keep it as a table.
+    keep = written if last > 3 else lambda df: df
+    edges = keep(edges)
+    for hop in range(1, last + 1):
         grown = front.join(F.broadcast(tree.filter(F.col("hop") == hop)), "prefix")
-        front = grown.join(edges, (F.col("node") == F.col("src")) & (F.col("step_pred") == F.col("pred"))).select("anchor", F.col("longer").alias("prefix"), F.col("dst").alias("node")).distinct()
+        front = keep(grown.join(edges, (F.col("node") == F.col("src")) & (F.col("step_pred") == F.col("pred"))).select("anchor", F.col("longer").alias("prefix"), F.col("dst").alias("node")).distinct())
         ends.append(front.filter(F.col("prefix").isin(*[p for p in paths if p.count(".") + 1 == hop] or [""])))
     out = ends[0]
     for e in ends[1:]:

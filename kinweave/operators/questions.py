@@ -68,7 +68,7 @@ def path_questions(edges: DataFrame, anchors: DataFrame, wanted: list[str]) -> D
 
 
 def override_questions(edges: DataFrame, anchors: DataFrame, system: str, extended: bool = False, strict: bool = False) -> DataFrame:
-    """Category 4: anchor, path, kind, question_text, gold (array) for every override of a system; systems without overrides ask descriptively."""
+    """Category 4: anchor, path, kind, question_text, gold (array) for every override of a system, one row a wording: the shortest, then first path, and the golds of all paths that share it; systems without overrides ask descriptively."""
     spark = edges.sparkSession
     rules = K.kin_override(spark, extended).filter(F.col("system") == system)
     known = K.paths(extended=True, strict=strict)
@@ -86,7 +86,9 @@ def override_questions(edges: DataFrame, anchors: DataFrame, system: str, extend
     disambiguation = F.concat(F.lit("In the "), label, F.lit(" system, "), who, F.when(one, " is called ").otherwise(" are called "), me, F.lit("'s '"), term, s, F.lit("'. What is their actual biological relationship?"))
     comparison = F.concat(F.lit("List all of "), me, F.lit("'s "), term, F.lit("s according to the "), label, F.lit(" system."))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("question_text"), g.alias("gold")) for k, t, g in (("cultural_term", cultural, F.col("names")), ("disambiguation", disambiguation, F.array("bio_term")), ("comparison", comparison, F.col("names")))])
-    return df.select("anchor", "path", F.explode(kinds).alias("x")).select("anchor", "path", "x.*").dropDuplicates(["question_text"])
+    asked = df.select("anchor", "path", F.explode(kinds).alias("x")).select("anchor", "path", "x.*")
+    asked = asked.groupBy("question_text").agg(F.min(F.struct(F.length("path"), "path", "kind", "anchor")).alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("gold")))).alias("gold"))
+    return asked.select("first.anchor", "first.path", "first.kind", "question_text", "gold")
 
 
 def sampled(questions: DataFrame, stratum: str, count: int, order: list[Column], system: str, first: int = 1) -> DataFrame:

@@ -251,6 +251,57 @@ for _sys in ("hawaiian", "iroquois", "dravidian", "crow", "omaha"):
         ),
     )
 
+# Over all paths and overrides, base and extended; the queries above take paths of two hops, as their SQL does.
+_EVERY = list(K.paths(extended=True))
+_BIO_EVERY = f"bio(path, bio_term) AS (VALUES {_values(list(K.paths(extended=True).items()))})"
+
+
+def _tree(wanted: list[str]) -> str:
+    """Blocks edge and tn (anchor, path, node) of all wanted paths; each prefix is walked once."""
+    name = lambda x: "w_" + x.replace(".", "_")
+    out = [_EDGE]
+    for x in sorted({".".join(p.split(".")[:k]) for p in wanted for k in range(1, p.count(".") + 2)}):
+        up, _, code = x.rpartition(".")
+        step = f"SELECT DISTINCT w.anchor, e.dst AS node FROM {name(up)} w JOIN edge e ON e.src = w.node AND" if up else "SELECT DISTINCT e.src AS anchor, e.dst AS node FROM edge e WHERE"
+        out.append(f"{name(x)} AS MATERIALIZED ({step} e.pred = '{K.PREDICATES[code]}')")
+    out.append("tn AS (" + " UNION ALL ".join(f"SELECT anchor, '{p}' AS path, node FROM {name(p)}" for p in wanted) + ")")
+    return ", ".join(out)
+
+
+_RN = "rn AS (SELECT anchor, path, list('P' || node ORDER BY 'P' || node) AS names FROM tn WHERE anchor <> node GROUP BY ALL)"
+_add("top_paths_whole", _graph(lambda p: paths.traverse_all(_edges(p), p, _EVERY).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(10)), _sql("SELECT path, count(*) AS n FROM tn GROUP BY path ORDER BY n DESC, path LIMIT 10", *_E, _tree(_EVERY)))
+_add(
+    "cat2_questions_whole",
+    _graph(lambda p: _joined(Q.path_questions(_edges(p), p, _EVERY), "names")),
+    _sql(
+        f"""SELECT anchor, path, hops, question_text, array_to_string(names, '|') AS names, bio_term FROM (SELECT *, row_number() OVER (PARTITION BY question_text, hops ORDER BY path) AS k FROM (
+        SELECT anchor, path, len(string_split(path, '.'))::INT AS hops, names, bio_term, CASE len(names) WHEN 1 THEN 'Who is P' || anchor || '''s ' || bio_term || '?' ELSE 'Who are P' || anchor || '''s ' || {_PLURAL.format(t="bio_term")} || '?' END AS question_text FROM rn JOIN bio USING (path))) WHERE k = 1""",
+        *_E, _tree(_EVERY), _RN, _BIO_EVERY,
+    ),
+)
+for _sys in K.SYSTEMS:
+    _rules = [(p, t, k) for s, p, t, k in K.overrides(True) if s == _sys] or [("none", "none", "none")]
+    _add(
+        f"cultural_terms_{_sys}_whole",
+        _graph(lambda p, s=_sys: K.resolve_terms(paths.traverse_all(_edges(p), p, _EVERY).withColumn("system", F.lit(s)), p.sparkSession, True).groupBy("system", "path", "bio_term", "kin_term", "has_override", "term").agg(F.count("*").alias("n"))),
+        _sql(f"SELECT '{_sys}' AS system, tn.path, bio_term, kin_term, kin_term IS NOT NULL AS has_override, coalesce(kin_term, bio_term) AS term, count(*) AS n FROM tn JOIN bio USING (path) LEFT JOIN ov USING (path) GROUP BY ALL", *_E, _tree(_EVERY), _BIO_EVERY, f"ov(path, kin_term, kin_predicate) AS (VALUES {_values(_rules)})"),
+    )
+for _sys in ("hawaiian", "iroquois", "dravidian", "crow", "omaha"):
+    _rules = [(p, t) for s, p, t, _ in K.overrides(True) if s == _sys and p in K.paths(extended=True)]
+    _cap = _sys.capitalize()
+    _add(
+        f"cat4_{_sys}_whole",
+        _graph(lambda p, s=_sys: _joined(Q.override_questions(_edges(p), p, s, extended=True), "gold")),
+        _sql(
+            f"""SELECT x.text AS question_text, min(x.kind) AS kind, min(anchor) AS anchor, list(path ORDER BY length(path), path)[1] AS path, array_to_string(list_sort(list_distinct(flatten(list(x.gold)))), '|') AS gold
+            FROM (SELECT anchor, path, unnest([
+            {{'kind': 'cultural_term', 'text': 'In the {_cap} kinship system, ' || CASE len(names) WHEN 1 THEN 'who is P' || anchor || '''s ' || kin_term ELSE 'who are P' || anchor || '''s ' || kin_term || 's' END || '?', 'gold': names}},
+            {{'kind': 'disambiguation', 'text': 'In the {_cap} system, ' || array_to_string(names, ', ') || CASE len(names) WHEN 1 THEN ' is called P' || anchor || '''s ''' || kin_term ELSE ' are called P' || anchor || '''s ''' || kin_term || 's' END || '''. What is their actual biological relationship?', 'gold': [bio_term]}},
+            {{'kind': 'comparison', 'text': 'List all of P' || anchor || '''s ' || kin_term || 's according to the {_cap} system.', 'gold': names}}]) AS x FROM rn JOIN ov USING (path) JOIN bio USING (path)) GROUP BY x.text""",
+            *_E, _tree([p for p, _ in _rules]), _RN, _BIO_EVERY, f"ov(path, kin_term) AS (VALUES {_values(_rules)})",
+        ),
+    )
+
 
 def _sample(p: DataFrame) -> DataFrame:
     q = Q.path_questions(_edges(p), p, _TWO)
