@@ -11,9 +11,13 @@ The encoded units are a table of bounded size, so it is broadcast; texts are the
 it in one pass without a shuffle, and units outside it (rarer, or longer than LONGEST characters)
 are encoded on the spot by the same rule, with a bounded memo.
 
-Defined cases: a null text has null ids and decodes to null, an empty one has none; a literal
-"▁" decodes as a space, as in the library; repeated rows are encoded row by row; an empty table
-gives an empty table; other columns are kept.
+Decoding looks the pieces up in Spark expressions, without Python workers.
+
+Defined cases: a null text has null ids and decodes to null, an empty one has none; a text of any
+length is encoded whole; a literal "▁" decodes as a space, as in the library; ids that the model
+lacks decode to nothing; of pieces with equal score the leftmost merges first (BPE), the longest
+last piece wins (unigram); repeated rows are encoded row by row; an empty table gives an empty
+table; other columns are kept, but a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ LONGEST = 60
 #: Units that a counting task holds before it passes them on.
 FLUSH = 100_000
 
-#: Rarer units that a worker remembers.
-RARE = 50_000
+#: Characters of rarer units that a worker remembers, and the longest unit that it does.
+RARE_CHARS, RARE_UNIT = 1_000_000, 200
 
 _LOADED: dict = {}
 
@@ -150,14 +154,18 @@ class _Spelled(dict):
     """Unit -> its ids as bytes; units that aren't there are encoded, and some of them remembered."""
 
     def __init__(self) -> None:
-        self.model, self.rare = None, {}
+        self.model, self.rare, self.chars = None, {}, 0
 
     def __missing__(self, unit: str) -> bytes:
         found = self.rare.get(unit)
         if found is None:
-            if len(self.rare) >= RARE:
-                self.rare.clear()
-            found = self.rare[unit] = np.array(self.model.encode_unit(unit), np.int32).tobytes()
+            found = np.array(self.model.encode_unit(unit), np.int32).tobytes()
+            if len(unit) <= RARE_UNIT:
+                if self.chars > RARE_CHARS:
+                    self.rare.clear()
+                    self.chars = 0
+                self.chars += len(unit)
+                self.rare[unit] = found
         return found
 
 
@@ -165,6 +173,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: Pieces
     """docs with the token ids of each text in column out (array<int>)."""
     model = model or Pieces.read(MODEL)
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower() and c != text])
     counts = common.saved(unit_counts(docs, model, text))
     units = frequent(counts.filter(F.char_length("unit").between(1, LONGEST)), hot).select("unit")
     table = encode_units(units, model).toArrow().combine_chunks()
@@ -205,20 +214,14 @@ def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(coded: DataFrame, ids: str = "ids", out: str = "decoded", model: Pieces | None = None) -> DataFrame:
-    """coded with the text of each list of ids in column out."""
-    shared = coded.sparkSession.sparkContext.broadcast(model or Pieces.read(MODEL))
-
-    @F.arrow_udf("string")
-    def text(lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else shared.value.decode(x.tolist()) for x in _views(lists)], pa.string())
-
-    return coded.withColumn(out, text(F.col(ids)))
-
-
-def _views(lists: pa.Array) -> Iterator[np.ndarray | None]:
-    offsets, values, there = np.asarray(lists.offsets), np.asarray(lists.values), lists.is_valid().to_pylist()
-    for lo, hi, ok in zip(offsets, offsets[1:], there):
-        yield values[lo:hi] if ok else None
+    """coded with the text of each list of ids in column out. The pieces' bytes are joined as hexadecimal digits, as byte pieces are parts of characters."""
+    model = model or Pieces.read(MODEL)
+    spelled = F.split(F.lit(",".join(x.hex() for x in model.spelled)), ",")
+    digits = F.array_join(F.transform(F.col(ids), lambda i: F.get(spelled, i)), "")
+    text = F.make_valid_utf8(F.unhex(digits).cast("string"))
+    if model.dummy_prefix:
+        text = F.when(text.startswith(" "), F.substring(text, 2, 2147483647)).otherwise(text)
+    return coded.withColumn(out, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
