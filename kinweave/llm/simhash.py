@@ -3,27 +3,45 @@
 Every fingerprint gets its Hamming distances to fixed reference fingerprints, whole and by block
 of 16 bits. Two fingerprints with at most 2 differing bits agree in at least two of the four
 blocks, so they have equal coordinates there: an equi-join on the block coordinates finds all of
-them. A pair is discarded when a coordinate differs by more than 2 (triangle inequality), and
-survivors are verified by their exact distance.
-
-Equal fingerprints are one class before any pair is made. In a bucket with many classes no pairs
-are made: its members differ in 32 bits only, and two of them link just when some local
-reference lies within one bit of both; each member is hung on the least member round each of its
-33 local references, which keeps every component and emits a fixed number of rows a member.
-
-Defined cases: null and empty texts have fingerprint zero, linked like any other; texts shorter
-than a shingle give one shingle; a null id takes part, and is not a component id unless all ids
-of its component are null; repeated rows are kept; an empty table gives an empty table; other
-columns are ignored by dedup() and kept by representatives().
+them. A pair is discarded when a coordinate differs by more than the radius (triangle inequality),
+and survivors are verified.
+
+Equal fingerprints are one class before any pair is made. In a bucket with many classes, each
+member is first paired with the least member round each of its 33 local references (it and its
+neighbours by one bit in the blocks that may differ): two members link just when some local
+reference lies within one bit of both, so this keeps every component with a fixed number of pairs
+a member. All pairs, of small and of large buckets, pass the same discarding and verification.
+
+Two rules are offered. dedup() links fingerprints within RADIUS bits (the digest query).
+near_dedup() links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more: their fingerprints differ in 10 bits at that similarity and in up to NEAR_RADIUS at the
+worst, where blocks can't be matched any more, so its candidates meet in the texts' sketches (the
+SKETCH least shingle hashes); reference distances and fingerprints discard, and the whole shingle
+sets verify. The first SKETCH hashes of the union of two similar texts have none in common with a
+chance of 0.2 ** SKETCH, less than that of two texts having one 64-bit hash.
+
+A bucket of near copies makes no square of pairs: each class is held against HUBS members first,
+and members that this has joined are not held against each other again. In a bucket of over CROWD
+classes (a passage that many texts quote) only texts whose sketches consist of such elements to an
+extent that similar texts without a rarer common element must have are held against each other;
+all other similar pairs of it meet in a smaller bucket.
+
+Defined cases: null and empty texts have fingerprint zero and no shingles, and are linked like any
+other; texts shorter than a shingle give one shingle; texts of any length are read whole; a null
+id takes part, and is not a component id unless all ids of its component are null; of tied
+representatives the least id stays; repeated rows are kept by dedup(); an empty table gives an
+empty table; other columns are ignored by dedup() and near_dedup() and kept by representatives().
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,26 +54,44 @@ SHINGLE = 3
 RADIUS = 2
 BLOCK_BITS, BLOCKS = 16, 4
 REFERENCES = 15
-#: Buckets with more classes than this are linked through local references, without pairs.
+#: Buckets with more classes than this are paired through local references.
 PAIRED = 16
+#: near_dedup(): shingle size, similarity as a fraction (so that no rounding decides), elements of a sketch.
+NEAR_SHINGLE, SIMILARITY, SKETCH = 5, (4, 5), 28
+#: Differing bits of similar texts' fingerprints, at most: at the similarity itself a bit differs with probability acos(8/9) / pi, and more than 24 of 64 do once in some 200,000 pairs.
+NEAR_RADIUS = 24
+HUBS = 2
+#: Classes of a large bucket; elements of large buckets in the sketch of a text that can have no rarer element in common with a similar one (fewer have a chance of one in a million).
+CROWD, CROWDED = 64, 11
+#: Ids and elements up to this number are broadcast; above it the planner decides.
+FEW = 500_000
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text, as a signed integer; bytes.lower() and bytes.split() touch A-Z and the six ASCII blanks only."""
+def hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The 64-bit hashes of a text's shingles, in order, repeats included; bytes.lower() and bytes.split() touch A-Z and the six ASCII blanks only."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
-    joined = b" ".join(found)
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = (np.concatenate(([0], ends[:-1] + 1))).tolist()
     ends = ends[min(shingle, len(found)) - 1 :].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(ends), _CHUNK):
-        part = [digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(ends))
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed integer; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), _CHUNK):
+        bits = np.unpackbits(found[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(ends), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text, as a signed integer."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -85,9 +121,11 @@ def _block_coordinates(fp: Column, block: int) -> Column:
     return reduce(lambda a, d: a * (BLOCK_BITS + 1) + d, digits)
 
 
-def _coordinates(fp: Column) -> Column:
-    """The distances to all references."""
-    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(r)).cast("long"))).cast("byte") for r in references()])
+def _within(a: Column, b: Column, radius: int) -> Column:
+    """Whether two fingerprints pass: no distance to a reference differs by more than radius, nor do more bits."""
+    to = lambda fp, r: F.bit_count(fp.bitwiseXOR(F.lit(_signed(r)).cast("long")))
+    gap = F.greatest(*[F.abs(to(a, r) - to(b, r)) for r in references()])
+    return (gap <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -96,48 +134,168 @@ def links(classes: DataFrame) -> DataFrame:
     blocks = classes.select("fp", *[_block_coordinates(F.col("fp"), b).alias(f"b{b}") for b in range(BLOCKS)])
     keyed = blocks.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"b{i}").alias("ka"), F.col(f"b{j}").alias("kb")) for t, (i, j) in enumerate(tables)])).alias("k")).select("fp", "k.*")
     buckets = keyed.groupBy("t", "ka", "kb").agg(F.count("*").alias("n")).filter("n > 1")
-    members = common.saved(keyed.join(buckets, ["t", "ka", "kb"]).withColumn("d", _coordinates(F.col("fp"))))
+    members = common.saved(keyed.join(buckets, ["t", "ka", "kb"]))
     few = members.filter(F.col("n") <= PAIRED)
-    a = few.select("t", "ka", "kb", F.col("fp").alias("fp"), F.col("d").alias("da"))
-    b = few.select("t", "ka", "kb", F.col("fp").alias("other"), F.col("d").alias("db"))
-    gap = F.greatest(*[F.abs(F.get("da", F.lit(k)) - F.get("db", F.lit(k))) for k in range(REFERENCES)])
-    pairs = a.join(b.hint("merge"), ["t", "ka", "kb"]).filter((F.col("fp") < F.col("other")) & (gap <= RADIUS))
-    pairs = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select("fp", "other")
+    a, b = few.select("t", "ka", "kb", "fp"), few.select("t", "ka", "kb", F.col("fp").alias("other"))
+    pairs = a.join(b.hint("merge"), ["t", "ka", "kb"]).filter((F.col("fp") < F.col("other")) & _within(F.col("fp"), F.col("other"), RADIUS)).select("fp", "other")
     # Local references in large buckets: the member itself and its neighbours in the blocks that may differ.
     free = [[0] + [_signed(1 << (BLOCK_BITS * b + k)) for b in range(BLOCKS) if b not in t for k in range(BLOCK_BITS)] for t in tables]
     flips = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in free]), F.col("t") + 1)
     near = members.filter(F.col("n") > PAIRED).select("t", "fp", F.explode(flips).alias("flip")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("ref"))
     # At most 33 fingerprints lie round a local reference, so this grouping has no large group.
     hung = near.groupBy("t", "ref").agg(F.array_agg("fp").alias("fps")).filter(F.size("fps") > 1)
-    hung = hung.select(F.array_min("fps").alias("fp"), F.explode("fps").alias("other")).filter("fp != other")
+    hung = hung.select(F.array_min("fps").alias("fp"), F.explode("fps").alias("other")).filter((F.col("fp") != F.col("other")) & _within(F.col("fp"), F.col("other"), RADIUS))
     return pairs.unionByName(hung).distinct()
 
 
+def _named(classes: DataFrame, links_: DataFrame, a: str, b: str) -> DataFrame:
+    """cls, least (key) of classes -> cls, component_id (the smallest key reachable), rep (the class that holds it)."""
+    roots = connected_components(links_, a, b)
+    named = common.saved(classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root")))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "cls"))).alias("rep"))
+    return common.saved(named.join(ids, "root").select("cls", "component_id", F.col("rep.cls").alias("rep")))
+
+
 def components(signed: DataFrame) -> DataFrame:
-    """key, fp -> fp, component_id (the smallest key reachable)."""
+    """key, fp -> cls (the fingerprint), component_id, rep."""
     classes = common.saved(signed.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = connected_components(links(classes), "fp", "other")
-    named = common.saved(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return common.saved(named.join(ids, "root").select("fp", "component_id"))
+    return _named(classes.withColumnRenamed("fp", "cls"), links(classes), "fp", "other")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fingerprint (hex), component_id for every row."""
     signed = common.saved(fingerprints(docs, key, text, shingle))
-    df = signed.join(components(signed), "fp")
+    df = signed.join(components(signed), F.col("fp") == F.col("cls"))
     return df.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose key is their component's id: one of each group (any one if a key repeats). Rows without a key can't stand for a group or be told apart, and stay."""
-    row = common.fresh(docs, "row")
-    stay = dedup(docs, key, text, shingle).filter(F.col(key).isNotNull() & (F.col(key) == F.col("component_id"))).groupBy(key).count()
-    stay = common.saved(stay)
-    again = stay.filter("count > 1").select(F.col(key).alias(row))
-    kept = docs.join(stay.filter("count = 1").select(F.col(key).alias(row)), F.col(key) == F.col(row), "left_semi")
+# --- near-duplicates by shingle sets ----------------------------------------------------------
+
+
+def elements(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles, as signed integers."""
+    return np.unique(hashes(text, shingle).view(np.int64))
+
+
+def class_of(found: np.ndarray) -> int:
+    """One hash of a whole set of elements."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+
+
+def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """key, cls (of the whole set), n (its size), fp (its fingerprint), sketch (its least elements) for every row."""
+    df = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls, n, fp, sketch = [], [], [], []
+            for x in b.column(1):
+                found = elements(x.as_py(), shingle)
+                cls.append(class_of(found))
+                n.append(len(found))
+                fp.append(majority(found))
+                sketch.append(found[:SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(sketch)], ["key", "cls", "n", "fp", "sketch"])
+
+    return df.mapInArrow(of, f"key {df.schema['key'].dataType.simpleString()}, cls long, n int, fp long, sketch array<long>")
+
+
+def _whole(docs: DataFrame, key: str, text: str, shingle: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, elements of the classes in pairs, from the texts of their rows."""
+    want = common.saved(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "least"))
+    row = common.fresh(docs, "least")
+    rows = docs.join(common.broadcast_if(want.select(F.col("least").alias(row)).distinct(), FEW), F.col(key).eqNullSafe(F.col(row)), "left_semi").select(F.col(text).cast("binary").alias("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [elements(x.as_py(), shingle) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), _lists(sets)], ["cls", "elements"])
+
+    found = rows.mapInArrow(of, "cls long, elements array<long>")
+    return common.saved(found.join(common.broadcast_if(want.select("cls"), FEW), "cls", "left_semi").dropDuplicates(["cls"]))
+
+
+def _similar(pairs: DataFrame, whole: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    up, down = similarity
+    df = pairs.join(whole.select(F.col("cls").alias("a"), F.col("elements").alias("xa")), "a").join(whole.select(F.col("cls").alias("b"), F.col("elements").alias("xb")), "b")
+    both = F.size(F.array_intersect("xa", "xb")).cast("long")
+    return df.withColumn("both", both).filter(F.col("both") * (up + down) >= (F.size("xa") + F.size("xb")) * up).select("a", "b")
+
+
+def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """a, b: similar pairs of different classes that give the components of all similar pairs."""
+    up, down = similarity
+    keyed = classes.select("cls", "n", "fp", F.explode("sketch").alias("token"))
+    # Most elements occur in one class only and go here.
+    sizes = common.saved(keyed.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"))
+    members = common.saved(keyed.join(common.broadcast_if(sizes, FEW), "token"))
+
+    def candidates(df: DataFrame) -> DataFrame:
+        p, q = F.col("p.n").cast("long"), F.col("q.n").cast("long")
+        fits = (F.col("p.cls") != F.col("q.cls")) & (F.least(p, q) * down >= F.greatest(p, q) * up) & _within(F.col("p.fp"), F.col("q.fp"), NEAR_RADIUS)
+        return df.filter(fits).select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = common.saved(pairs)
+        return common.saved(_similar(pairs, _whole(docs, key, text, shingle, classes, pairs), similarity))
+
+    hub = lambda k: F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "fp")).dropFields("h")
+    hubs = members.groupBy("token").agg(F.array_distinct(F.array(*[hub(k) for k in range(HUBS)])).alias("hubs"))
+    me = F.struct("cls", "n", "fp").alias("p")
+    first = verified(candidates(members.join(hubs, "token").select(me, F.explode("hubs").alias("q"))))
+    roots = connected_components(first, "a", "b").withColumnRenamed("node", "cls")
+    # A text in a large bucket has a rarer element in common with every similar text unless its sketch is crowded.
+    crowded = members.filter(F.col("m") > CROWD).groupBy("cls", "n").agg(F.count("*").alias("c")).filter(F.when(F.col("n") <= SKETCH, F.col("c") * down >= F.col("n") * up).otherwise(F.col("c") >= CROWDED))
+    left = members.filter(F.col("m") <= CROWD).unionByName(members.filter(F.col("m") > CROWD).join(crowded.select("cls"), "cls", "left_semi"))
+    named = common.saved(left.join(roots, "cls", "left").select("token", "cls", "n", "fp", F.coalesce("root", "cls").alias("root")))
+    # Any pair of different components has a side outside the bucket's most frequent component.
+    main = named.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("most.root").alias("main"))
+    mixed = common.saved(named.join(main, "token"))
+    p = mixed.filter("root <> main").select("token", F.col("root").alias("pr"), me)
+    q = mixed.select("token", "main", F.col("root").alias("qr"), F.struct("cls", "n", "fp").alias("q"))
+    rest = p.join(q.hint("merge"), "token").filter((F.col("pr") != F.col("qr")) & ((F.col("qr") == F.col("main")) | (F.col("p.cls") < F.col("q.cls"))))
+    return first.unionByName(verified(candidates(rest)))
+
+
+def _near(docs: DataFrame, key: str, text: str, shingle: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """key, cls of every row, and the classes' names."""
+    rows = common.saved(sketches(docs, key, text, shingle))
+    classes = common.saved(rows.groupBy("cls").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    return rows.select("key", "cls"), _named(classes, near_links(docs, classes, key, text, shingle, similarity), "a", "b")
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """key, component_id (the smallest key reachable over similar pairs) for every row."""
+    rows, named = _near(docs, key, text, shingle, similarity)
+    return rows.join(named, "cls").select(F.col("key").alias(key), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: tuple[int, int] | None = SIMILARITY) -> DataFrame:
+    """One row of docs for each component: that of the least key, with its own text if the key repeats. Components are near_dedup()'s, or dedup()'s with similarity None. Rows without a key can't stand for a group or be told apart, and stay."""
+    if similarity:
+        rows, named = _near(docs, key, text, shingle, similarity)
+    else:
+        signed = common.saved(fingerprints(docs, key, text, shingle))
+        rows, named = signed.select("key", F.col("fp").alias("cls")), components(signed)
+    row, mine = common.fresh(docs, "row"), common.fresh(docs, "cls")
+    stay = common.saved(named.filter("cls = rep").select("component_id", "cls"))
+    again = common.saved(rows.filter("key is not null").groupBy("key").count().filter("count > 1").select("key"))
+    # Those that go are the fewer, and the texts need no shuffle while they are few.
+    gone = common.saved(rows.filter("key is not null").join(stay, F.col("key") == F.col("component_id"), "left_anti").select("key").unionByName(again).distinct().withColumnRenamed("key", row))
+    kept = docs.filter(F.col(key).isNotNull()).join(common.broadcast_if(gone, FEW), F.col(key) == F.col(row), "left_anti")
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again, F.col(key) == F.col(row), "left_semi").dropDuplicates([key]))
+        of = (lambda t: class_of(elements(t, shingle))) if similarity else (lambda t: fingerprint(t, shingle))
+        cls = F.udf(lambda t: of(None if t is None else bytes(t)), "long")
+        more = docs.join(again.select(F.col("key").alias(row)), F.col(key) == F.col(row), "left_semi").withColumn(mine, cls(F.col(text).cast("binary")))
+        want = stay.select(F.col("component_id").alias(row), F.col("cls").alias(f"{mine}_want"))
+        more = more.join(want, (F.col(key) == F.col(row)) & (F.col(mine) == F.col(f"{mine}_want")), "left_semi").dropDuplicates([key, mine])
+        kept = kept.unionByName(more.drop(mine))
     return kept.unionByName(docs.filter(F.col(key).isNull()))
 
 

@@ -56,7 +56,7 @@ def test_simhash_components_in_full_buckets(spark):
     want = roots(range(len(order)), [(keys[a], keys[b]) for a, b in combinations(order, 2) if (a ^ b).bit_count() <= 2])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = spark.createDataFrame([(keys[f], signed(f)) for f in order], "key long, fp long")
-    got = {r["fp"]: r["component_id"] for r in simhash.components(rows).collect()}
+    got = {r["cls"]: r["component_id"] for r in simhash.components(rows).collect()}
     assert got == {signed(f): want[keys[f]] for f in order}
 
 
@@ -65,8 +65,9 @@ def test_simhash_defined_cases(spark):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, key int")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.dedup(df).collect())
     assert got == [(-1, 2), (2, 2), (2, 2), (3, 2), (4, 4), (5, 4), (9, 9)]
-    kept = simhash.representatives(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 4, 9]
+    for similarity in (None, simhash.SIMILARITY):
+        kept = simhash.representatives(df, similarity=similarity)
+        assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 4, 9]
     assert simhash.dedup(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
 
 
@@ -88,6 +89,27 @@ def test_embedding_recall_on_a_dense_cloud(spark):
     assert sum(got.values()) >= 0.9 * want.sum()
 
 
+@pytest.mark.parametrize("share, dim, spread", [(1.0, 64, 0.1), (0.6, 64, 0.1), (0.33, 64, 0.1), (0.6, 16, 0.2), (0.5, 200, 0.06), (0.9, 3, 0.3)])
+def test_embedding_recall_where_one_group_is_dense(spark, share, dim, spread):
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(dim) / np.sqrt(dim)
+    dense = rng.random(300) < share
+    v = np.where(dense[:, None], centre + spread * rng.standard_normal((300, dim)) / np.sqrt(dim) * 2, rng.standard_normal((300, dim))).astype(np.float32)
+    rows = spark.createDataFrame([(k, v[k].tolist(), 1) for k in range(300)], "vec_id long, embedding array<float>, label int")
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(rows).collect()}
+    print("recall", share, dim, sum(got.values()) / want.sum(), want.sum())
+    assert all(got[k] <= want[k] for k in got) and want.sum() > 500 and sum(got.values()) >= 0.97 * want.sum()
+
+
+def test_every_length_of_vectors_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [*map(float, 5 * np.eye(d)[0] + 0.1 * rng.standard_normal(d))], 1) for k, d in enumerate([2] * 7 + [3] * 4 + [70] * 5 + [9])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (6, 0) for k in range(7)} | {k: (3, 7) for k in range(7, 11)} | {k: (4, 11) for k in range(11, 16)} | {16: (0, 16)}
+
+
 def test_embedding_defined_cases(spark):
     nan = float("nan")
     rows = [(4, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (2, [1.0, 2.0], 2), (5, [2.0, 4.0], 1), (6, None, 1), (7, [], 1), (8, [0.0, 0.0], 1), (9, [nan, 1.0], 1), (10, [None, 1.0], 1), (11, [1.0, 2.0], None), (12, [float("inf"), 1.0], 1), (13, [1.0], 1)]

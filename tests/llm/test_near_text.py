@@ -7,7 +7,7 @@ from conftest import SMALL
 from test_dedup import roots
 
 import corpus_pipeline
-from kinweave.llm import near_text
+from kinweave.llm import simhash
 
 
 def grams(text):
@@ -37,7 +37,7 @@ def test_edited_copies_go_in_the_pipeline_stage(spark):
 def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     want = by_hand({r["doc_id"]: r["text"] for r in docs.collect()})
-    assert {r["doc_id"]: r["component_id"] for r in near_text.dedup(docs).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs).collect()} == want
 
 
 def test_crowded_buckets_equal_brute_force(spark):
@@ -52,13 +52,13 @@ def test_crowded_buckets_equal_brute_force(spark):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = by_hand(texts)
     assert len(set(want.values())) > 20
-    assert {r["doc_id"]: r["component_id"] for r in near_text.dedup(rows).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(rows).collect()} == want
 
 
 def test_defined_cases(spark):
     rows = [(5, None), (4, " \t\n"), (3, "One"), (2, "one"), (2, "one"), (None, "one"), (9, "lone words here that differ from all"), (2, "a second text under a repeated id")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, cls string")
-    kept = near_text.representatives(df)
+    kept = simhash.representatives(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(-1, "one"), (2, "a second text under a repeated id"), (2, "one"), (4, " \t\n"), (9, "lone words here that differ from all")]
-    assert near_text.dedup(df.limit(0)).count() == 0 and near_text.representatives(df.limit(0)).count() == 0
+    assert simhash.near_dedup(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
