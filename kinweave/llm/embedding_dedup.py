@@ -1,23 +1,31 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, rerank.
 
-Rotations for balanced binary codes are learned on a bounded sample (SAMPLE vectors); every
-vector is encoded and indexed. Codes are cut into substrings; two vectors meet when a substring
-differs in at most one bit, found by an equi-join of the substrings with their one-bit
-neighbours, within a label. Pairs whose codes are too far apart are dropped and the rest are
-reranked by the cosine of the original vectors in double precision.
+Rotations are learned on a bounded sample (SAMPLE vectors of each length), so that the signs of the
+turned vectors lose as little as they can; every vector is encoded and indexed. The cuts go through
+the origin: a bit of two vectors at cosine 0.93 differs with a probability of about an eighth
+(angle / pi), however the vectors cluster, where cuts through the middle of the data would split
+the densest group at random. Codes are cut into substrings; two vectors of a label meet when a
+substring is equal, or differs in one bit that is among the FLIPS least certain bits of either.
+That is an equi-join of the substrings, in which each pair comes out once, in the first table in
+which it meets; all pairs that meet are reranked by the cosine of the original vectors in double
+precision.
 
 Equal vectors of a label form one class first, so copies are counted, never paired. All links
-between different vectors within a dense group are made, since n_links counts them.
+between different vectors within a dense group are made, since n_links counts them: their number,
+not the index, is what a dense group costs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and
-rows with a null label, link with nothing and stay; vectors whose length differs from the most
-common one link with equal vectors only; a null id takes part but names no component unless all
-ids of it are null, and such rows aren't kept; repeated rows count as copies; an empty table
-gives an empty table; other columns are ignored.
+rows with a null label, link with nothing and stay; vectors are compared with those of their own
+length, each length with codes of its own; a null id takes part but names no component unless all
+ids of it are null, and such rows aren't kept; of ties the least id names the component; repeated
+rows count as copies; vectors of any length are used whole; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,31 +35,31 @@ from . import common
 from .graph import connected_components
 
 THRESHOLD = 0.93
-#: Vectors that the rotations are fitted on, at most.
+#: Vectors of a length that the rotations are fitted on, at most.
 SAMPLE = 20_000
-ROTATIONS = 3
+CODES = 3
 BITS = 64
 SUBSTRINGS = 4
-#: Share of differing code bits beyond which a pair isn't reranked; at cosine 0.93 an eighth differs on average.
-FAR = 0.33
+FLIPS = 4
 ITERATIONS = 40
 SEED = 7
 
 
-def fit(sample: np.ndarray, rotations: int = ROTATIONS, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(projection, offsets) for each code: principal axes turned by iterative quantisation, offsets at the medians."""
+def fit(sample: np.ndarray, codes: int = CODES, bits: int = BITS) -> list[np.ndarray]:
+    """The projection (length x bits) of each code: principal axes turned by iterative quantisation. Vectors shorter than bits get several rotations side by side."""
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = x.mean(axis=0)
-    _, axes = np.linalg.eigh(np.cov((x - mean).T).reshape(x.shape[1], -1))
+    _, axes = np.linalg.eigh(x.T @ x / len(x))
     axes = axes[:, ::-1][:, : min(bits, x.shape[1])]
-    v, rng, out = (x - mean) @ axes, np.random.default_rng(SEED), []
-    for _ in range(rotations):
-        r, _ = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))
-        for _ in range(ITERATIONS):
-            left, _, right = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
-            r = left @ right
-        turned = axes @ r
-        out.append((turned, np.median(x @ turned, axis=0)))
+    v, rng, out = x @ axes, np.random.default_rng(SEED), []
+    for _ in range(codes):
+        parts = []
+        while sum(p.shape[1] for p in parts) < bits:
+            r, _ = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))
+            for _ in range(ITERATIONS):
+                left, _, right = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
+                r = left @ right
+            parts.append(axes @ r)
+        out.append(np.concatenate(parts, axis=1)[:, :bits])
     return out
 
 
@@ -60,46 +68,56 @@ def _usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _codes(vectors: DataFrame, model: list) -> DataFrame:
-    """vectors with codes, one long for each rotation."""
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def _codes(vectors: DataFrame, model: list[np.ndarray]) -> DataFrame:
+    """vectors with codes (one long each: the signs) and unsure (one long each: the FLIPS least certain bits of each substring)."""
+    size = BITS // SUBSTRINGS
 
-    @F.pandas_udf("array<long>")
-    def encode(column: pd.Series) -> pd.Series:
+    @F.pandas_udf("codes array<long>, unsure array<long>")
+    def encode(column: pd.Series) -> pd.DataFrame:
         if not len(column):
-            return pd.Series([], dtype=object)
+            return pd.DataFrame({"codes": pd.Series([], dtype=object), "unsure": pd.Series([], dtype=object)})
         x = np.stack(column.to_list()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        out = np.zeros((len(x), len(model)), np.int64)
-        for k, (turned, offsets) in enumerate(model):
-            bits = np.zeros((len(x), 64), np.uint8)
-            bits[:, : turned.shape[1]] = x @ turned >= offsets
-            out[:, k] = np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
-        return pd.Series(list(out))
+        codes, unsure = np.zeros((2, len(x), len(model)), np.int64)
+        for k, turned in enumerate(model):
+            y = x @ turned
+            codes[:, k] = _packed((y >= 0).astype(np.uint8))
+            margin, low = np.abs(y).reshape(len(x), SUBSTRINGS, size), np.zeros((len(x), SUBSTRINGS, size), np.uint8)
+            np.put_along_axis(low, np.argsort(margin, axis=2, kind="stable")[:, :, :FLIPS], 1, axis=2)
+            unsure[:, k] = _packed(low.reshape(len(x), BITS))
+        return pd.DataFrame({"codes": list(codes), "unsure": list(unsure)})
 
-    return vectors.withColumn("codes", encode("v"))
+    return vectors.withColumn("e", encode("v")).select("*", "e.codes", "e.unsure").drop("e")
 
 
-def links(classes: DataFrame, model: list, threshold: float = THRESHOLD) -> DataFrame:
+def links(classes: DataFrame, model: list[np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """a, b (class numbers), na, nb (their sizes): the linked pairs of different vectors found."""
-    width = model[0][0].shape[1]
-    edges = [width * k // SUBSTRINGS for k in range(SUBSTRINGS + 1)]
-    spans = [(r, lo, hi - lo) for r in range(len(model)) for lo, hi in zip(edges, edges[1:]) if hi > lo]
-    coded = common.saved(_codes(classes, model).select("c", "n", "label", "codes"))
-    cut = lambda codes, r, lo, size: F.shiftrightunsigned(codes[r], lo).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
-    table = F.array(*[F.struct(F.lit(t).alias("t"), cut(F.col("codes"), *s).alias("s")) for t, s in enumerate(spans)])
-    index = coded.select("label", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"), F.explode(table).alias("k")).select("label", "b", "nb", "cb", "k.*")
-    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << k for k in range(max(s[2] for s in spans))))])
-    probes = coded.select("label", F.col("c").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"), F.explode(table).alias("k"))
-    probes = probes.select("label", "a", "na", "ca", F.col("k.t").alias("t"), F.col("k.s").alias("s0"), F.explode(flips).alias("flip"))
-    probes = probes.select("label", "a", "na", "ca", "t", F.col("s0").bitwiseXOR(F.col("flip")).alias("s"))
+    size = BITS // SUBSTRINGS
+    spans = [(r, size * k) for r in range(len(model)) for k in range(SUBSTRINGS)]
+    coded = common.saved(_codes(classes, model).select("c", "n", "label", "codes", "unsure"))
+    mask = F.lit((1 << size) - 1).cast("long")
+    cut = lambda x, r, lo: F.shiftrightunsigned(x[r], lo).bitwiseAND(mask)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), cut(F.col("codes"), *s).alias("s"), cut(F.col("unsure"), *s).alias("u")) for t, s in enumerate(spans)])
+    index = coded.select("label", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"), F.col("unsure").alias("ub"), F.explode(keys).alias("k")).select("label", "b", "nb", "cb", "ub", "k.t", "k.s")
+    probes = coded.select("label", F.col("c").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"), F.col("unsure").alias("ua"), F.explode(keys).alias("k"))
+    bits = F.concat(F.array(F.lit(0).cast("long")), F.filter(F.transform(F.array(*[F.lit(1 << k).cast("long") for k in range(size)]), lambda x: x.bitwiseAND(F.col("k.u"))), lambda x: x != 0))
+    probes = probes.select("label", "a", "na", "ca", "ua", F.col("k.t").alias("t"), F.col("k.s").alias("s0"), F.explode(bits).alias("flip"))
+    probes = probes.select("label", "a", "na", "ca", "ua", "t", "flip", F.col("s0").bitwiseXOR(F.col("flip")).alias("s"))
     # Exploded rows look small to the planner: without the hint it would broadcast the index, which grows with the input.
-    pairs = probes.join(index.hint("merge"), ["label", "t", "s"]).filter("a < b")
-    apart = sum(F.bit_count(F.col("ca")[r].bitwiseXOR(F.col("cb")[r])) for r in range(len(model)))
-    # A pair is kept in the first table in which it meets.
+    pairs = probes.join(index.hint("merge"), ["label", "t", "s"])
+    apart = lambda r, lo: cut(F.col("ca"), r, lo).bitwiseXOR(cut(F.col("cb"), r, lo))
+    either = lambda r, lo: cut(F.col("ua"), r, lo).bitwiseOR(cut(F.col("ub"), r, lo))
     first = F.lit(len(spans))
     for t, s in reversed(list(enumerate(spans))):
-        first = F.when(F.bit_count(cut(F.col("ca"), *s).bitwiseXOR(cut(F.col("cb"), *s))) <= 1, t).otherwise(first)
-    pairs = pairs.filter((F.col("t") == first) & (apart <= int(FAR * width * len(model)))).select("a", "na", "b", "nb")
+        first = F.when((apart(*s) == 0) | ((F.bit_count(apart(*s)) == 1) & (apart(*s).bitwiseAND(either(*s)) != 0)), t).otherwise(first)
+    # A pair that both sides find is taken from the smaller number's probe.
+    theirs = reduce(lambda rest, x: F.when(F.col("t") == x[0], cut(F.col("ub"), *x[1])).otherwise(rest), enumerate(spans), F.lit(0).cast("long"))
+    once = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & (F.col("flip") != 0) & (F.col("flip").bitwiseAND(theirs) == 0))
+    pairs = pairs.filter(once & (F.col("t") == first)).select("a", "na", "b", "nb")
     of = lambda k: classes.select(F.col("c").alias(k), F.col("v").alias(f"v{k}"), F.col("norm").alias(f"norm{k}"))
     pairs = pairs.join(of("a"), "a").join(of("b"), "b")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -112,17 +130,16 @@ def dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     classes = rows.filter("usable").groupBy("label", "v").agg(F.min("key").alias("least"), F.count("*").alias("n"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     classes = common.saved(classes.select("label", "v", "least", "n", norm.alias("norm"), F.size("v").alias("dim"), F.monotonically_increasing_id().alias("c")))
-    common_dim = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    result = classes.select("c", F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("m"))
-    if common_dim is not None and common_dim["count"] > 1:
-        same = classes.filter(F.col("dim") == common_dim["dim"])
-        drawn = same.orderBy(F.xxhash64("v"), "c").limit(sample).select("v").collect()
-        result = common.saved(links(same, fit(np.array([r["v"] for r in drawn], np.float64)), threshold))
-        roots = connected_components(result.select("a", "b"), "a", "b")
-        each = result.select(F.col("a").alias("c"), F.col("nb").alias("m")).unionByName(result.select(F.col("b").alias("c"), F.col("na").alias("m"))).groupBy("c").agg(F.sum("m").alias("m"))
-    else:
-        roots = result.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
-        each = result.select("c", "m").limit(0)
+    found = []
+    # One pass for each length of vectors: as many as there are kinds of embeddings.
+    for (dim,) in classes.groupBy("dim").count().filter("count > 1").select("dim").orderBy("dim").collect():
+        same = classes.filter(F.col("dim") == dim)
+        drawn = same.orderBy(F.xxhash64("v"), "c").limit(sample).select("v").toArrow().column("v").combine_chunks()
+        found.append(common.saved(links(same, fit(drawn.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)), threshold)))
+    empty = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb")).limit(0)
+    result = reduce(DataFrame.unionByName, found, empty)
+    roots = connected_components(result.select("a", "b"), "a", "b")
+    each = result.select(F.col("a").alias("c"), F.col("nb").alias("m")).unionByName(result.select(F.col("b").alias("c"), F.col("na").alias("m"))).groupBy("c").agg(F.sum("m").alias("m"))
     named = classes.select("c", "label", "v", "least", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").join(each, "c", "left")
     named = common.saved(named.select("label", "v", "least", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("root", "c").alias("root")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -138,7 +155,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "embeddings"))
 
 
-#: Brute force over all pairs of a label; the index finds every link of the small tables.
+#: Brute force over all pairs of a label.
 ORACLE = r"""
 WITH RECURSIVE ok AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
