@@ -6,10 +6,12 @@ later model sees them as unsure as they will be on new texts. Training takes at
 labelled rows (by hash of the key, so reruns agree) and keeps the SELECTED hashed words that
 tell the categories apart best; all texts are scored whole, row by row, without a shuffle.
 
-Defined cases: a null or empty text gets the intercepts' probabilities; labels that are null,
-or of no document, aren't trained on; a category of one class gives its constant share; without
-labels all probabilities are near zero; repeated rows are scored row by row; an empty table gives
-an empty table; other columns are ignored.
+Defined cases: a null or empty text gets the intercepts' probabilities; texts of any length are
+read whole; labels that are null, or of no document, aren't trained on; a category of one class
+gives its constant share; without labels all probabilities are near zero; of tied hashed words the
+smaller bucket is selected, and a probability at the cut is called; repeated rows are scored row by
+row, and a text counts once in training; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -53,16 +55,21 @@ def features(text: str | None) -> np.ndarray:
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, categories: dict[str, Column], sample: int) -> pd.DataFrame:
     """x (buckets, 32-bit integers) and the categories of the sampled labelled rows. categories: name -> expression over labels' columns and text, null to leave a row out."""
-    drawn = labels.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), *[c for c in labels.columns if c != key]).limit(sample)
+    drawn = common.saved(labels.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), *[c for c in labels.columns if c != key]).limit(sample))
     row = common.fresh(docs, "key")
+    texts = docs.select(F.col(key).alias(row), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # A key may repeat: of the distinct texts of the drawn keys, sample at most, one row each.
+    pairs = texts.select(row, "h").join(F.broadcast(drawn.select(key).distinct()), F.col(row) == F.col(key), "left_semi").distinct()
+    pairs = common.saved(pairs.orderBy(F.xxhash64(row), "h").limit(sample))
 
     @F.pandas_udf("binary")  # 32-bit integers; lists would take ten times the driver's memory
     def hashed(column: pd.Series) -> pd.Series:
         return pd.Series([features(x).tobytes() for x in column], dtype=object)
 
-    rows = docs.select(F.col(key).alias(row), F.col(text).alias("text")).join(F.broadcast(drawn), F.col(row) == F.col(key))
-    rows = rows.select(row, hashed("text").alias("x"), *[c.cast("double").alias(name) for name, c in categories.items()])
-    return rows.dropna(subset=list(categories)).toPandas().sort_values(row, kind="stable")
+    one = texts.join(F.broadcast(pairs), [row, "h"], "left_semi").dropDuplicates([row, "h"])
+    rows = one.join(F.broadcast(drawn), F.col(row) == F.col(key))
+    rows = rows.select(row, "h", hashed("text").alias("x"), *[c.cast("double").alias(name) for name, c in categories.items()])
+    return rows.dropna(subset=list(categories)).toPandas().sort_values([row, "h", *categories], kind="stable")
 
 
 def fit(rows: pd.DataFrame, categories: list[str]) -> tuple[np.ndarray, list, float]:
