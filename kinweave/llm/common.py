@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import discard  # noqa: F401
+from kinweave.sources.shared import written as saved  # noqa: F401
+
 #: Runs of white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A word is a run of anything else.
@@ -39,34 +40,6 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors, and gives the planner true sizes."""
-    path = f"{shared_dir(df.sparkSession)}/kinweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._kinweave_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables made by saved() that nothing will read again."""
-    for df in frames:
-        path = getattr(df, "_kinweave_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -6,8 +6,9 @@ hashes; what is at or below the threshold is taken. Documents are never sorted,
 combine on the map side, so a source with a third of all rows moves no more than any other.
 
 Defined cases: a null text has size 0; a null source is a source of its own, placed last; rows
-with the same key share a hash and are taken together; sources without words get target 0; an
-empty table gives an empty table; other columns are ignored by mix() and kept by mixed().
+with the same key and text share a hash and are taken together, others of one key are told apart by
+their texts; texts of any length are counted whole; sources without words get target 0; an empty
+table gives an empty table; other columns are ignored by mix() and kept by mixed().
 """
 
 from __future__ import annotations
@@ -27,11 +28,16 @@ BITS = 60
 BROADCAST_SOURCES = 100_000
 
 
+def _hash(key: str, text: str) -> Column:
+    """A hash of key and text from 0 to 2^60 that any SQL engine can compute."""
+    both = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, BITS // 4), 16, 10).cast("long")
+
+
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, source, size (words) and h, a hash of the key from 0 to 2^60 that any SQL engine can compute."""
+    """key, source, size (words) and h."""
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(common.WORD)).cast("long")
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
-    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n.alias("size"), h.alias("h"))
+    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n.alias("size"), _hash(key, text).alias("h"))
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -107,9 +113,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     plan = common.saved(thresholds(sized, totals))
     names = {n: common.fresh(docs, n) for n in ("source", "passes", "last", "h")}
     plan = common.broadcast_if(plan.select(F.col("source").alias(names["source"]), F.col("passes").alias(names["passes"]), F.col("last").alias(names["last"])), BROADCAST_SOURCES)
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
     df = docs.join(plan, docs[source].eqNullSafe(F.col(names["source"])))
-    repeats = F.col(names["passes"]) + (h <= F.col(names["last"])).cast("long")
+    repeats = F.col(names["passes"]) + (_hash(key, text) <= F.col(names["last"])).cast("long")
     return df.withColumn(names["h"], F.explode(F.array_repeat(F.lit(0), repeats.cast("int")))).select(*docs.columns)
 
 
@@ -122,7 +127,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap,
          [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),

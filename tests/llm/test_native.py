@@ -30,6 +30,28 @@ def test_mix_keeps_every_row_and_comes_near_its_targets(spark):
     assert mixed.count() == out["repeats"].sum()
 
 
+def test_mix_of_a_source_without_ids_comes_near_its_target(spark):
+    rows = [(None, f"word number {k}", "a") for k in range(400)] + [(k, "one two", "b") for k in range(100)]
+    out = source_mix.mix(docs(spark, rows)).toPandas()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 3
+
+
+def test_targets_equal_repeated_resharing(spark):
+    sizes = {"a": 700, "b": 20, "c": 300, "d": 5, None: 90}
+    got = {r["source"]: r["target"] for r in source_mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    weights = dict(zip(["a", "b", "c", "d", None], (3, 1, 2, 3, 1)))
+    want, left, free = dict.fromkeys(sizes, 0.0), 1.5 * sum(sizes.values()), set(sizes)
+    while free and left > 1e-9:
+        level = left / sum(weights[s] for s in free)
+        over = {s for s in free if want[s] + level * weights[s] >= 2 * sizes[s]}
+        for s in free:
+            give = 2 * sizes[s] - want[s] if s in over else level * weights[s]
+            want[s], left = want[s] + give, left - give
+        free -= over
+    assert got == pytest.approx(want)
+
+
 def test_mix_and_rules_of_an_empty_table(spark):
     none = docs(spark, [])
     assert source_mix.mix(none).count() == source_mix.mixed(none).count() == quality_rules.judge(none).count() == quality_rules.keep(none).count() == 0
@@ -53,7 +75,7 @@ def test_chat_round_trip_merging_and_mask(spark):
     said = [("user", "<|im_end|>"), ("user", "a\\<|b\\\\"), ("assistant", "ü<|im_start|>x"), ("assistant", None), (None, "\\")]
     turns = spark.createDataFrame([(1, k, r, t, "x") for k, (r, t) in enumerate(said)] + [(None, None, "user", "q", "x")] * 2, "conv_id long, turn long, role string, text string, segments string")
     df = chat_format.format_conversations(turns)
-    out = {r["conv_id"]: r for r in df.withColumn("back", chat_format.parse(df["formatted"])).withColumn("loss", chat_format.loss_text(df["segments"])).withColumn("spans", chat_format.loss_spans(df["segments"])).collect()}
+    out = {r["conv_id"]: r for r in df.withColumn("back", chat_format.parse(df["formatted"])).withColumn("loss", chat_format.loss_text(df["formatted"])).withColumn("spans", chat_format.loss_spans(df["segments"])).collect()}
     assert [(t["role"], t["text"]) for t in out[1]["back"]] == [(r or "", t or "") for r, t in said]
     assert out[1]["formatted"].count(chat_format.START) == 3 and out[1]["loss"] == "ü<|im_start|>x"
     assert "".join(out[1]["formatted"][s["start"] : s["end"]] for s in out[1]["spans"]) == "ü<\\|im_start|>x"
@@ -63,12 +85,12 @@ def test_chat_round_trip_merging_and_mask(spark):
 
 def test_url_filter_uses_the_entries_of_the_day(spark):
     day = lambda n: dt.date(2024, 1, n)
-    entries = spark.createDataFrame([("Bad.org", "block", day(5)), ("bad.org", "allow", day(9)), ("ok.bad.org", "allow", day(5)), ("bad.org/x", "block", day(1)), (None, "block", day(1)), ("b.c", None, None)], "rule string, action string, listed date")
-    asked = [(1, "http://bad.org/", 4, False), (2, "http://u@A.BAD.org.:80/p", 5, True), (3, "https://bad.org", 9, False), (4, "http://ok.bad.org/", 6, False), (5, "http://bad.org/x/y", 2, True), (6, None, 6, False), (7, "no url", 6, False), (8, "http://notbad.org", 6, False), (8, "http://notbad.org", 6, False)]
+    entries = spark.createDataFrame([("Bad.org", "block", day(5)), ("bad.org", "allow", day(9)), ("ok.bad.org", "allow", day(5)), ("BAD.org/Xy", "block", day(1)), (None, "block", day(1)), ("b.c", None, None)], "rule string, action string, listed date")
+    asked = [(1, "http://bad.org/", 4, False), (2, "http://u@A.BAD.org.:80/p", 5, True), (3, "https://bad.org", 9, False), (4, "http://ok.bad.org/", 6, False), (5, "http://bad.org/Xy/z", 2, True), (10, "http://bad.org/xy/z", 2, False), (11, "http://" + "a." * 200 + "bad.org", 6, True), (6, None, 6, False), (7, "no url", 6, False), (8, "http://notbad.org", 6, False), (8, "http://notbad.org", 6, False)]
     pages = spark.createDataFrame([(i, u, day(n), "x") for i, u, n, _ in asked] + [(9, "http://bad.org", None, "x")], "page_id long, url string, fetched date, rule string")
     got = sorted((r["page_id"], r["blocked"]) for r in url_filter.evaluate(pages, entries).collect())
     assert got == sorted([(i, b) for i, _, _, b in asked] + [(9, False)])
-    assert url_filter.evaluate(pages.limit(0), entries).count() == 0 and url_filter.evaluate(pages, entries.limit(0)).count() == 10
+    assert url_filter.evaluate(pages.limit(0), entries).count() == 0 and url_filter.evaluate(pages, entries.limit(0)).count() == 12
 
 
 def test_rules_can_be_filtered(spark):
