@@ -9,8 +9,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Predicates whose word isn't the predicate without "has".
-WORDS = ("father", "mother", "parent", "sibling", "brother", "sister", "child", "son", "daughter", "spouse", "husband", "wife", "grandfather", "grandmother", "grandparent", "uncle", "aunt", "cousin", "nephew", "niece")
 #: Number words in the order in which they are looked for.
 NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
 #: Relationship terms, the more specific first.
@@ -27,6 +25,11 @@ MARKERS = ("FINAL ANSWER:", "Final Answer:", "final answer:", "ANSWER:", "Answer
 _S = r"[ \t\n\r\x0B\x0C]"
 
 
+def file_stem(path: Column) -> Column:
+    """The name of a file without its folders and last ending."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
 def strip(x: Column, more: str = "") -> Column:
     """x without white space, and the characters of more, at both ends."""
     c = rf"[ \t\n\r\x0B\x0C{more}]" if more else _S

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.sources.shared import written
@@ -45,9 +45,9 @@ def siblings(p: DataFrame) -> DataFrame:
     return one("mother_id").unionByName(one("father_id")).distinct()
 
 
-def sibling_edges(p: DataFrame) -> DataFrame:
-    """hasSibling, and hasBrother or hasSister by the other's sex."""
-    return siblings(p).select("src", F.explode(F.array(F.lit("hasSibling"), by_sex("hasBrother", "hasSister"))).alias("pred"), "dst")
+def sibling_edges(p: DataFrame, sib: DataFrame | None = None) -> DataFrame:
+    """hasSibling, and hasBrother or hasSister by the other's sex. sib: siblings(p), where it is there already."""
+    return (siblings(p) if sib is None else sib).select("src", F.explode(F.array(F.lit("hasSibling"), by_sex("hasBrother", "hasSister"))).alias("pred"), "dst")
 
 
 def grandparent_edges(p: DataFrame) -> DataFrame:
@@ -59,108 +59,145 @@ def grandparent_edges(p: DataFrame) -> DataFrame:
     return _union(up, two.select(F.col("b.to").alias("src"), F.lit("hasGrandchild").alias("pred"), F.col("id").alias("dst"))).distinct()
 
 
-def parents_siblings(p: DataFrame) -> DataFrame:
+def parents_siblings(p: DataFrame, sib: DataFrame | None = None) -> DataFrame:
     """src, side (Maternal or Paternal), dst, sex: siblings of each known parent."""
-    sib = siblings(p).select(F.col("src").alias("parent"), "dst", "sex")
+    sib = (siblings(p) if sib is None else sib).select(F.col("src").alias("parent"), "dst", "sex")
     side = lambda col, name: p.select(F.col("id").alias("src"), F.col(col).alias("parent"), F.lit(name).alias("side")).filter("parent is not null")
     return side("mother_id", "Maternal").unionByName(side("father_id", "Paternal")).join(sib, "parent").select("src", "side", "dst", "sex")
 
 
-def aunt_uncle_edges(p: DataFrame) -> DataFrame:
+def aunt_uncle_edges(p: DataFrame, sib: DataFrame | None = None) -> DataFrame:
     """hasUncle or hasAunt, and the sided predicate."""
     who = by_sex("Uncle", "Aunt")
-    return parents_siblings(p).select("src", F.explode(F.array(F.concat(F.lit("has"), who), F.concat(F.lit("has"), F.col("side"), who))).alias("pred"), "dst").distinct()
+    return parents_siblings(p, sib).select("src", F.explode(F.array(F.concat(F.lit("has"), who), F.concat(F.lit("has"), F.col("side"), who))).alias("pred"), "dst").distinct()
 
 
 def basic_edges(p: DataFrame) -> DataFrame:
-    """All biological edges but cousins."""
-    return _union(parent_edges(p), spouse_edges(p), sibling_edges(p), grandparent_edges(p), aunt_uncle_edges(p))
-
-
-def closure(p: DataFrame, depth: int | None = 4) -> DataFrame:
-    """id, anc, dist: ancestors within depth steps (None: all) with their least distance, oneself at 0. One join a step; distances combine before the next, so inbreeding doesn't multiply rows."""
-    up = p.select("id", F.explode(F.array("mother_id", "father_id")).alias("to")).filter("to is not null").withColumnRenamed("id", "from")
-    level = p.select("id", F.col("id").alias("anc"))
-    if depth is None:
-        up, level, k = written(up), written(level.withColumn("dist", F.lit(0))), 0
-        known = level
-        while not level.isEmpty():
-            k += 1
-            step = level.join(up, F.col("anc") == F.col("from")).select("id", F.col("to").alias("anc")).distinct()
-            level = written(step.join(known, ["id", "anc"], "left_anti").withColumn("dist", F.lit(k)))
-            known = known.unionByName(level)
-        return known
-    levels = [level.withColumn("dist", F.lit(0))]
-    for k in range(1, depth + 1):
-        level = level.join(up, F.col("anc") == F.col("from")).select("id", F.col("to").alias("anc")).distinct()
-        levels.append(level.withColumn("dist", F.lit(k)))
-    return _union(*levels).groupBy("id", "anc").agg(F.min("dist").alias("dist"))
-
-
-def mrca(p: DataFrame, depth: int | None = 4, pairs: DataFrame | None = None) -> DataFrame:
-    """a, b, mrca, da, db for every ordered pair of different persons (or of pairs(a, b) only) with a common ancestor within depth (None: any): the least da + db, then the least id."""
+    """All biological edges but cousins; siblings are found once."""
+    sib = written(siblings(p))
+    return _union(parent_edges(p), spouse_edges(p), sibling_edges(p, sib), grandparent_edges(p), aunt_uncle_edges(p, sib))
+
+
+def closure(p: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, anc, dist: all ancestors (or those within depth steps) with their least distance, oneself at 0. One join a step, until a step finds no new ancestor; distances combine before the next, so inbreeding doesn't multiply rows, and each step is a written table."""
+    up = written(p.select("id", F.explode(F.array("mother_id", "father_id")).alias("to")).filter("to is not null").withColumnRenamed("id", "from"))
+    level, k = written(p.select("id", F.col("id").alias("anc"), F.lit(0).alias("dist"))), 0
+    known = level
+    while (depth is None or k < depth) and not level.isEmpty():
+        k += 1
+        step = level.join(up, F.col("anc") == F.col("from")).select("id", F.col("to").alias("anc")).distinct()
+        level = written(step.join(known, ["id", "anc"], "left_anti").withColumn("dist", F.lit(k)))
+        known = known.unionByName(level)
+    return known
+
+
+#: Bits of an ancestor's id and of a distance in mrca()'s sort key.
+_ID_BITS, _DIST_BITS = 32, 15
+
+
+def mrca(p: DataFrame, pairs: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """a, b, mrca, da, db for every ordered pair of different persons (or of pairs(a, b) only) with a common ancestor: the least da + db, then the least id.
+
+    The choice is a minimum over one packed long (sum, id, da), which combines on the map side. Without pairs the result has a row for each related pair, so large populations ask for the pairs they need."""
     up = closure(p, depth)
     left, right = up.select(F.col("id").alias("a"), "anc", F.col("dist").alias("da")), up.select(F.col("id").alias("b"), "anc", F.col("dist").alias("db"))
     both = left.join(right, "anc") if pairs is None else pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "anc"])
-    best = both.filter("a <> b").groupBy("a", "b").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("sum"), "anc", "da", "db")).alias("x"))
-    return best.select("a", "b", F.col("x.anc").alias("mrca"), F.col("x.da").alias("da"), F.col("x.db").alias("db"))
-
-
-def _links(pairs: DataFrame, p: DataFrame, who: str, out: str, degrees: int) -> DataFrame:
-    """pairs with column out: the relative through whom who descends from mrca, by the walk that steps to the mother, then to the father of the node reached."""
-    kin = lambda tag: p.select(F.col("id").alias(f"{tag}_id"), F.col("mother_id").alias(f"{tag}_m"), F.col("father_id").alias(f"{tag}_f"))
-    df = pairs.withColumn("cur", F.col(who)).withColumn("hit", F.lit(None).cast("int")).withColumn("dead", F.lit(False))
-    is_or_child = lambda x, tag: F.coalesce((F.col(x) == F.col("mrca")) | F.col(f"{tag}_m").eqNullSafe(F.col("mrca")) | F.col(f"{tag}_f").eqNullSafe(F.col("mrca")), F.lit(False))
-    for k in range(1, degrees + 1):
-        for side in ("m", "f"):
-            df = df.join(kin("c"), F.col("cur") == F.col("c_id"), "left").withColumn("step", F.col(f"c_{side}"))
-            if side == "m":
-                df = df.withColumn("dead", F.col("dead") | ((F.col("da") > k) & F.col("hit").isNull() & F.col("c_m").isNull() & F.col("c_f").isNull()))
-            df = df.join(kin("n"), F.col("step") == F.col("n_id"), "left")
-            walks = (F.col("da") > k) & F.col("hit").isNull() & ~F.col("dead")
-            df = df.withColumn("hit", F.when(walks & F.col("step").isNotNull() & is_or_child("step", "n"), F.col("step")).otherwise(F.col("hit")))
-            df = df.withColumn("cur", F.when(walks, F.coalesce("step", "cur")).otherwise(F.col("cur"))).drop("c_id", "c_m", "c_f", "n_id", "n_m", "n_f", "step")
-    df = df.join(kin("x"), F.col(who) == F.col("x_id"), "left").join(kin("y"), F.col("x_m") == F.col("y_id"), "left")
-    last = F.when(F.col("y_m").eqNullSafe(F.col("mrca")) | F.col("y_f").eqNullSafe(F.col("mrca")), F.col("x_m")).otherwise(F.col("x_f"))
-    return df.withColumn(out, F.when(~F.col("dead"), F.coalesce("hit", last))).drop("cur", "hit", "dead", "x_id", "x_m", "x_f", "y_id", "y_m", "y_f")
-
-
-def cousins(p: DataFrame, depth: int = 4) -> DataFrame:
-    """src, dst, degree, type: parallel if both linking relatives have one sex, else cross; pairs with an equal-depth common ancestor two or more steps up."""
-    pairs = mrca(p, depth).filter("da = db and da >= 2")
-    linked = _links(_links(pairs, p, "a", "la", depth - 1), p, "b", "lb", depth - 1)
-    sex = lambda tag: p.select(F.col("id").alias(f"{tag}_id"), F.col("sex").alias(f"{tag}_sex"))
-    df = linked.join(sex("la"), F.col("la") == F.col("la_id")).join(sex("lb"), F.col("lb") == F.col("lb_id"))
-    return df.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("da") - 1).alias("degree"), F.when(F.col("la_sex") == F.col("lb_sex"), "parallel").otherwise("cross").alias("type"))
-
-
-def clans(p: DataFrame, line: str = "mother_id", depth: int = 64) -> DataFrame:
-    """id, founder: the end of a person's maternal (or paternal) line, by pointer doubling: log(generations) joins, each over the written result of the one before (a self-join doubles the plan that it starts from)."""
-    df = p.select("id", F.coalesce(line, "id").alias("founder"))
-    for _ in range(max(1, (depth - 1).bit_length())):
-        df = written(df)
-        df = df.join(df.select(F.col("id").alias("mid"), F.col("founder").alias("up")), F.col("founder") == F.col("mid")).select("id", F.col("up").alias("founder"))
-    return written(df)
-
-
-def clan_edges(p: DataFrame, system: str) -> DataFrame:
-    """crow: sameMatriclan, else fathersMatriclan, of subjects with a known father; omaha: samePatriclan, else mothersPatriclan, of subjects with a known mother."""
+    long = lambda c: c.cast("long")
+    packed = F.shiftleft(long(F.col("da") + F.col("db")), _ID_BITS + _DIST_BITS) + F.shiftleft(long(F.col("anc")), _DIST_BITS) + long(F.col("da"))
+    best = both.filter("a <> b").groupBy("a", "b").agg(F.min(packed).alias("x"))
+    cut = lambda low, bits: F.shiftright(F.col("x"), low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    df = best.select("a", "b", cut(_DIST_BITS, _ID_BITS).alias("mrca"), cut(0, _DIST_BITS).alias("da"), cut(_ID_BITS + _DIST_BITS, _DIST_BITS).alias("sum"))
+    return df.select("a", "b", "mrca", "da", (F.col("sum") - F.col("da")).alias("db"))
+
+
+def linking_relatives(need: DataFrame, p: DataFrame) -> DataFrame:
+    """need(x, m, n: m is n >= 2 steps above x) with link, through whom x descends from m: a walk of n - 1 rounds that steps to the mother, then to the father of the node reached, and ends at m or a child of m; without one, the parent below m where n is 2, else by the same test. Rows whose walk ends at a person without parents are dropped."""
+    kin = written(p.select("id", "mother_id", "father_id"))
+    node = lambda tag: kin.select(F.col("id").alias(tag), F.col("mother_id").alias(f"{tag}_m"), F.col("father_id").alias(f"{tag}_f"))
+    meets = lambda tag: F.coalesce(F.col(tag).eqNullSafe(F.col("m")) | F.col(f"{tag}_m").eqNullSafe(F.col("m")) | F.col(f"{tag}_f").eqNullSafe(F.col("m")), F.lit(False)) & F.col(tag).isNotNull()
+    walking, found, k = written(need.select("x", "m", "n", F.col("x").alias("cur"))), [], 0
+    while not walking.isEmpty():
+        k += 1
+        df = walking.join(node("c"), F.col("cur") == F.col("c"), "left").filter("c_m is not null or c_f is not null")
+        df = df.join(node("up"), F.col("c_m") == F.col("up"), "left").withColumn("then", F.when(F.col("c_m").isNotNull(), F.col("up_f")).otherwise(F.col("c_f")))
+        df = df.join(node("on"), F.col("then") == F.col("on"), "left")
+        df = df.withColumn("link", F.when(meets("up"), F.col("up")).when(meets("on"), F.col("on")))
+        df = written(df.select("x", "m", "n", "link", F.coalesce("then", "c_m", "cur").alias("cur")))
+        found.append(df.filter("link is not null").select("x", "m", "n", "link"))
+        over = df.filter((F.col("link").isNull()) & (F.col("n") <= k + 1)).select("x", "m", "n")
+        over = over.join(node("c"), F.col("x") == F.col("c")).join(node("up"), F.col("c_m") == F.col("up"), "left")
+        found.append(over.select("x", "m", "n", F.when(F.col("up_m").eqNullSafe(F.col("m")) | F.col("up_f").eqNullSafe(F.col("m")), F.col("c_m")).otherwise(F.col("c_f")).alias("link")))
+        walking = df.filter((F.col("link").isNull()) & (F.col("n") > k + 1)).select("x", "m", "n", "cur")
+    return _union(*found) if found else need.select("x", "m", "n", F.col("x").alias("link")).limit(0)
+
+
+def cousins(p: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """src, dst, degree, type: parallel if both linking relatives have one sex, else cross; pairs of any degree whose most recent common ancestor is as many steps, two or more, above both."""
+    level = written(mrca(p, pairs).filter("da = db and da >= 2"))
+    side = lambda who: level.select(F.col(who).alias("x"), F.col("mrca").alias("m"), F.col("da").alias("n"))
+    linked = linking_relatives(side("a").unionByName(side("b")).distinct(), p)
+    sexed = written(linked.join(p.select(F.col("id").alias("link"), "sex"), "link").select("x", "m", "n", "sex"))
+    of = lambda who, out: sexed.select(F.col("x").alias(who), F.col("m").alias("mrca"), F.col("n").alias("da"), F.col("sex").alias(out))
+    df = level.join(of("a", "sa"), ["a", "mrca", "da"]).join(of("b", "sb"), ["b", "mrca", "da"])
+    return df.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("da") - 1).alias("degree"), F.when(F.col("sa") == F.col("sb"), "parallel").otherwise("cross").alias("type"))
+
+
+def cousin_edges(p: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """hasCousin."""
+    return _edges(cousins(p) if found is None else found, "src", "hasCousin", "dst")
+
+
+def clans(p: DataFrame, line: str = "mother_id") -> DataFrame:
+    """id, founder: the end of a person's maternal (or paternal) line, by pointer doubling until nothing moves: log(generations) joins, each over the written result of the one before."""
+    df, moved = written(p.select("id", F.coalesce(line, "id").alias("founder"))), True
+    while moved:
+        up = df.select(F.col("id").alias("mid"), F.col("founder").alias("up"))
+        after = df.join(up, F.col("founder") == F.col("mid"), "left").select("id", F.coalesce("up", "founder").alias("founder"), (F.col("up") != F.col("founder")).alias("moved"))
+        after = written(after)
+        moved, df = not after.filter("moved").isEmpty(), after.select("id", "founder")
+    return df
+
+
+def clan_members(p: DataFrame, system: str) -> DataFrame:
+    """id, clan: the lines are numbered by their founders' ids. crow counts maternal lines, omaha paternal ones; the window holds one row a clan."""
+    line = clans(p, "mother_id" if system == "crow" else "father_id")
+    numbers = line.select("founder").distinct().withColumn("clan", F.row_number().over(Window.orderBy("founder")))
+    return line.join(numbers, "founder").select("id", "clan")
+
+
+def _clan_sides(p: DataFrame, system: str) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """(id, own, theirs) of subjects with a known parent of the other line, (id, founder) of all, the two predicates."""
     line, other, names = ("mother_id", "father_id", ("sameMatriclan", "fathersMatriclan")) if system == "crow" else ("father_id", "mother_id", ("samePatriclan", "mothersPatriclan"))
     clan = clans(p, line)
     me = p.filter(F.col(other).isNotNull()).select("id", F.col(other).alias("parent")).join(clan.withColumnRenamed("founder", "own"), "id").join(clan.select(F.col("id").alias("parent"), F.col("founder").alias("theirs")), "parent")
+    return me.select("id", "own", "theirs"), clan, names
+
+
+def clan_degrees(p: DataFrame, system: str) -> DataFrame:
+    """src, pred, n, sum_dst: how many clan relations of each kind a subject has, and the sum of their ids, from each clan's totals less the subject: no pairs are made."""
+    me, clan, (same, theirs) = _clan_sides(p, system)
+    totals = clan.groupBy("founder").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    own = me.join(totals, F.col("own") == F.col("founder")).select(F.col("id").alias("src"), F.lit(same).alias("pred"), (F.col("n") - 1).alias("n"), (F.col("ids") - F.col("id")).alias("sum_dst"))
+    other = me.filter("own <> theirs").join(totals, F.col("theirs") == F.col("founder")).select(F.col("id").alias("src"), F.lit(theirs).alias("pred"), "n", F.col("ids").alias("sum_dst"))
+    return own.filter("n > 0").unionByName(other)
+
+
+def clan_edges(p: DataFrame, system: str) -> DataFrame:
+    """crow: sameMatriclan, else fathersMatriclan, of subjects with a known father; omaha: samePatriclan, else mothersPatriclan, of subjects with a known mother. One row a pair, as a graph file has them; clan_degrees() has the totals."""
+    me, clan, (first, second) = _clan_sides(p, system)
     all_ = clan.select(F.col("id").alias("dst"), F.col("founder").alias("clan"))
-    same = me.join(all_, F.col("own") == F.col("clan")).filter("id <> dst").select(F.col("id").alias("src"), F.lit(names[0]).alias("pred"), "dst")
-    theirs = me.join(all_, (F.col("theirs") == F.col("clan"))).filter("id <> dst and clan <> own").select(F.col("id").alias("src"), F.lit(names[1]).alias("pred"), "dst")
+    same = me.join(all_, F.col("own") == F.col("clan")).filter("id <> dst").select(F.col("id").alias("src"), F.lit(first).alias("pred"), "dst")
+    theirs = me.filter("own <> theirs").join(all_, F.col("theirs") == F.col("clan")).select(F.col("id").alias("src"), F.lit(second).alias("pred"), "dst")
     return same.unionByName(theirs)
 
 
-def kin_edges(p: DataFrame, system: str, depth: int = 4) -> DataFrame:
-    """The relations of one kinship system beyond the biological ones; eskimo and sudanese have none."""
+def kin_edges(p: DataFrame, system: str, found: DataFrame | None = None) -> DataFrame:
+    """The relations of one kinship system beyond the biological ones; eskimo and sudanese have none. found: cousins(p), where it is there already."""
     if system in ("crow", "omaha"):
         return clan_edges(p, system)
     if system not in ("iroquois", "dravidian", "hawaiian"):
         return _edges(p.limit(0), "id", "", "id")
-    c, u = cousins(p, depth), parents_siblings(p)
+    c, u = cousins(p) if found is None else found, parents_siblings(p)
     parallel, cross = F.col("type") == "parallel", F.col("type") == "cross"
     same = (F.col("side") == "Maternal") == (F.col("sex") == "F")  # mother's sister, father's brother
     if system == "hawaiian":
@@ -177,17 +214,23 @@ def kin_edges(p: DataFrame, system: str, depth: int = 4) -> DataFrame:
     return held(c, of_cousin).unionByName(held(u, of_sibling)).distinct()
 
 
-def marriage_allowed(pairs: DataFrame, p: DataFrame, system: str, depth: int | None = 4) -> DataFrame:
+def marriage_mix(couples: DataFrame, p: DataFrame) -> DataFrame:
+    """type (parallel, cross or other), n: how the spouses of couples(a, b) are related."""
+    kin = cousins(p, couples).select(F.col("src").alias("a"), F.col("dst").alias("b"), "type")
+    return couples.join(kin, ["a", "b"], "left").groupBy(F.coalesce("type", F.lit("other")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def marriage_allowed(pairs: DataFrame, p: DataFrame, system: str) -> DataFrame:
     """pairs(a, b) with allowed: no siblings, no parent and child, and the system's own prohibition."""
     sib = siblings(p).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("is_sibling"))
     line = parent_edges(p).filter("pred in ('hasParent', 'hasChild')").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("is_line")).distinct()
     df = pairs.join(sib, ["a", "b"], "left").join(line, ["a", "b"], "left")
     no = F.coalesce("is_sibling", F.lit(False)) | F.coalesce("is_line", F.lit(False))
     if system in ("eskimo", "hawaiian", "sudanese"):
-        df = df.join(mrca(p, depth, pairs), ["a", "b"], "left")
+        df = df.join(mrca(p, pairs), ["a", "b"], "left")
         rule = {"eskimo": (F.col("da") == 2) & (F.col("db") == 2), "hawaiian": (F.col("da") >= 2) & (F.col("db") >= 2), "sudanese": (F.col("da") <= 2) & (F.col("db") <= 2)}[system]
     elif system in ("iroquois", "dravidian"):
-        df = df.join(cousins(p, depth).select(F.col("src").alias("a"), F.col("dst").alias("b"), "type"), ["a", "b"], "left")
+        df = df.join(cousins(p, pairs).select(F.col("src").alias("a"), F.col("dst").alias("b"), "type"), ["a", "b"], "left")
         rule = F.col("type") == "parallel"
     else:
         own, other = ("mother_id", "father_id") if system == "crow" else ("father_id", "mother_id")

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinship_terms import PREDICATES
 from ..sources.shared import written
 
 
-def path_steps(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, hop, pred, hops: the steps of each dotted path (a small plan-time table)."""
-    rows = [(p, k + 1, PREDICATES[c], p.count(".") + 1) for p in paths for k, c in enumerate(p.split("."))]
-    return spark.createDataFrame(rows, "path string, hop int, pred string, hops int")
-
-
 def traverse(edges: DataFrame, anchors: DataFrame, path: str) -> DataFrame:
     """anchor, node at the end of one path; distinct after each hop, the start is not excluded."""
     front = anchors.select(F.col("id").alias("anchor"), F.col("id").alias("node"))
@@ -44,6 +40,32 @@ def traverse_all(edges: DataFrame, anchors: DataFrame, paths: list[str]) -> Data
     return out.select("anchor", F.col("prefix").alias("path"), "node")
 
 
+def walk(edges: DataFrame, anchors: DataFrame, paths: list[str]) -> DataFrame:
+    """anchor, prefix, hop, src, pred, dst: every edge walked from any anchor along any prefix of the paths, also those of walks that end early."""
+    spark = edges.sparkSession
+    prefixes = sorted({".".join(p.split(".")[:k]) for p in paths for k in range(1, p.count(".") + 2)})
+    tree = spark.createDataFrame([(".".join(x.split(".")[:-1]), x, PREDICATES[x.split(".")[-1]], x.count(".") + 1) for x in prefixes], "prefix string, longer string, step_pred string, hop int")
+    front, edges, steps = anchors.select(F.col("id").alias("anchor"), F.lit("").alias("prefix"), F.col("id").alias("node")), written(edges.select("src", "pred", "dst")), []
+    for hop in range(1, max(x.count(".") for x in prefixes) + 2):
+        grown = front.join(F.broadcast(tree.filter(F.col("hop") == hop)), "prefix")
+        step = written(grown.join(edges, (F.col("node") == F.col("src")) & (F.col("step_pred") == F.col("pred"))).select("anchor", F.col("longer").alias("prefix"), "hop", "src", "pred", "dst").distinct())
+        steps.append(step)
+        front = step.select("anchor", "prefix", F.col("dst").alias("node")).distinct()
+    return reduce(DataFrame.unionByName, steps)
+
+
+def contexts(walked: DataFrame, people: DataFrame, paths: list[str]) -> DataFrame:
+    """anchor, path, context (fact sentences by hop, each once), size (distinct persons plus edge rows) from walk()."""
+    from ..functions.text import predicate_words
+
+    of = walked.sparkSession.createDataFrame([(p, ".".join(p.split(".")[:k])) for p in paths for k in range(1, p.count(".") + 2)], "path string, prefix string")
+    facts = walked.join(F.broadcast(of), "prefix").groupBy("anchor", "path", "src", "pred", "dst").agg(F.min("hop").alias("hop"), F.count("*").alias("n"))
+    name = lambda c: people.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    facts = facts.join(name("src"), "src").join(name("dst"), "dst").withColumn("fact", F.concat("src_name", F.lit("'s "), predicate_words(F.col("pred")), F.lit(" is "), "dst_name", F.lit(".")))
+    g = facts.groupBy("anchor", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "src", "dst", "fact"))), lambda x: x["fact"]).alias("facts"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("src", "dst"))))).alias("persons"))
+    return g.select("anchor", "path", F.concat_ws(" ", "facts").alias("context"), (F.col("n") + F.col("persons")).cast("long").alias("size"))
+
+
 def at_distance(edges: DataFrame, anchors: DataFrame, paths: list[str], hops: int) -> DataFrame:
     """anchor, node, paths: who is reached by which known paths of so many hops, but the anchor itself."""
     found = traverse_all(edges, anchors, [p for p in paths if p.count(".") + 1 == hops]).filter("anchor <> node")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinship_terms as K
 from ..functions.text import plural, predicate_words
+from ..sources.shared import written
 from . import paths
 
 
@@ -76,7 +77,7 @@ def override_questions(edges: DataFrame, anchors: DataFrame, system: str, extend
     me, label = _name(F.col("anchor")), F.lit(system.capitalize())
     one = F.size("names") == 1
     if not mine:
-        df = _reached(edges, anchors, [p for p in K.paths() if 2 <= p.count(".") + 1 <= 3]).join(F.broadcast(K.bio_path(spark)), "path")
+        df = _reached(edges, anchors, [p for p in K.paths(extended) if p.count(".")]).join(F.broadcast(K.bio_path(spark, extended)), "path")
         text = F.concat(F.lit("In the "), label, F.lit(" (descriptive) system, "), F.when(one, F.concat(F.lit("who is specifically "), me, F.lit("'s "), F.col("bio_term"))).otherwise(F.concat(F.lit("who are specifically "), me, F.lit("'s "), plural(F.col("bio_term")))), F.lit("?"))
         return df.select("anchor", "path", F.lit("descriptive").alias("kind"), text.alias("question_text"), F.col("names").alias("gold"))
     df = _reached(edges, anchors, mine).join(F.broadcast(rules), "path").join(F.broadcast(K.bio_path(spark, True, strict)), "path")
@@ -92,8 +93,10 @@ def override_questions(edges: DataFrame, anchors: DataFrame, system: str, extend
 
 
 def sampled(questions: DataFrame, stratum: str, count: int, order: list[Column], system: str, first: int = 1) -> DataFrame:
-    """The first count rows of each stratum in the given total order, with ids <system>_0001 and on."""
+    """The first count rows of each stratum in the given total order, with ids <system>_0001 and on: a stratum's offset plus the rank in it, so no window spans all rows."""
     k = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    kept = questions.withColumn("rank", k).filter(F.col("rank") <= count)
-    number = F.row_number().over(Window.orderBy(stratum, "rank")) + first - 1
-    return kept.withColumn("question_id", F.format_string("%s_%04d", F.lit(system), number))
+    kept = written(questions.withColumn("rank", k).filter(F.col("rank") <= count))
+    sizes = kept.groupBy(stratum).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a stratum
+    kept = kept.join(sizes.select(stratum, before.alias("__before")), stratum)
+    return kept.withColumn("question_id", F.format_string(f"{system}_%04d", F.col("__before") + F.col("rank") + (first - 1))).drop("__before")

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import kinship_terms as K
 from ..functions import text as X
+from ..operators import dataset as D
+from ..operators import evaluation, metrics, paths, prompts, scoring, transform
 from ..operators import genealogy as G
-from ..operators import metrics, paths, scoring, transform
 from ..operators import questions as Q
+from ..sources import turtle as T
+from ..sources.datasets import gold
 from ..sources.pedigree import PEDIGREE, persons
+from ..sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,8 +33,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _graph(build):
-    """A query on (persons, edges)."""
-    return lambda spark, d: build(persons(spark, d))
+    """A query on persons, which are written once: most queries join them with themselves."""
+    return lambda spark, d: build(written(persons(spark, d)))
 
 
 # --- SQL blocks -----------------------------------------------------------------------------
@@ -52,17 +56,29 @@ gp AS (SELECT src, 'has' || side || 'Grand' || who AS pred, dst FROM gg UNION SE
 _AU = """ps AS (SELECT p.id AS src, p.side, s.dst, s.sex FROM par p JOIN sib s ON s.src = p.parent),
 au AS (SELECT src, CASE sex WHEN 'M' THEN 'hasUncle' ELSE 'hasAunt' END AS pred, dst FROM ps
   UNION SELECT src, 'has' || side || CASE sex WHEN 'M' THEN 'Uncle' ELSE 'Aunt' END, dst FROM ps)"""
-_CL = """cl0 AS (SELECT id, id AS anc, 0 AS dist FROM person UNION SELECT c.id, p.parent, c.dist + 1 FROM cl0 c JOIN par p ON p.id = c.anc WHERE c.dist < {depth}),
-cl AS (SELECT id, anc, min(dist) AS dist FROM cl0 GROUP BY ALL)"""
-_MR = """mr AS (SELECT a, b, mrca, da, db FROM (SELECT x.id AS a, y.id AS b, x.anc AS mrca, x.dist AS da, y.dist AS db,
-  row_number() OVER (PARTITION BY x.id, y.id ORDER BY x.dist + y.dist, x.anc) AS k FROM cl x JOIN cl y ON x.anc = y.anc AND x.id <> y.id) WHERE k = 1)"""
-_CO = """co AS (SELECT m.a AS src, m.b AS dst, 1 AS degree,
-  CASE WHEN (am.mother_id = m.mrca OR am.father_id = m.mrca) = (bm.mother_id = m.mrca OR bm.father_id = m.mrca) THEN 'parallel' ELSE 'cross' END AS type
-  FROM mr m JOIN person a ON a.id = m.a JOIN person b ON b.id = m.b JOIN person am ON am.id = a.mother_id JOIN person bm ON bm.id = b.mother_id WHERE m.da = 2 AND m.db = 2)"""
-
-
-def _sql(select: str, *blocks: str, depth: int = 2) -> str:
-    return "WITH RECURSIVE " + ", ".join([_PERSON, *blocks]).replace("{depth}", str(depth)) + " " + select
+_CL = """cl0 AS (SELECT id, id AS anc, 0 AS dist FROM person UNION SELECT c.id, p.parent, c.dist + 1 FROM cl0 c JOIN par p ON p.id = c.anc),
+cl AS MATERIALIZED (SELECT id, anc, min(dist) AS dist FROM cl0 GROUP BY ALL)"""
+_BEST = "min({'s': x.dist + y.dist, 'mrca': x.anc, 'da': x.dist, 'db': y.dist}) AS z"
+#: All related pairs, or those of a table x(a, b).
+_MR = f"mr AS MATERIALIZED (SELECT a, b, z.mrca, z.da, z.db FROM (SELECT x.id AS a, y.id AS b, {_BEST} FROM cl x JOIN cl y ON x.anc = y.anc AND x.id <> y.id GROUP BY ALL))"
+_MRX = f"mr AS MATERIALIZED (SELECT a, b, z.mrca, z.da, z.db FROM (SELECT q.a, q.b, {_BEST} FROM (SELECT DISTINCT a, b FROM x) q JOIN cl x ON x.id = q.a JOIN cl y ON y.id = q.b AND y.anc = x.anc GROUP BY ALL))"
+#: The walk of a linking relative: k rounds done, cur the node reached, hit the relative once found, dead without parents.
+_CO = """need AS (SELECT a AS x, mrca AS m, da AS n FROM mr WHERE da = db AND da >= 2 UNION SELECT b, mrca, db FROM mr WHERE da = db AND da >= 2),
+walk AS (SELECT x, m, n, 0 AS k, x AS cur, NULL::INT AS hit, false AS dead FROM need UNION ALL
+  SELECT x, m, n, k + 1, coalesce(CASE WHEN c.mother_id IS NOT NULL THEN u.father_id ELSE c.father_id END, c.mother_id, cur),
+    CASE WHEN u.id = m OR u.mother_id = m OR u.father_id = m THEN u.id WHEN o.id = m OR o.mother_id = m OR o.father_id = m THEN o.id END,
+    c.mother_id IS NULL AND c.father_id IS NULL
+  FROM walk JOIN person c ON c.id = cur LEFT JOIN person u ON u.id = c.mother_id
+  LEFT JOIN person o ON o.id = CASE WHEN c.mother_id IS NOT NULL THEN u.father_id ELSE c.father_id END
+  WHERE k < n - 1 AND hit IS NULL AND NOT dead),
+lk AS (SELECT w.x, w.m, w.n, p.sex FROM (SELECT walk.x, walk.m, walk.n, coalesce(hit, CASE WHEN k = walk.n - 1 THEN CASE WHEN u.mother_id = walk.m OR u.father_id = walk.m THEN c.mother_id ELSE c.father_id END END) AS link
+  FROM walk JOIN person c ON c.id = walk.x LEFT JOIN person u ON u.id = c.mother_id WHERE NOT dead AND (hit IS NOT NULL OR k = walk.n - 1)) w JOIN person p ON p.id = w.link),
+co AS MATERIALIZED (SELECT a AS src, b AS dst, (da - 1)::INT AS degree, CASE WHEN s.sex = t.sex THEN 'parallel' ELSE 'cross' END AS type
+  FROM mr JOIN lk s ON s.x = a AND s.m = mrca AND s.n = da JOIN lk t ON t.x = b AND t.m = mrca AND t.n = db WHERE da = db AND da >= 2)"""
+
+
+def _sql(select: str, *blocks: str) -> str:
+    return "WITH RECURSIVE " + ", ".join([_PERSON, *blocks]) + " " + select
 
 
 # --- relations ------------------------------------------------------------------------------
@@ -76,15 +92,17 @@ _add("kin_brothers_sisters", _graph(G.sibling_edges), _sql("SELECT * FROM se", _
 _add("kin_grandparents", _graph(G.grandparent_edges), _sql("SELECT * FROM gp", _PAR, _GP))
 _add("kin_aunts_uncles", _graph(G.aunt_uncle_edges), _sql("SELECT * FROM au", _PAR, _SIB, _AU))
 _add("kin_edges_basic", _graph(lambda p: G.basic_edges(p).groupBy("pred").agg(F.count("*").alias("n"))), _sql("SELECT pred, count(*) AS n FROM (SELECT * FROM pe UNION ALL SELECT * FROM sp UNION ALL SELECT * FROM se UNION ALL SELECT * FROM gp UNION ALL SELECT * FROM au) GROUP BY pred", *_ALL))
-_add("ancestor_closure", _graph(lambda p: G.closure(p, 4)), _sql("SELECT * FROM cl", _PAR, _CL, depth=4))
-_add("mrca_pairs", _graph(lambda p: G.mrca(p, 2)), _sql("SELECT * FROM mr", _PAR, _CL, _MR))
-_add("cousins_typed", _graph(lambda p: G.cousins(p, 2)), _sql("SELECT * FROM co", _PAR, _CL, _MR, _CO))
+_add("ancestor_closure", _graph(G.closure), _sql("SELECT * FROM cl", _PAR, _CL))
+# One row for each pair of relatives would be the square of the population: the whole relation is computed and returned by subject.
+_add("mrca_pairs", _graph(lambda p: G.mrca(p).groupBy("a", "da", "db").agg(F.count("*").alias("n"), F.sum("b").alias("sum_b"), F.sum("mrca").alias("sum_mrca"))), _sql("SELECT a, da, db, count(*) AS n, sum(b)::BIGINT AS sum_b, sum(mrca)::BIGINT AS sum_mrca FROM mr GROUP BY ALL", _PAR, _CL, _MR))
+_add("cousins_typed", _graph(lambda p: G.cousins(p).groupBy("src", "degree", "type").agg(F.count("*").alias("n"), F.sum("dst").alias("sum_dst"))), _sql("SELECT src, degree, type, count(*) AS n, sum(dst)::BIGINT AS sum_dst FROM co GROUP BY ALL", _PAR, _CL, _MR, _CO))
+_add("kin_cousins", _graph(lambda p: G.cousin_edges(p).groupBy("src", "pred").agg(F.count("*").alias("n"), F.sum("dst").alias("sum_dst"))), _sql("SELECT src, 'hasCousin' AS pred, count(*) AS n, sum(dst)::BIGINT AS sum_dst FROM co GROUP BY ALL", _PAR, _CL, _MR, _CO))
 for _line, _name in (("mother_id", "matri"), ("father_id", "patri")):
     _add(f"clan_{_name}", _graph(lambda p, line=_line: G.clans(p, line)), _sql(f"SELECT id, founder FROM ln WHERE up IS NULL", f"ln AS (SELECT id, id AS founder, {_line} AS up FROM person UNION ALL SELECT l.id, p.id, p.{_line} FROM ln l JOIN person p ON p.id = l.up)"))
 for _sys, _line, _other, _a, _b in (("crow", "mother_id", "father_id", "sameMatriclan", "fathersMatriclan"), ("omaha", "father_id", "mother_id", "samePatriclan", "mothersPatriclan")):
     _add(
         f"clan_pairs_{_sys}",
-        _graph(lambda p, s=_sys: G.clan_edges(p, s).groupBy("src", "pred").agg(F.count("*").alias("n"), F.sum("dst").alias("sum_dst"))),
+        _graph(lambda p, s=_sys: G.clan_degrees(p, s)),
         _sql(
             f"""SELECT src, pred, count(*) AS n, sum(dst)::BIGINT AS sum_dst FROM (
             SELECT s.id AS src, CASE WHEN d.founder = c.founder THEN '{_a}' ELSE '{_b}' END AS pred, d.id AS dst
@@ -95,13 +113,17 @@ for _sys, _line, _other, _a, _b in (("crow", "mother_id", "father_id", "sameMatr
 _KIN = {
     "hawaiian": "SELECT src, 'hasClassificatorySibling' AS pred, dst FROM co",
     "iroquois": "SELECT src, unnest(CASE type WHEN 'parallel' THEN ['hasParallelCousin', 'hasClassificatorySibling'] ELSE ['hasCrossCousin'] END) AS pred, dst FROM co",
-    "dravidian": "SELECT src, unnest(CASE type WHEN 'parallel' THEN ['hasParallelCousin', 'hasClassificatorySibling'] ELSE ['hasCrossCousin', 'hasPotentialSpouse'] END) AS pred, dst FROM co",
+    "dravidian": "SELECT src, unnest(CASE type WHEN 'parallel' THEN ['hasParallelCousin', 'hasClassificatorySibling'] ELSE CASE degree WHEN 1 THEN ['hasCrossCousin', 'hasPotentialSpouse'] ELSE ['hasCrossCousin'] END END) AS pred, dst FROM co",
 }
 _CPAR = " UNION SELECT src, 'hasClassificatoryParent', dst FROM ps WHERE (side = 'Maternal') = (sex = 'F')"
 _CROSS = " UNION SELECT src, CASE sex WHEN 'M' THEN '{m}' ELSE '{f}' END, dst FROM ps WHERE (side = 'Maternal') = (sex = 'M')"
 _REST = {"hawaiian": _CPAR, "iroquois": _CPAR + _CROSS.format(m="hasCrossUncle", f="hasCrossAunt"), "dravidian": _CPAR + _CROSS.format(m="hasCrossUncle", f="hasCrossAunt") + _CROSS.format(m="hasMama", f="hasAthai")}
 for _sys in _KIN:
-    _add(f"kin_edges_{_sys}", _graph(lambda p, s=_sys: G.kin_edges(p, s, 2)), _sql(_KIN[_sys] + _REST[_sys], _PAR, _SIB, _AU, _CL, _MR, _CO))
+    _add(
+        f"kin_edges_{_sys}",
+        _graph(lambda p, s=_sys: G.kin_edges(p, s).groupBy("src", "pred").agg(F.count("*").alias("n"), F.sum("dst").alias("sum_dst"))),
+        _sql(f"SELECT src, pred, count(*) AS n, sum(dst)::BIGINT AS sum_dst FROM (SELECT DISTINCT * FROM ({_KIN[_sys]}{_REST[_sys]})) GROUP BY ALL", _PAR, _SIB, _AU, _CL, _MR, _CO),
+    )
 
 
 def _candidates(p: DataFrame) -> DataFrame:
@@ -120,33 +142,21 @@ for _sys, _rule in _RULES.items():
     _own, _oth = ("mother_id", "father_id") if _sys != "omaha" else ("father_id", "mother_id")
     _add(
         f"marriage_ok_{_sys}",
-        _graph(lambda p, s=_sys: G.marriage_allowed(_candidates(p), p, s, 2)),
+        _graph(lambda p, s=_sys: G.marriage_allowed(written(_candidates(p)), p, s)),
         _sql(
             f"""SELECT x.a, x.b, NOT (coalesce({_rule}, false) OR EXISTS (SELECT 1 FROM sib WHERE src = x.a AND dst = x.b)
             OR EXISTS (SELECT 1 FROM par WHERE (id = x.a AND parent = x.b) OR (id = x.b AND parent = x.a))) AS allowed
             FROM x LEFT JOIN mr ON mr.a = x.a AND mr.b = x.b LEFT JOIN co ON co.src = x.a AND co.dst = x.b
             LEFT JOIN clan1 ca ON ca.id = x.a LEFT JOIN clan1 cb ON cb.id = x.b LEFT JOIN clan1 fa ON fa.id = x.pa LEFT JOIN clan1 fb ON fb.id = x.pb""",
-            _PAR, _SIB, _CL, _MR, _CO, _LN.format(t=1, l=_own),
-            f"x AS (SELECT a.id AS a, b.id AS b, a.{_oth} AS pa, b.{_oth} AS pb FROM person a JOIN person b ON a.sex = 'M' AND b.sex = 'F' AND abs(a.id - b.id) <= 10)",
+            _PAR, _SIB, _CL, f"x AS (SELECT a.id AS a, b.id AS b, a.{_oth} AS pa, b.{_oth} AS pb FROM person a JOIN person b ON a.sex = 'M' AND b.sex = 'F' AND abs(a.id - b.id) <= 10)", _MRX, _CO, _LN.format(t=1, l=_own),
         ),
     )
-
-# Over all ancestors; the queries above look two steps up, as their SQL does.
-_ALL_STEPS = 1_000_000
-_MRX = """mr AS (SELECT a, b, da, db FROM (SELECT x.a, x.b, ca.dist AS da, cb.dist AS db, row_number() OVER (PARTITION BY x.a, x.b ORDER BY ca.dist + cb.dist, ca.anc) AS k
-  FROM x JOIN cl ca ON ca.id = x.a JOIN cl cb ON cb.id = x.b AND cb.anc = ca.anc) WHERE k = 1)"""
-for _sys in ("eskimo", "hawaiian", "sudanese"):
-    _add(
-        f"marriage_ok_{_sys}_whole",
-        _graph(lambda p, s=_sys: G.marriage_allowed(_candidates(p), p, s, None)),
-        _sql(
-            f"""SELECT x.a, x.b, NOT (coalesce({_RULES[_sys]}, false) OR EXISTS (SELECT 1 FROM sib WHERE src = x.a AND dst = x.b)
-            OR EXISTS (SELECT 1 FROM par WHERE (id = x.a AND parent = x.b) OR (id = x.b AND parent = x.a))) AS allowed
-            FROM x LEFT JOIN mr ON mr.a = x.a AND mr.b = x.b""",
-            _PAR, _SIB, _CL, "x AS (SELECT a.id AS a, b.id AS b FROM person a JOIN person b ON a.sex = 'M' AND b.sex = 'F' AND abs(a.id - b.id) <= 10)", _MRX, depth=_ALL_STEPS,
-        ),
-    )
-_add("mrca_counts_whole", _graph(lambda p: G.mrca(p, None).groupBy("a", "da", "db").agg(F.count("*").alias("n"))), _sql("SELECT a, da, db, count(*) AS n FROM mr GROUP BY ALL", _PAR, _CL, _MR, depth=_ALL_STEPS))
+_add(
+    "marriage_mix",
+    _graph(lambda p: G.marriage_mix(p.filter("sex = 'M' and spouse_id is not null").select(F.col("id").alias("a"), F.col("spouse_id").alias("b")), p)),
+    _sql("SELECT coalesce(type, 'other') AS type, count(*) AS n FROM x LEFT JOIN co ON co.src = x.a AND co.dst = x.b GROUP BY ALL", _PAR, _CL, "x AS (SELECT id AS a, spouse_id AS b FROM person WHERE sex = 'M' AND spouse_id IS NOT NULL)", _MRX, _CO),
+)
+_add("clan_members", _graph(lambda p: G.clan_members(p, "crow")), _sql("SELECT id, dense_rank() OVER (ORDER BY founder)::INT AS clan FROM ln WHERE up IS NULL", "ln AS (SELECT id, id AS founder, mother_id AS up FROM person UNION ALL SELECT l.id, p.id, p.mother_id FROM ln l JOIN person p ON p.id = l.up)"))
 
 # --- paths ----------------------------------------------------------------------------------
 
@@ -193,14 +203,6 @@ def _values(rows: list[tuple]) -> str:
 
 
 _BIO = f"bio(path, bio_term) AS (VALUES {_values(list(K.BIO_PATHS.items()))})"
-for _sys in K.SYSTEMS:
-    _rules = [(p, t, k) for s, p, t, k in K.overrides() if s == _sys] or [("none", "none", "none")]
-    _add(
-        f"cultural_terms_{_sys}",
-        _graph(lambda p, s=_sys: K.resolve_terms(paths.traverse_all(_edges(p), p, _TWO).withColumn("system", F.lit(s)), p.sparkSession).groupBy("system", "path", "bio_term", "kin_term", "has_override", "term").agg(F.count("*").alias("n"))),
-        _sql(f"SELECT '{_sys}' AS system, t2.path, bio_term, kin_term, kin_term IS NOT NULL AS has_override, coalesce(kin_term, bio_term) AS term, count(*) AS n FROM t2 JOIN bio USING (path) LEFT JOIN ov USING (path) GROUP BY ALL", *_E, _T2, _BIO, f"ov(path, kin_term, kin_predicate) AS (VALUES {_values(_rules)})"),
-    )
-
 # --- questions ------------------------------------------------------------------------------
 
 _joined = lambda df, *cols: df.withColumns({c: F.concat_ws("|", c) for c in cols})
@@ -225,33 +227,8 @@ _add(
     ),
 )
 _add("cat3_filters", _graph(lambda p: _joined(Q.filter_questions(_edges(p)), "names")), _sql("SELECT src AS anchor, pred AS template, replace(q, '{name}', 'P' || src) AS question_text, string_agg('P' || dst, '|' ORDER BY 'P' || dst) AS names FROM edge JOIN t USING (pred) GROUP BY ALL", *_E, _EDGE, f"t(pred, q) AS (VALUES {_values(list(Q.FILTERS))})"))
-_R2 = "r2 AS (SELECT anchor, path, list('P' || node ORDER BY 'P' || node) AS names FROM t2 WHERE anchor <> node GROUP BY ALL)"
 _PLURAL = "CASE WHEN ends_with({t}, ')') THEN regexp_replace({t}, '^(.*) (\\(.*)$', '\\1s \\2') ELSE {t} || 's' END"
-_add(
-    "cat2_questions",
-    _graph(lambda p: _joined(Q.path_questions(_edges(p), p, _TWO), "names")),
-    _sql(
-        f"""SELECT anchor, path, hops, question_text, array_to_string(names, '|') AS names, bio_term FROM (SELECT *, 2 AS hops, row_number() OVER (PARTITION BY question_text ORDER BY path) AS k FROM (
-        SELECT anchor, path, names, bio_term, CASE len(names) WHEN 1 THEN 'Who is P' || anchor || '''s ' || bio_term || '?' ELSE 'Who are P' || anchor || '''s ' || {_PLURAL.format(t="bio_term")} || '?' END AS question_text FROM r2 JOIN bio USING (path))) WHERE k = 1""",
-        *_E, _T2, _R2, _BIO,
-    ),
-)
-for _sys in ("hawaiian", "iroquois", "dravidian", "crow", "omaha"):
-    _rules = [(p, t) for s, p, t, _ in K.overrides() if s == _sys and p.count(".") == 1]
-    _cap = _sys.capitalize()
-    _add(
-        f"cat4_{_sys}",
-        _graph(lambda p, s=_sys: _joined(Q.override_questions(_edges(p), p, s).filter("path in ('F.B', 'F.Z', 'M.B', 'M.Z')"), "gold").groupBy("question_text").agg(F.max("kind").alias("kind"), F.max("anchor").alias("anchor"))),
-        _sql(
-            f"""SELECT question_text, max(kind) AS kind, max(anchor) AS anchor FROM (SELECT anchor, unnest(['cultural_term', 'disambiguation', 'comparison']) AS kind, unnest([
-            'In the {_cap} kinship system, ' || CASE len(names) WHEN 1 THEN 'who is P' || anchor || '''s ' || kin_term ELSE 'who are P' || anchor || '''s ' || kin_term || 's' END || '?',
-            'In the {_cap} system, ' || array_to_string(names, ', ') || CASE len(names) WHEN 1 THEN ' is called P' || anchor || '''s ''' || kin_term ELSE ' are called P' || anchor || '''s ''' || kin_term || 's' END || '''. What is their actual biological relationship?',
-            'List all of P' || anchor || '''s ' || kin_term || 's according to the {_cap} system.']) AS question_text FROM r2 JOIN ov USING (path)) GROUP BY question_text""",
-            *_E, _T2, _R2, f"ov(path, kin_term) AS (VALUES {_values(_rules)})",
-        ),
-    )
-
-# Over all paths and overrides, base and extended; the queries above take paths of two hops, as their SQL does.
+# Over all paths and overrides, base and extended.
 _EVERY = list(K.paths(extended=True))
 _BIO_EVERY = f"bio(path, bio_term) AS (VALUES {_values(list(K.paths(extended=True).items()))})"
 
@@ -269,9 +246,9 @@ def _tree(wanted: list[str]) -> str:
 
 
 _RN = "rn AS (SELECT anchor, path, list('P' || node ORDER BY 'P' || node) AS names FROM tn WHERE anchor <> node GROUP BY ALL)"
-_add("top_paths_whole", _graph(lambda p: paths.traverse_all(_edges(p), p, _EVERY).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(10)), _sql("SELECT path, count(*) AS n FROM tn GROUP BY path ORDER BY n DESC, path LIMIT 10", *_E, _tree(_EVERY)))
+_add("top_paths", _graph(lambda p: paths.traverse_all(_edges(p), p, _EVERY).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(10)), _sql("SELECT path, count(*) AS n FROM tn GROUP BY path ORDER BY n DESC, path LIMIT 10", *_E, _tree(_EVERY)))
 _add(
-    "cat2_questions_whole",
+    "cat2_questions",
     _graph(lambda p: _joined(Q.path_questions(_edges(p), p, _EVERY), "names")),
     _sql(
         f"""SELECT anchor, path, hops, question_text, array_to_string(names, '|') AS names, bio_term FROM (SELECT *, row_number() OVER (PARTITION BY question_text, hops ORDER BY path) AS k FROM (
@@ -282,7 +259,7 @@ _add(
 for _sys in K.SYSTEMS:
     _rules = [(p, t, k) for s, p, t, k in K.overrides(True) if s == _sys] or [("none", "none", "none")]
     _add(
-        f"cultural_terms_{_sys}_whole",
+        f"cultural_terms_{_sys}",
         _graph(lambda p, s=_sys: K.resolve_terms(paths.traverse_all(_edges(p), p, _EVERY).withColumn("system", F.lit(s)), p.sparkSession, True).groupBy("system", "path", "bio_term", "kin_term", "has_override", "term").agg(F.count("*").alias("n"))),
         _sql(f"SELECT '{_sys}' AS system, tn.path, bio_term, kin_term, kin_term IS NOT NULL AS has_override, coalesce(kin_term, bio_term) AS term, count(*) AS n FROM tn JOIN bio USING (path) LEFT JOIN ov USING (path) GROUP BY ALL", *_E, _tree(_EVERY), _BIO_EVERY, f"ov(path, kin_term, kin_predicate) AS (VALUES {_values(_rules)})"),
     )
@@ -290,7 +267,7 @@ for _sys in ("hawaiian", "iroquois", "dravidian", "crow", "omaha"):
     _rules = [(p, t) for s, p, t, _ in K.overrides(True) if s == _sys and p in K.paths(extended=True)]
     _cap = _sys.capitalize()
     _add(
-        f"cat4_{_sys}_whole",
+        f"cat4_{_sys}",
         _graph(lambda p, s=_sys: _joined(Q.override_questions(_edges(p), p, s, extended=True), "gold")),
         _sql(
             f"""SELECT x.text AS question_text, min(x.kind) AS kind, min(anchor) AS anchor, list(path ORDER BY length(path), path)[1] AS path, array_to_string(list_sort(list_distinct(flatten(list(x.gold)))), '|') AS gold
@@ -303,8 +280,12 @@ for _sys in ("hawaiian", "iroquois", "dravidian", "crow", "omaha"):
     )
 
 
+_C2 = f"""c2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_text, hops ORDER BY path) AS k FROM (
+    SELECT anchor, path, len(string_split(path, '.'))::INT AS hops, names, bio_term, CASE len(names) WHEN 1 THEN 'Who is P' || anchor || '''s ' || bio_term || '?' ELSE 'Who are P' || anchor || '''s ' || {_PLURAL.format(t="bio_term")} || '?' END AS question_text FROM rn JOIN bio USING (path))) WHERE k = 1)"""
+
+
 def _sample(p: DataFrame) -> DataFrame:
-    q = Q.path_questions(_edges(p), p, _TWO)
+    q = Q.path_questions(_edges(p), p, _EVERY)
     return Q.sampled(q, "path", 50, [(F.col("anchor") * 7919 + 13) % 10007, F.col("anchor")], "crow").select("question_id", "anchor", "path", "rank")
 
 
@@ -312,12 +293,81 @@ _add(
     "question_sample_ids",
     _graph(_sample),
     _sql(
-        """SELECT 'crow_' || lpad((row_number() OVER (ORDER BY path, rank))::VARCHAR, 4, '0') AS question_id, anchor, path, rank FROM (SELECT anchor, path, (row_number() OVER (PARTITION BY path ORDER BY (anchor * 7919 + 13) % 10007, anchor))::INT AS rank FROM r2) WHERE rank <= 50""",
-        *_E, _T2, _R2,
+        """SELECT 'crow_' || lpad((row_number() OVER (ORDER BY path, rank))::VARCHAR, 4, '0') AS question_id, anchor, path, rank FROM (SELECT anchor, path, (row_number() OVER (PARTITION BY path ORDER BY (anchor * 7919 + 13) % 10007, anchor))::INT AS rank FROM c2) WHERE rank <= 50""",
+        *_E, _tree(_EVERY), _RN, _BIO_EVERY, _C2,
+    ),
+)
+
+
+def _people(p: DataFrame) -> DataFrame:
+    return p.select("id", F.concat(F.lit("P"), F.col("id").cast("string")).alias("name"))
+
+
+_SEVERAL = [p for p in K.BIO_PATHS if 2 <= p.count(".") + 1 <= 4]
+
+
+def _question_set(p: DataFrame) -> DataFrame:
+    found = D.path_rows(_edges(p), _people(p), _SEVERAL)
+    rows = D.sampled(D.multi_hop_rows(found, "crow"), "crow")
+    return rows.select("question_id", "n_hops", "question_text", "path", F.concat_ws("|", "names").alias("names"), "bio_term", "kin_term", "has_override")
+
+
+_CROW = [(p, t, k) for s, p, t, k in K.overrides() if s == "crow"]
+_add(
+    "question_set",
+    _graph(_question_set),
+    _sql(
+        """SELECT 'crow_' || lpad((row_number() OVER (ORDER BY hops, r))::VARCHAR, 4, '0') AS question_id, hops AS n_hops, question_text, path, array_to_string(names, '|') AS names, bio_term, kin_term, kin_term IS NOT NULL AS has_override
+        FROM (SELECT c2.*, kin_term, row_number() OVER (PARTITION BY hops ORDER BY md5('42|' || question_text), question_text, path) AS r FROM c2 LEFT JOIN ov USING (path)) WHERE r <= 50""",
+        *_E, _tree(_SEVERAL), _RN, _BIO_EVERY, _C2, f"ov(path, kin_term, kin_predicate) AS (VALUES {_values(_CROW)})",
+    ),
+)
+_add(
+    "question_funnel",
+    _graph(lambda p: D.funnel(_edges(p), _people(p), "crow", _SEVERAL)),
+    _sql(
+        f"""SELECT hops, asked, coalesce(reached, 0) AS reached, coalesce(kept, 0) AS kept FROM (SELECT hops, count(*) * (SELECT count(*) FROM person) AS asked FROM (VALUES {_values([(p.count('.') + 1,) for p in _SEVERAL])}) AS w(hops) GROUP BY hops)
+        LEFT JOIN (SELECT len(string_split(path, '.')) AS hops, count(*) AS reached FROM rn GROUP BY ALL) USING (hops) LEFT JOIN (SELECT hops, count(*) AS kept FROM c2 GROUP BY hops) USING (hops)""",
+        *_E, _tree(_SEVERAL), _RN, _BIO_EVERY, _C2,
     ),
 )
 
 
+def _described(p: DataFrame) -> DataFrame:
+    return D.override_rows(D.path_rows(_edges(p), _people(p), _SEVERAL), "eskimo").select("anchor", "path", "question_text", F.concat_ws("|", "names").alias("names"))
+
+
+_add(
+    "cat4_eskimo",
+    _graph(_described),
+    _sql(
+        f"""SELECT anchor, path, question_text, array_to_string(names, '|') AS names FROM (SELECT *, row_number() OVER (PARTITION BY question_text, hops ORDER BY path) AS k FROM (SELECT anchor, path, names, len(string_split(path, '.')) AS hops,
+        'In the Eskimo (descriptive) system, ' || CASE len(names) WHEN 1 THEN 'who is specifically P' || anchor || '''s ' || bio_term ELSE 'who are specifically P' || anchor || '''s ' || {_PLURAL.format(t="bio_term")} END || '?' AS question_text FROM rn JOIN bio USING (path))) WHERE k = 1""",
+        *_E, _tree(_SEVERAL), _RN, _BIO_EVERY,
+    ),
+)
+for _hops, _count, _first_id in (((4,), D.FOUR_HOP_COUNT, D.FOUR_HOP_IDS), ((5, 6), D.LONG_HOP_COUNT, D.LONG_HOP_IDS)):
+    _rules = [(p, t) for s, p, t, _ in K.overrides(True) if s == "crow" and p.count(".") + 1 in _hops]
+    _add(
+        f"augment_{'_'.join(map(str, _hops))}hop",
+        _graph(lambda p, h=_hops, n=_count, f=_first_id: D.further(_edges(p), _people(p), "crow", h, n, f).select("question_id", "n_hops", "question_text", "kin_term", F.concat_ws("|", gold("ground_truth")).alias("answer"))),
+        _sql(
+            f"""SELECT 'crow_' || lpad(({_first_id - 1} + row_number() OVER (ORDER BY n_hops, r))::VARCHAR, 4, '0') AS question_id, n_hops, question_text, kin_term, answer FROM (
+            SELECT *, row_number() OVER (PARTITION BY n_hops ORDER BY md5('42|' || question_text), question_text, path) AS r FROM (
+            SELECT *, row_number() OVER (PARTITION BY question_text, n_hops ORDER BY path, anchor) AS k FROM (SELECT anchor, path, len(string_split(path, '.'))::INT AS n_hops, kin_term, x.text AS question_text, x.answer AS answer FROM (SELECT *, unnest([
+            {{'text': 'In the Crow kinship system, ' || CASE len(names) WHEN 1 THEN 'who is P' || anchor || '''s ' || kin_term ELSE 'who are P' || anchor || '''s ' || kin_term || 's' END || '?', 'answer': array_to_string(names, '|')}},
+            {{'text': 'In the Crow system, ' || array_to_string(names, ', ') || CASE len(names) WHEN 1 THEN ' is called P' || anchor || '''s ''' || kin_term ELSE ' are called P' || anchor || '''s ''' || kin_term || 's' END || '''. What is their actual biological relationship?', 'answer': bio_term}},
+            {{'text': 'List all of P' || anchor || '''s ' || kin_term || 's according to the Crow system.', 'answer': array_to_string(names, '|')}}]) AS x FROM rn JOIN ov USING (path) JOIN bio USING (path)))) WHERE k = 1) WHERE r <= {_count}""",
+            *_E, _tree([p for p, _ in _rules]), _RN, _BIO_EVERY, f"ov(path, kin_term) AS (VALUES {_values(_rules)})",
+        ),
+    )
+_add(
+    "turtle_blocks",
+    _graph(lambda p: T.turtle_blocks(T.edge_triples(G.parent_edges(p).filter("pred in ('hasFather', 'hasMother')")))),
+    _sql("SELECT '<http://example.org/person/person_' || id || '> <http://example.org/family/hasFather> <http://example.org/person/person_' || father_id || '> ;' || chr(10) || '    <http://example.org/family/hasMother> <http://example.org/person/person_' || mother_id || '> .' AS value FROM person WHERE father_id IS NOT NULL"),
+)
+
+
 # --- text -----------------------------------------------------------------------------------
 
 
@@ -414,7 +464,6 @@ _add(
     f"WITH m AS (SELECT l_linenumber, " + ", ".join(f"avg(l_quantity / 50) FILTER ({_LI} = '{m}') AS {m}" for m in ("real", "fictional", "system_only", "term_only")) + f" FROM lineitem GROUP BY l_linenumber), x AS (SELECT *, fictional - real AS delta_full, system_only - real AS delta_sys, term_only - real AS delta_term FROM m), y AS (SELECT *, delta_full - (delta_sys + delta_term) AS interaction FROM x) SELECT l_linenumber, {', '.join(_ABL)} FROM y",
 )
 _add("envelope_ci", lambda spark, d: metrics.envelope(_table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.min("l_discount").alias("lo"), F.max("l_tax").alias("hi")), ["l_returnflag"]), "SELECT l_returnflag, min(l_discount) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag")
-_add("top_paths", _graph(lambda p: paths.traverse_all(_edges(p), p, _TWO).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(10)), _sql("SELECT path, count(*) AS n FROM t2 GROUP BY path ORDER BY n DESC, path LIMIT 10", *_E, _T2))
 _add("dup_names", lambda spark, d: _table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1"), "SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
 _add("limit_filtered", lambda spark, d: _table(spark, d, "part").filter("p_size in (1, 3)").orderBy("p_partkey").limit(25).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 3) ORDER BY p_partkey LIMIT 25")
 _add("augment_merge", lambda spark, d: transform.merged(_table(spark, d, "part").filter("p_size < 25").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v")), _table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v")), ["k"]), "SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size < 25 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
@@ -425,13 +474,109 @@ _add(
 )
 
 
+_ASKED = "CASE p_partkey % 3 WHEN 0 THEN 'How many are there?' WHEN 1 THEN 'What is their actual biological relationship?' ELSE 'Who are they?' END"
+_SAID = """CASE WHEN p_partkey % 11 = 0 THEN '[ERROR: none]' WHEN p_partkey % 3 = 0 THEN 'There are ' || CAST(p_size + p_partkey % 2 AS STRING) || ' of them.'
+  WHEN p_partkey % 3 = 1 THEN CASE WHEN p_partkey % 4 < 2 THEN 'He is the paternal uncle.' ELSE 'A cousin' END ELSE CASE WHEN p_partkey % 4 < 2 THEN 'Larry Williams and Ann Brown' ELSE 'Ann Brown, Sam Hill and ann brown' END END"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    part = _table(spark, d, "part")
+    q = part.select(F.col("p_partkey").cast("string").alias("question_id"), F.expr(_ASKED).alias("question_text"), (F.col("p_partkey") % 4 + 1).cast("int").alias("category"), (F.col("p_partkey") % 5 + 1).cast("int").alias("n_hops"), F.element_at(F.array(*map(F.lit, K.SYSTEMS)), (F.col("p_partkey") % 7 + 1).cast("int")).alias("kinship_system"), (F.col("p_partkey") % 2 == 0).alias("has_cultural_override"), F.lit("b").alias("bio_term"), F.lit(None).cast("string").alias("kin_term"), F.expr("CASE p_partkey % 3 WHEN 0 THEN cast(p_size AS VARIANT) WHEN 1 THEN cast('paternal uncle (FB)' AS VARIANT) ELSE cast(array('Larry Williams', 'Ann Brown') AS VARIANT) END").alias("ground_truth"))
+    r = part.select(F.col("p_partkey").cast("string").alias("question_id"), F.expr(_SAID).alias("response"), F.lit(0.5).alias("response_time"))
+    return evaluation.evaluated(q, r)
+
+
+_EV = f"""ev AS (SELECT p_partkey::VARCHAR AS question_id, (p_partkey % 4 + 1)::INT AS category, (p_partkey % 5 + 1)::INT AS n_hops, ([{', '.join(f"'{x}'" for x in K.SYSTEMS)}])[p_partkey % 7 + 1] AS kinship_system, p_partkey % 2 = 0 AS has_override, p_partkey % 11 = 0 AS is_error, p_partkey % 3 AS kind, 0.5::DOUBLE AS response_time,
+  CASE WHEN p_partkey % 11 = 0 THEN 0.0 WHEN p_partkey % 3 = 0 THEN (p_partkey % 2 = 0)::INT::DOUBLE WHEN p_partkey % 4 < 2 THEN 1.0 WHEN p_partkey % 3 = 1 THEN 0.0 ELSE 0.5 END AS precision FROM part),
+es AS (SELECT *, precision = 1.0 AS exact_match, precision > 0 AS partial_match, precision AS recall, precision AS f1 FROM ev)"""
+_add("answers_scored", lambda spark, d: _answers(spark, d).select("question_id", "category", "n_hops", "kinship_system", "has_override", "is_error", "exact_match", "partial_match", "precision", "recall", "f1", "response_time"), f"WITH {_EV} SELECT question_id, category, n_hops, kinship_system, has_override, is_error, exact_match, partial_match, precision, recall, f1, response_time FROM es")
+_MEANS = ", ".join(f"round(avg({c}::DOUBLE), 6) AS {c}" for c in ("exact_match", "partial_match", "precision", "recall", "f1"))
+_add(
+    "answers_breakdown",
+    lambda spark, d: _rounded(evaluation.breakdown(_answers(spark, d), "kinship_system"), "exact_match", "partial_match", "precision", "recall", "f1"),
+    f"""WITH {_EV} SELECT kinship_system, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(n_hops) = 0 THEN 'hops' WHEN grouping(has_override) = 0 THEN 'override' ELSE 'overall' END AS part,
+    CASE WHEN grouping(category) = 0 THEN 'cat_' || category WHEN grouping(n_hops) = 0 THEN 'hop_' || n_hops WHEN grouping(has_override) = 0 THEN CASE WHEN has_override THEN 'with_override' ELSE 'no_override' END ELSE 'all' END AS value,
+    count(*) AS total, {_MEANS}, count(*) FILTER (is_error) AS errors, sum(response_time) AS seconds FROM es GROUP BY GROUPING SETS ((kinship_system), (kinship_system, category), (kinship_system, n_hops), (kinship_system, has_override))""",
+)
+_add(
+    "systems_table",
+    lambda spark, d: _rounded(evaluation.systems_table(_answers(spark, d)), "exact", "f1", "cat1", "cat2", "cat3", "cat4"),
+    f"WITH {_EV} SELECT kinship_system, count(*) AS total, round(avg(exact_match::DOUBLE) * 100, 6) AS exact, round(avg(f1) * 100, 6) AS f1, " + ", ".join(f"round(coalesce(avg(exact_match::DOUBLE) FILTER (category = {k}) * 100, 0), 6) AS cat{k}" for k in (1, 2, 3, 4)) + " FROM es GROUP BY kinship_system",
+)
+_add("western_means", lambda spark, d: _rounded(evaluation.western_means(_answers(spark, d)), "macro_mean"), f"WITH {_EV} SELECT kinship_system IN ('eskimo', 'sudanese') AS western, round(avg(m), 6) AS macro_mean, count(*) AS systems FROM (SELECT kinship_system, avg(exact_match::DOUBLE) AS m FROM es GROUP BY ALL) GROUP BY ALL")
+_add(
+    "taxonomy_by_system",
+    lambda spark, d: evaluation.taxonomy(_pairs(spark, d).select(F.element_at(F.array(*map(F.lit, K.SYSTEMS)), F.col("m").cast("int")).alias("kinship_system"), "predicted", "gold", F.array(F.lit("A")).alias("default")), ["over_inclusion", "partial_overlap", "default_substitution", "wrong_disjoint"]),
+    f"""WITH {_SC}, m AS (SELECT l_orderkey, min(l_linenumber) AS m FROM lineitem GROUP BY ALL), c AS (SELECT ([{', '.join(f"'{x}'" for x in K.SYSTEMS)}])[m] AS kinship_system, CASE WHEN len(list_intersect(p, g)) = len(g) THEN 'over' WHEN len(list_intersect(p, g)) = len(p) THEN 'under' WHEN partial_match THEN 'overlap' WHEN p = ['A'] THEN 'default' ELSE 'disjoint' END AS class FROM s JOIN m USING (l_orderkey) WHERE NOT exact_match)
+    SELECT kinship_system, count(*) FILTER (class = 'over') AS over_inclusion, count(*) FILTER (class = 'overlap') AS partial_overlap, count(*) FILTER (class = 'default') AS default_substitution, count(*) FILTER (class = 'disjoint') AS wrong_disjoint FROM c GROUP BY ALL""",
+)
+_PS = "l_returnflag AS kinship_system, l_linenumber AS pattern_idx, l_quantity > 25 AS original_exact_match, l_quantity / 50 AS original_f1, l_tax > 0.04 AS exact_match, l_discount * 10 AS f1"
+_add(
+    "paraphrase_summary",
+    lambda spark, d: evaluation.paraphrase_summary(_table(spark, d, "lineitem").selectExpr(*_PS.split(", "))).select("part", "value", "n", "flips", *[F.round(c, 1).alias(c) for c in ("orig_em", "para_em", "orig_f1")]),
+    f"""SELECT CASE WHEN grouping(kinship_system) = 0 THEN 'system' WHEN grouping(pattern_idx) = 0 THEN 'pattern' ELSE 'overall' END AS part, CASE WHEN grouping(kinship_system) = 0 THEN kinship_system WHEN grouping(pattern_idx) = 0 THEN pattern_idx::VARCHAR ELSE 'all' END AS value, count(*) AS n,
+    count(*) FILTER (original_exact_match <> exact_match) AS flips, round(round(avg(original_exact_match::DOUBLE) * 100, 2), 1) AS orig_em, round(round(avg(exact_match::DOUBLE) * 100, 2), 1) AS para_em, round(round(avg(original_f1) * 100, 2), 1) AS orig_f1 FROM (SELECT {_PS} FROM lineitem) GROUP BY GROUPING SETS ((), (kinship_system), (pattern_idx))""",
+)
+
+
+def _prompted(spark: SparkSession, d: str, **options) -> DataFrame:
+    q = _table(spark, d, "part").select("p_partkey", F.col("p_name").alias("question_text"), F.col("p_type").alias("context"), (F.col("p_partkey") % 4 + 1).cast("int").alias("category"), F.element_at(F.array(*map(F.lit, K.SYSTEMS)), (F.col("p_partkey") % 7 + 1).cast("int")).alias("kinship_system"))
+    return prompts.with_prompts(q, **options).select("p_partkey", "prompt")
+
+
+def _filled(wording: str, **parts: str) -> str:
+    out = "'" + wording.replace("'", "''") + "'"
+    for k, v in ({"context": "p_type", "question": "p_name"} | parts).items():
+        out = out.replace(f"{{{k}}}", f"' || {v} || '")
+    return out
+
+
+_RULE = "coalesce('Cultural Rule: ' || (MAP {" + ", ".join(f"'{k}': '" + v.replace("'", "''") + "'" for k, v in prompts.RULES.items()) + "})[([" + ", ".join(f"'{x}'" for x in K.SYSTEMS) + "])[p_partkey % 7 + 1]] || chr(10) || chr(10), '')"
+_add("prompts_direct", lambda spark, d: _prompted(spark, d, rules=True), f"SELECT p_partkey, {_filled(prompts.DIRECT, rule=_RULE)} AS prompt FROM part")
+for _style in prompts.STYLES:
+    _add(f"prompts_{_style}", lambda spark, d, s=_style: _prompted(spark, d, protocol="zero_shot_cot", style=s), f"SELECT p_partkey, {_filled(prompts.STYLES[_style])} AS prompt FROM part")
+
+
+def _few_shot(spark: SparkSession, d: str) -> DataFrame:
+    shown = _table(spark, d, "supplier").filter("s_suppkey < 6").select(F.when(F.col("s_suppkey") < 4, 2).otherwise(3).alias("category"), F.lit("c").alias("context"), F.col("s_name").alias("question_text"), F.lit("r").alias("reasoning"), F.lit("a").alias("answer"), F.col("s_suppkey").alias("place"))
+    return _prompted(spark, d, protocol="few_shot_cot", examples=shown)
+
+
+_BLOCK = "chr(10) || '--- Example ' || k || ' ---' || chr(10) || 'Context: c' || chr(10) || 'Question: ' || s_name || chr(10) || 'Reasoning: r' || chr(10) || 'FINAL ANSWER: a' || chr(10)"
+_add(
+    "prompts_few_shot",
+    _few_shot,
+    f"""WITH x AS (SELECT s_name, s_suppkey AS place, CASE WHEN s_suppkey < 4 THEN 2 ELSE 3 END AS cat FROM supplier WHERE s_suppkey < 6),
+    e AS (SELECT cat, string_agg({_BLOCK}, '' ORDER BY k) AS t FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY place) AS k FROM x) WHERE k <= 3 GROUP BY cat UNION ALL
+      SELECT NULL, string_agg({_BLOCK}, '' ORDER BY k) FROM (SELECT *, row_number() OVER (ORDER BY place) AS k FROM x) WHERE k <= 3)
+    SELECT p_partkey, {_filled(prompts.FEW_SHOT, examples="coalesce(m.t, r.t)")} AS prompt FROM part LEFT JOIN e m ON m.cat = p_partkey % 4 + 1 JOIN e r ON r.cat IS NULL""",
+)
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.per_system_sample(_table(spark, d, "part").select(F.col("p_brand").alias("kinship_system"), "p_partkey"), key="p_partkey")
+
+
+_add("per_system_sample", _known, "SELECT kinship_system, p_partkey FROM (SELECT p_brand AS kinship_system, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5('42|' || p_partkey), p_partkey) AS k FROM part) WHERE k <= 10")
+_add("question_counts", lambda spark, d: _pairs(spark, d).groupingSets([["category"], ["n_hops"]], "category", "n_hops").agg(F.count("*").alias("n")), f"WITH {_SC} SELECT category, n_hops, count(*) AS n FROM s GROUP BY GROUPING SETS ((category), (n_hops))")
+
+
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
     li = _table(spark, d, "lineitem")
     counts = li.groupBy(F.col("l_returnflag").alias("model"), F.when(F.col("l_linenumber") <= 2, "a").otherwise("b").alias("side")).agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("exact"))
-    return metrics.bootstrap_gap(counts, 2_000)
+    return _rounded(metrics.bootstrap_gap(counts), "gap", "lo", "hi")
 
 
-_add("bootstrap_ci", _bootstrap)
+_U = lambda tag: f"(('0x' || substr(md5('0|' || replicate || '|' || model || '|' || side || '|{tag}'), 1, 7))::BIGINT::DOUBLE / 268435456)"
+_add(
+    "bootstrap_ci",
+    _bootstrap,
+    f"""WITH c AS (SELECT l_returnflag AS model, CASE WHEN l_linenumber <= 2 THEN 'a' ELSE 'b' END AS side, count(*) AS n, count(*) FILTER (l_quantity > 25) AS exact FROM lineitem GROUP BY ALL),
+    p AS (SELECT *, exact / n AS p, CASE side WHEN 'a' THEN 1 ELSE -1 END AS sign FROM c),
+    r AS (SELECT replicate, model, sum(sign * greatest(0.0, least(1.0, p + sqrt(-2 * ln(1 - {_U('r')})) * cos(2 * pi() * {_U('t')}) * sqrt(p * (1 - p) / n)))) AS gap FROM p, range(10000) AS x(replicate) GROUP BY ALL),
+    g AS (SELECT avg(gap) AS gap FROM r GROUP BY replicate)
+    SELECT round((SELECT avg(gap) FROM (SELECT sum(sign * p) AS gap FROM p GROUP BY model)), 6) AS gap, round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi FROM g""",
+)
 
 
 def queries() -> dict:

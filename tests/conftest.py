@@ -41,7 +41,7 @@ def duck():
 def _plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if v is None or v != v:
+    if v is None or (not isinstance(v, list) and pd.isna(v)):
         return "null"
     if isinstance(v, pd.Timestamp) and v == v.normalize():  # DuckDB's frames have dates as midnights
         v = v.date()
