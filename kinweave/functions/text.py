@@ -66,8 +66,8 @@ def extract_names(x: Column) -> Column:
     return F.when(x.isNull() | (x == "") | is_error(x), none).when(F.size(full) > 0, once).when(one != "", F.array(one)).when(whole != "", F.array(whole)).otherwise(none)
 
 
-def extract_number(x: Column, strict: bool = True) -> Column:
-    """The first run of digits; else the first number word, anywhere (strict) or as a word only."""
+def extract_number(x: Column, strict: bool = False) -> Column:
+    """The first run of digits; else the first number word, as a word only or (strict) anywhere."""
     low = F.lower(x)
     word = reduce(lambda rest, k: F.when(F.contains(low, F.lit(NUMBERS[k])) if strict else low.rlike(rf"\b{NUMBERS[k]}\b"), k).otherwise(rest), reversed(range(len(NUMBERS))), F.lit(None).cast("long"))
     digits = F.regexp_extract(x, r"\b([0-9]+)\b", 1)

@@ -102,7 +102,7 @@ def _first(rows: DataFrame, *by: str) -> DataFrame:
 
 def multi_hop_rows(found: DataFrame, system: str, extended: bool = False, strict: bool = False) -> DataFrame:
     """Category 2 from path_rows(): biological terms; a text comes once for each number of hops."""
-    df = K.resolve_terms(found.withColumn("system", F.lit(system)), found.sparkSession, extended, strict)
+    df = K.resolve_terms(found.drop("hops").withColumn("system", F.lit(system)), found.sparkSession, extended, strict)
     one = F.size("names") == 1
     text = F.when(one, _said("Who is ", F.col("anchor_name"), "'s ", F.col("bio_term"), "?")).otherwise(_said("Who are ", F.col("anchor_name"), "'s ", plural(F.col("bio_term")), "?"))
     return _first(_rows(df, 2, n_hops=F.col("hops"), question_text=text, ids=F.col("ids"), names=F.col("names"), single=one, context=F.col("context"), path=F.col("path"), bio_term=F.col("bio_term"), kin_term=F.col("kin_term"), has_override=F.col("has_override"), size=F.col("size"), kind=F.lit("multi_hop")), "n_hops")
@@ -111,7 +111,7 @@ def multi_hop_rows(found: DataFrame, system: str, extended: bool = False, strict
 def override_rows(found: DataFrame, system: str, extended: bool = False, strict: bool = False) -> DataFrame:
     """Category 4 from path_rows(): three ways of asking about each overridden path; systems without overrides are asked descriptively."""
     label, me, one = F.lit(system.capitalize()), F.col("anchor_name"), F.size("names") == 1
-    df = K.resolve_terms(found.withColumn("system", F.lit(system)), found.sparkSession, extended, strict)
+    df = K.resolve_terms(found.drop("hops").withColumn("system", F.lit(system)), found.sparkSession, extended, strict)
     common = {"n_hops": F.col("hops"), "ids": F.col("ids"), "context": F.col("context"), "path": F.col("path"), "bio_term": F.col("bio_term"), "size": F.col("size")}
     if system in K.WESTERN:
         text = _said("In the ", label, " (descriptive) system, ", F.when(one, _said("who is specifically ", me, "'s ", F.col("bio_term"))).otherwise(_said("who are specifically ", me, "'s ", plural(F.col("bio_term")))), "?")

@@ -140,4 +140,4 @@ def per_system_sample(rows: DataFrame, count: int = 10, seed: int = 42, key: str
 
 def percent(share: Column) -> Column:
     """A share as text, in percent with one decimal."""
-    return F.concat(F.format_number(F.bround(share * 100, 1), "0.0"), F.lit("%"))
+    return F.concat(F.format_number(F.bround(share * 100, 1), 1), F.lit("%"))

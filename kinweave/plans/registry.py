@@ -381,7 +381,7 @@ _STRIP = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"  # noqa: E73
 _NORM = lambda x: f"regexp_replace(regexp_replace(lower({_STRIP(f'coalesce({x}, {chr(39)*2})')}), '{_S}+', ' ', 'g'), '[^A-Za-z0-9_ ]', '', 'g')"
 _text("normalize_text", X.normalize_name, _NORM("text"))
 _text("question_type", X.question_type, "CASE WHEN contains(lower(text), 'how many') THEN 'count' WHEN contains(lower(text), 'biological relationship') OR contains(lower(text), 'what is their') THEN 'relationship' ELSE 'name' END")
-_text("extract_number", X.extract_number, "CASE WHEN text IS NULL OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN NULL WHEN regexp_extract(text, '\\b([0-9]+)\\b', 1) <> '' THEN TRY_CAST(regexp_extract(text, '\\b([0-9]+)\\b', 1) AS BIGINT) " + " ".join(f"WHEN contains(lower(text), '{w}') THEN {k}" for k, w in enumerate(X.NUMBERS)) + " END")
+_text("extract_number", lambda x: X.extract_number(x, strict=True), "CASE WHEN text IS NULL OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN NULL WHEN regexp_extract(text, '\\b([0-9]+)\\b', 1) <> '' THEN TRY_CAST(regexp_extract(text, '\\b([0-9]+)\\b', 1) AS BIGINT) " + " ".join(f"WHEN contains(lower(text), '{w}') THEN {k}" for k, w in enumerate(X.NUMBERS)) + " END")
 _text("extract_relationship", X.extract_relationship, "CASE WHEN text IS NULL OR text = '' OR starts_with(text, '[ERROR') OR starts_with(text, '[BLOCKED') THEN NULL " + " ".join("WHEN contains(lower(text), '" + t.replace("'", "''") + f"') THEN '" + t.replace("'", "''") + "'" for t in X.RELATIONSHIPS) + f" ELSE lower({_STRIP('text')}) END")
 # DuckDB's \b knows ASCII only: accented letters are put as _, other characters beyond ASCII as a full stop; neither can be part of a name.
 _ASCII = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\pL\p{Nd}\pM]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"

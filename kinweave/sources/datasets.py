@@ -62,7 +62,7 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 def summary_document(questions: DataFrame, system: str, config: dict | None = None) -> DataFrame:
     """value: one JSON text with kinship_system, total_questions, by_category, by_hops and config, from one pass over questions."""
     counts = questions.groupingSets([["category"], ["n_hops"]], "category", "n_hops").agg(F.count("*").alias("n"), F.grouping("n_hops").alias("cat"))
-    of = lambda flag, key: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("cat") == flag, F.struct(F.col(key).cast("string"), "n")))))
+    of = lambda flag, key: F.map_from_entries(F.sort_array(F.collect_list(F.when((F.col("cat") == flag) & F.col(key).isNotNull(), F.struct(F.col(key).cast("string"), "n")))))
     df = counts.agg(F.coalesce(F.sum(F.when(F.col("cat") == 1, F.col("n"))), F.lit(0)).alias("total_questions"), of(1, "category").alias("by_category"), of(0, "n_hops").alias("by_hops"))
     own = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(str(v))) for k, v in sorted((config or {}).items())])) if config else F.create_map().cast("map<string,string>")
     return df.select(F.to_json(F.struct(F.lit(system).alias("kinship_system"), "total_questions", "by_category", "by_hops", own.alias("config"))).alias("value"))

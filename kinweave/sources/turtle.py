@@ -37,7 +37,7 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
 
     Names stay prefixed, "a" stays as it is, literals are unquoted; comment lines and @prefix statements go; repeated triples are kept."""
     blocks = spark.read.option("lineSep", " .\n").text(path).select(file_stem(F.col("_metadata.file_path")).alias("system"), F.regexp_replace(F.regexp_replace("value", r"(?m)^\s*#.*$", ""), r"\s*\.?\s*$", "").alias("block"))
-    blocks = blocks.select("system", F.filter(F.split("block", r"\.\s*\n(?=\s*(?:@prefix|\S+:))"), lambda b: ~F.ltrim(b).startswith("@") & (F.trim(b) != "")).alias("blocks")).select("system", F.explode("blocks").alias("block"))
+    blocks = blocks.select("system", F.filter(F.split("block", r"\.\s*\n(?=\s*(?:@prefix|\S+:))"), lambda b: ~b.rlike(r"^\s*(?:@|\z)")).alias("blocks")).select("system", F.explode("blocks").alias("block"))
     tokens = blocks.select("system", F.regexp_extract_all("block", F.lit(_TOKEN), 0).alias("t")).filter(F.size("t") > 2)
     parts = F.split(F.array_join(F.slice("t", 2, F.size("t")), _MARK), f"{_MARK};{_MARK}?")
     rows = tokens.select("system", F.col("t")[0].alias("subj"), F.explode(parts).alias("part")).select("system", "subj", F.split("part", _MARK).alias("x"))
@@ -139,3 +139,40 @@ def edge_triples(found: DataFrame, prefix: str = "family") -> DataFrame:
     """src, pred, dst as triples."""
     iri = lambda c: F.concat(F.lit("person:person_"), F.col(c).cast("string"))
     return found.select(iri("src").alias("subj"), F.concat(F.lit(f"{prefix}:"), F.col("pred")).alias("pred"), iri("dst").alias("obj"), F.lit("iri").alias("kind"), F.lit(None).cast("string").alias("datatype"))
+
+
+#: The vocabulary. Labels follow from the names but for those with a note in brackets.
+_CLASSES = ("Person", "Male", "Female", "Marriage")
+_FACTS = {"firstName": "xsd:string", "surname": "xsd:string", "yearOfBirth": "xsd:integer"}
+_RELATIONS = (
+    "hasParent", "hasMother", "hasFather", "hasChild", "hasSon", "hasDaughter", "hasSpouse", "hasHusband", "hasWife", "hasSibling", "hasBrother", "hasSister",
+    "hasGrandparent", "hasGrandmother", "hasGrandfather", "hasMaternalGrandmother", "hasMaternalGrandfather", "hasPaternalGrandmother", "hasPaternalGrandfather", "hasGrandchild",
+    "hasUncle", "hasAunt", "hasMaternalUncle", "hasMaternalAunt", "hasPaternalUncle", "hasPaternalAunt", "hasCousin", "hasNephew", "hasNiece",
+)
+_KIN = {
+    "hawaiian": ("hasClassificatoryParent", "hasClassificatorySibling"),
+    "iroquois": ("hasClassificatoryParent", "hasClassificatorySibling", "hasParallelCousin", "hasCrossCousin", "hasCrossUncle", "hasCrossAunt"),
+    "dravidian": ("hasClassificatoryParent", "hasClassificatorySibling", "hasParallelCousin", "hasCrossCousin", "hasCrossUncle", "hasCrossAunt", "hasMama", "hasAthai", "hasPotentialSpouse", "hasAffinalRelative"),
+    "crow": ("sameMatriclan", "fathersMatriclan", "hasSkewedGeneration"),
+    "omaha": ("samePatriclan", "mothersPatriclan", "hasSkewedGeneration"),
+}
+_LABELS = {
+    "hasMaternalUncle": "has maternal uncle (mother's brother)", "hasMaternalAunt": "has maternal aunt (mother's sister)", "hasPaternalUncle": "has paternal uncle (father's brother)", "hasPaternalAunt": "has paternal aunt (father's sister)",
+    "hasCrossUncle": "has cross-uncle (mother's brother)", "hasCrossAunt": "has cross-aunt (father's sister)", "hasCrossCousin": "has cross-cousin", "hasMama": "has Mama (mother's brother)", "hasAthai": "has Athai (father's sister)",
+    "hasPotentialSpouse": "has potential spouse (cross-cousin)", "hasSkewedGeneration": "has skewed generation relationship", "fathersMatriclan": "father's matriclan", "mothersPatriclan": "mother's patriclan",
+}
+
+
+def vocabulary(spark: SparkSession, system: str) -> DataFrame:
+    """subj, pred, obj, kind, datatype: the classes and properties that a system's graph declares."""
+    label = lambda name: _LABELS.get(name) or (name if name[0].isupper() else "".join(f" {c.lower()}" if c.isupper() else c for c in name))
+    rows = []
+    for name in (*_CLASSES, *(("Clan",) if system in ("crow", "omaha") else ())):
+        rows += [(f"family:{name}", "a", "owl:Class", "iri"), (f"family:{name}", "rdfs:label", label(name), "literal")]
+    for name, kind in _FACTS.items():
+        rows += [(f"family:{name}", "a", "owl:DatatypeProperty", "iri"), (f"family:{name}", "rdfs:label", label(name), "literal"), (f"family:{name}", "rdfs:range", kind, "iri")]
+    for name in _RELATIONS:
+        rows += [(f"family:{name}", "a", "owl:ObjectProperty", "iri"), (f"family:{name}", "rdfs:label", label(name), "literal"), (f"family:{name}", "rdfs:domain", "family:Person", "iri"), (f"family:{name}", "rdfs:range", "family:Person", "iri")]
+    for name in _KIN.get(system, ()):
+        rows += [(f"kin:{name}", "a", "owl:ObjectProperty", "iri"), (f"kin:{name}", "rdfs:label", label(name), "literal")]
+    return spark.createDataFrame([(*r, None) for r in rows], "subj string, pred string, obj string, kind string, datatype string")

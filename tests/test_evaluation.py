@@ -1,0 +1,194 @@
+"""Question sets, prompts, answers and scores on hand-made cases."""
+
+import json
+import os
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from kinweave.functions import kinship_terms as K
+from kinweave.functions import text as X
+from kinweave.operators import dataset as D
+from kinweave.operators import evaluation as E
+from kinweave.operators import genealogy as G
+from kinweave.operators import metrics, prompts, scoring, transform
+from kinweave.sources import datasets, turtle
+from kinweave.sources.pedigree import persons
+from kinweave.streaming import scoring as streaming
+
+PUBLISHED = os.environ.get("KINWEAVE_PUBLISHED")
+
+
+@pytest.fixture(scope="module")
+def graph(spark):
+    p = persons(spark, SMALL)
+    edges = G.parent_edges(p).unionByName(G.spouse_edges(p)).unionByName(G.sibling_edges(p)).cache()
+    return edges, p.selectExpr("id", "'P' || id as name").cache()
+
+
+def test_a_question_set_holds_its_quotas_and_its_answers(spark, graph):
+    edges, people = graph
+    rows = [r.asDict(recursive=True) for r in D.generate(edges, people, "crow").withColumn("gold", datasets.gold(F.col("ground_truth"))).drop("ground_truth").collect()]
+    out: dict = {}
+    for r in edges.collect():
+        out.setdefault((r["src"], r["pred"]), set()).add(r["dst"])
+    assert sorted(r["question_id"] for r in rows) == [f"crow_{k:04d}" for k in range(1, len(rows) + 1)]
+    strata = Counter((r["category"], r["n_hops"] if r["category"] in (2, 4) else None) for r in rows)
+    assert all(strata[c, h] <= n for c, h, n in D.QUOTAS) and strata[1, None] == 50 and strata[2, 3] == 50
+    for r in rows:
+        anchor = int(r["anchor_name"][1:])
+        assert r["anchor_person"] == f"person_{anchor}" and set(r) >= {"context", "proof_graph_size", "has_cultural_override"}
+        if r["category"] in (2, 4):
+            front, walked = {anchor}, []
+            for pred in r["path"]:
+                step = {(a, pred, b) for a in front for b in out.get((a, pred), ())}
+                walked, front = [*walked, *step], {b for _, _, b in step}
+            targets = {f"P{t}" for t in front if t != anchor}
+            assert set(r["target_names"]) == targets and {f"person_{t[1:]}" for t in targets} == set(r["target_persons"])
+            said = {f"P{a}'s {p[3:].lower()} is P{b}." for a, p, b in walked}
+            assert {x.strip() + "." for x in r["context"].split(".") if x.strip()} == said
+            assert r["proof_graph_size"] == len({x for a, _, b in walked for x in (a, b)}) + len(walked)
+            codes = ".".join({v: k for k, v in K.PREDICATES.items()}[x] for x in r["path"])
+            assert r["bio_term"] == K.paths(True)[codes]
+            if "actual biological" in r["question_text"]:
+                assert r["gold"] == [r["bio_term"]]
+            else:
+                assert set(r["gold"]) == targets
+
+
+def test_further_questions_keep_their_ids_apart(spark, graph):
+    edges, people = graph
+    four = D.further(edges, people, "hawaiian")
+    ids = sorted(r["question_id"] for r in four.collect())
+    assert ids[0] == "hawaiian_0501" and len(ids) == D.FOUR_HOP_COUNT
+    assert D.further(edges, people, "eskimo").count() == 0
+    strict, open_ = (D.further(edges, people, "crow", count=10_000, strict=s) for s in (True, False))
+    assert strict.count() < open_.count() and strict.filter("kin_term like '%skewed%'").count() == 0
+    base = D.generate(edges, people, "hawaiian", ((1, None, 5), (2, 2, 5)))
+    assert D.augmented(base, four).count() == base.count() + len(ids) and D.augmented(base, base).count() == base.count()
+
+
+def test_direct_questions(spark, graph):
+    edges, people = graph
+    facts = {r["question_text"]: r for r in D.fact_rows(edges, people).collect()}
+    one = facts["Who is P20's father?"]
+    assert one["context"] == f"P20's father is {one['names'][0]}." and one["single"] and one["size"] == 2
+    rows = D.constraint_rows(edges, people).collect()
+    child = Counter(r["src"] for r in edges.filter("pred = 'hasChild'").collect())
+    grand = Counter()
+    for r in edges.filter("pred = 'hasChild'").collect():
+        grand[r["src"]] += child[r["dst"]]
+    assert {r["anchor"]: r["number"] for r in rows if "grandchildren" in r["question_text"]} == {k: v for k, v in grand.items() if v}
+    sisters = {r["anchor"]: r["names"] for r in rows if "sisters" in r["question_text"]}
+    strict = {r["anchor"]: r["names"] for r in D.constraint_rows(edges, people, strict=True).collect() if "sisters" in r["question_text"]}
+    assert sisters != strict and all(r["size"] == len(r["names"]) + 2 for r in rows)
+
+
+def _one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_scalar_cases(spark):
+    lit = F.lit
+    cases = [
+        (X.normalize_name(lit("  Larry   Williams. ")), "larry williams"), (X.extract_names(lit("Larry Williams and larry. Larry Williams")), ["Larry Williams"]), (X.extract_names(lit("brian")), ["brian"]),
+        (X.extract_number(lit("someone"), strict=True), 1), (X.extract_number(lit("someone")), None), (X.extract_number(lit("There are 3 or 4")), 3), (X.clean_answer(lit("X's father is Larry Y.")), "Larry Y"),
+        (X.clean_answer(lit("Dennis Brown"), strict=True), "Brown"), (X.clean_answer(lit("Dennis Brown")), "Dennis Brown"), (X.clean_answer(lit("Sophia Jones"), strict=True), "phia Jones"), (X.clean_answer(lit("Sophia Jones")), "Sophia Jones"),
+        (X.same_relationship(lit("uncle"), lit("paternal uncle (FB)")), True), (X.same_relationship(lit("cousin"), lit("paternal uncle (FB)")), False), (X.same_relationship(lit(None).cast("string"), lit("x")), False),
+        (X.plural(lit("paternal uncle (FB)")), "paternal uncles (FB)"), (X.question_type(lit("What is their actual biological relationship?")), "relationship"),
+        (X.cot_answer(lit("STEP 1 - x\nFINAL ANSWER: Ann Brown\nFINAL ANSWER: Sam Hill\n")), "Sam Hill"), (X.cot_answer(lit("STEP 5 - FINAL\nBecause.\nLarry Hill")), "Larry Hill"), (X.cot_answer(lit("Just so.\n\nThe answer\n")), "The answer"),
+        (X.cot_answer(lit("**FINAL ANSWER:** The child is **Ann Brown**.")), "Ann Brown"), (X.cot_answer(lit("Final Answer: Therefore, 4 siblings")), "4 siblings"),
+        (transform.relabelled(lit("In  the crow system, the CROW system and Crow: Classificatory fathers, classificatory father, cross-cousins"), "crow"), "In the Vespian system, the Vespian system and Vespian: Tier-paters, tier-pater, off-axis cousins"),
+        (transform.relabelled(lit("In the Crow system, Crow's cross-cousin"), "crow", "term_only"), "In the Crow system, Crow's off-axis cousin"), (transform.relabelled(lit("within the Omaha kin, parallel cousin"), "omaha", "system_only"), "withIn the Tarskan kin, parallel cousin"),
+        (transform.paraphrase(lit("In the Crow kinship system, who are José Müller's cross-cousins?"))[0], "Under the Crow kinship convention, enumerate José Müller's cross-cousins."),
+        (transform.paraphrase(lit("In the Crow system, Ann B is called José M's 'cross-uncle'. What is their actual biological relationship?"))[1], 3), (transform.paraphrase(lit("List all of A B's x, y according to the Crow system."))[1], 4), (transform.paraphrase(lit("Who?"))[0], None),
+        (E.percent(lit(0.78125)), "78.1%"),
+    ]
+    row = spark.range(1).select(*[c.alias(f"c{k}") for k, (c, _) in enumerate(cases)]).first()
+    assert [row[k] for k in range(len(cases))] == [w for _, w in cases]
+
+
+def test_scores_by_question_type(spark):
+    rows = [
+        ("How many children?", "There are three.", ["3"], (True, True, 1.0, 1.0, 1.0)), ("How many children?", "[ERROR: x]", ["3"], (False, False, 0.0, 0.0, 0.0)), ("What is their actual biological relationship?", "He is a paternal uncle.", ["paternal uncle (FB)"], (True, True, 1.0, 1.0, 1.0)),
+        ("Who?", "Ann Brown and Sam Hill", ["ann brown", "Larry Williams", "Sam Hill"], (False, True, 1.0, 2 / 3, 0.8)), ("Who?", None, ["Ann Brown"], (False, False, 0.0, 0.0, 0.0)), ("Who?", "Ann Brown", [], (False, False, 0.0, 0.0, 0.0)),
+    ]
+    df = spark.createDataFrame([(k, q, r, g) for k, (q, r, g, _) in enumerate(rows)], "k int, question_text string, response string, gold array<string>")
+    for r in scoring.score(df).collect():
+        got = tuple(r[c] for c in ("exact_match", "partial_match", "precision", "recall", "f1"))
+        assert got == pytest.approx(rows[r["k"]][3]), rows[r["k"]]
+
+
+def test_answers_from_questions_to_documents(spark):
+    q = spark.createDataFrame([("a_1", "Who?", 1, 1, "crow"), ("a_2", "How many?", 3, 2, "eskimo"), ("a_3", "Who?", 2, 2, "crow")], "question_id string, question_text string, category int, n_hops int, kinship_system string")
+    q = q.selectExpr("*", "false as has_cultural_override", "cast(null as string) as bio_term", "cast(null as string) as kin_term", "case category when 3 then cast(4 as variant) else cast(array('Ann Brown') as variant) end as ground_truth")
+    calls = []
+
+    def generate(text):
+        if "boom" in text:
+            raise ValueError("no")
+        return "Ann Brown " + "x" * 2000
+
+    asked = E.respond(spark.createDataFrame([("a_1", "p"), ("a_2", "boom")], "question_id string, prompt string"), generate, retries=2)
+    out = {r["question_id"]: r for r in E.evaluated(q, asked).collect()}
+    assert set(out) == {"a_1", "a_2"} and not calls
+    assert len(out["a_1"]["raw_response"]) == E.RAW and out["a_1"]["bio_term"] == "" and out["a_2"]["is_error"] and not out["a_2"]["exact_match"]
+    doc = json.loads(E.summary_documents(E.evaluated(q, asked)).first()["value"])
+    assert doc["total_questions"] == 2 and doc["error_count"] == 1 and set(doc["by_category"]) == {"cat_1", "cat_3"} and doc["by_category"]["cat_1"]["total"] == 1 and set(doc["by_cultural_override"]) == {"no_override"}
+    assert json.loads(E.result_lines(E.evaluated(q, asked)).first()["value"])["question_id"] in out
+    with pytest.raises(ValueError):
+        E.connector("none of that name")
+
+
+def test_prompts(spark):
+    q = spark.createDataFrame([("{question} of A", "c {rule}", 2, "Crow"), ("B", None, None, "fictional_crow_full")], "question_text string, context string, category int, kinship_system string").withColumn("kinship_system_original", F.when(F.col("question_text") == "B", "crow"))
+    got = {r["question_text"]: r["prompt"] for r in prompts.with_prompts(q, rules=True).collect()}
+    assert f"Cultural Rule: {prompts.RULES['crow']}\n\nContext: c {{rule}}\n\nQuestion: {{question}} of A\n\nAnswer:" in got["{question} of A"] and "Cultural Rule" not in got["B"]
+    assert "Cultural Rule" in {r["question_text"]: r["prompt"] for r in prompts.with_prompts(q, rules=True, original=True).collect()}["B"]
+    assert [r["prompt"] for r in prompts.with_prompts(q, "unknown protocol").collect()] == [r["prompt"] for r in prompts.with_prompts(q).collect()]
+    assert [r["prompt"] for r in prompts.with_prompts(q, "zero_shot_cot", "odd").collect()] == [r["prompt"] for r in prompts.with_prompts(q, "zero_shot_cot").collect()]
+    ex = spark.createDataFrame([(c, "c", f"q{k}", "r", "a", k) for k, c in enumerate((1, 1, 1, 1, 3, 3))], "category int, context string, question_text string, reasoning string, answer string, place int")
+    few = {r["question_text"]: r["prompt"] for r in prompts.with_prompts(q, "few_shot_cot", examples=ex).collect()}
+    assert few["B"].count("--- Example") == 3 and "Question: q2\n" in few["B"] and "Question: q3\n" not in few["B"] and few["{question} of A"].count("--- Example") == 3
+
+
+def test_answers_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"question_id": f"a_{k % 2}", "response": "Ann Brown" if k % 3 else "Sam Hill", "answered": f"2024-01-01T00:{k:02d}:00Z"} for k in range(12)]
+    (tmp_path / "in" / "a.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    q = spark.createDataFrame([("a_0", "Who?", 1, "crow", ["Ann Brown"]), ("a_1", "Who?", 2, "omaha", ["Ann Brown"])], "question_id string, question_text string, category int, kinship_system string, gold array<string>")
+    agg = streaming.windowed(streaming.scored_stream(streaming.read_responses(spark, f"file://{tmp_path}/in"), q), "5 minutes", "1 minute")
+    job = agg.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    assert job.awaitTermination(120)
+    got = spark.table("windows").collect()
+    assert sum(r["n"] for r in got) == 12 and sum(r["exact"] for r in got) == sum(k % 3 != 0 for k in range(12)) and len({r["start"] for r in got}) == 3
+
+
+def test_bootstrap_has_the_normal_width(spark):
+    counts = spark.createDataFrame([("m", "a", 400, 300), ("m", "b", 400, 200)], "model string, side string, n long, exact long")
+    r = metrics.bootstrap_gap(counts, 4000).first()
+    width = 2 * 1.96 * ((0.75 * 0.25 + 0.25) / 400) ** 0.5
+    assert r["gap"] == pytest.approx(0.25) and r["hi"] - r["lo"] == pytest.approx(width, rel=0.06)
+
+
+@pytest.mark.skipif(not PUBLISHED, reason="KINWEAVE_PUBLISHED isn't set")
+def test_published_figures_follow_from_their_parts(spark):
+    """Means, deviations and deltas in the result files under $KINWEAVE_PUBLISHED are those of the arrays and cells beside them."""
+    seen = 0
+    for path in Path(PUBLISHED).rglob("*.json"):
+        doc = json.loads(path.read_text())
+        if isinstance(doc, list) and doc and "per_model_em" in doc[0]:
+            df = spark.createDataFrame([(k, float(x)) for k, r in enumerate(doc) for x in r["per_model_em"]], "k int, em double")
+            for r in metrics.spread(df, ["k"], "em").collect():
+                assert r["mean"] == pytest.approx(doc[r["k"]]["mean_em"], abs=0.01) and r["std_pop"] == pytest.approx(doc[r["k"]]["std_em"], abs=0.01)
+                seen += 1
+        if isinstance(doc, dict) and "cells" in doc:
+            rows = [(k, m, float(c[f"{m}_em"])) for k, c in enumerate(doc["cells"]) for m in ("real", "fictional", "system_only", "term_only")]
+            for r in metrics.ablation(spark.createDataFrame(rows, "k int, mode string, em double"), ["k"]).collect():
+                c = doc["cells"][r["k"]]
+                assert [r["delta_full"], r["delta_sys"], r["delta_term"]] == pytest.approx([c["delta_full"], c["delta_sys"], c["delta_term"]], abs=1e-3)
+                seen += 1
+    assert seen

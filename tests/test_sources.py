@@ -1,0 +1,135 @@
+"""Turtle and JSON sources and sinks; graph files in $KINWEAVE_GRAPHS, where set, are rebuilt from parents, sex, spouses and clans."""
+
+import json
+import os
+from pathlib import Path
+
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from kinweave.operators import genealogy as G
+from kinweave.sources import datasets, turtle
+from kinweave.sources.pedigree import persons
+
+GRAPHS = os.environ.get("KINWEAVE_GRAPHS")
+
+TEXT = """# a comment
+@prefix family: <http://example.org/family/> .
+@prefix person: <http://example.org/person/> .
+
+family:hasChild a <http://www.w3.org/2002/07/owl#ObjectProperty> ;
+    rdfs:label "has child; of, one" .
+
+person:person_1 a family:Male,
+        family:Person ;
+    rdfs:label "Ann \\"A.\\" Bö" ;
+    family:firstName "Ann"^^xsd:string ;
+    family:hasChild person:person_2,
+        person:person_9 ;
+    family:yearOfBirth 1931 .
+
+person:person_2 a family:Person ;
+    family:hasFather person:person_1 .
+"""
+
+
+@pytest.fixture
+def graph(spark, tmp_path):
+    (tmp_path / "crow.ttl").write_text(TEXT)
+    return turtle.read_turtle(spark, f"file://{tmp_path}/*.ttl")
+
+
+def test_turtle_statements(graph):
+    rows = {(r["subj"], r["pred"], r["obj"], r["kind"], r["datatype"]) for r in graph.collect()}
+    assert rows == {
+        ("family:hasChild", "a", "owl:ObjectProperty", "iri", None), ("family:hasChild", "rdfs:label", "has child; of, one", "literal", None),
+        ("person:person_1", "a", "family:Male", "iri", None), ("person:person_1", "a", "family:Person", "iri", None), ("person:person_1", "rdfs:label", 'Ann "A." Bö', "literal", None),
+        ("person:person_1", "family:firstName", "Ann", "literal", "xsd:string"), ("person:person_1", "family:hasChild", "person:person_2", "iri", None), ("person:person_1", "family:hasChild", "person:person_9", "iri", None),
+        ("person:person_1", "family:yearOfBirth", "1931", "literal", None), ("person:person_2", "a", "family:Person", "iri", None), ("person:person_2", "family:hasFather", "person:person_1", "iri", None),
+    }
+    assert {r["system"] for r in graph.collect()} == {"crow"}
+
+
+def test_typed_views(graph):
+    people = {r["id"]: r for r in turtle.persons(graph).collect()}
+    assert people[1]["sex"] == "M" and people[1]["born"] == 1931 and people[1]["name"] == 'Ann "A." Bö'
+    assert people[2]["sex"] == "unknown" and people[2]["name"] == "person_2" and people[2]["father_id"] == 1 and people[2]["spouse_id"] is None
+    # person_9 isn't a known person.
+    assert {(r["src"], r["pred"], r["dst"]) for r in turtle.edges(graph).collect()} == {(1, "hasChild", 2), (2, "hasFather", 1)}
+
+
+def test_turtle_round_trip(spark, graph, tmp_path):
+    made = turtle.person_triples(spark.createDataFrame([(7, "F", 'Zo"e', "O'Hara\\x", 1900), (8, None, "A", "B", None)], "id int, sex string, first_name string, surname string, born int"))
+    made = made.unionByName(turtle.edge_triples(spark.createDataFrame([(7, "hasChild", 8)], "src int, pred string, dst int"))).unionByName(turtle.clan_triples(spark.createDataFrame([(7, 1)], "id int, clan int"), "crow"))
+    for k, triples in enumerate((graph.drop("system"), made)):
+        turtle.write_turtle(triples, f"file://{tmp_path}/out{k}", files=None if k else 1)
+        back = turtle.read_turtle(spark, f"file://{tmp_path}/out{k}").drop("system")
+        assert sorted(map(str, back.collect())) == sorted(map(str, triples.distinct().collect()))
+
+
+@pytest.mark.skipif(not GRAPHS, reason="KINWEAVE_GRAPHS isn't set")
+def test_graph_files_are_rebuilt(spark):
+    for path in sorted(Path(GRAPHS).rglob("*.ttl")):
+        triples = turtle.read_turtle(spark, f"file://{path}").cache()
+        p = turtle.persons(triples).select("id", "sex", "father_id", "mother_id", "spouse_id", "clan").cache()
+        found = G.cousins(p)
+        made = G.basic_edges(p).unionByName(G.cousin_edges(p, found)).unionByName(G.kin_edges(p, path.stem, found)).distinct()
+        have = turtle.edges(triples, turtle.persons(triples)).select("src", "pred", "dst")
+        have = have.filter("pred <> 'belongsToClan'")
+        lost, extra = have.exceptAll(made).groupBy("pred").count().collect(), made.exceptAll(have).groupBy("pred").count().collect()
+        declared = triples.join(triples.filter("pred = 'a' and obj like 'owl:%Property' or pred = 'a' and obj = 'owl:Class'").select("subj").distinct(), "subj", "left_semi")
+        known = turtle.vocabulary(spark, path.stem)
+        assert not declared.select("subj", "pred", "obj").exceptAll(known.select("subj", "pred", "obj")).collect() and declared.count() == known.count(), path
+        clans = {}
+        if path.stem in ("crow", "omaha"):
+            mine = {r["id"]: r["clan"] for r in G.clan_members(p, path.stem).collect()}
+            for r in p.collect():
+                clans.setdefault(mine[r["id"]], set()).add(r["clan"])
+        print(path.parent.name, path.name, "persons", p.count(), "edges", have.count(), "lost", lost, "extra", extra)
+        assert not lost and not extra, path
+        assert all(len(x) == 1 for x in clans.values())
+        spark.catalog.clearCache()
+
+
+QUESTIONS = [
+    {"question_id": "crow_0001", "question_text": "Who?", "category": 4, "n_hops": 2, "kinship_system": "crow", "anchor_person": "person_1", "anchor_name": "A B", "target_persons": ["person_2"], "target_names": ["C D"], "ground_truth": ["C D", "E F"], "context": "x", "path": ["hasFather", "hasBrother"], "bio_term": "b", "kin_term": "k", "has_cultural_override": True, "proof_graph_size": 7},
+    {"question_id": "crow_0002", "question_text": "Tö?", "category": 3, "ground_truth": 4},
+    {"question_id": "crow_0003", "question_text": "Rel?", "ground_truth": "paternal uncle (FB)"},
+]
+
+
+def test_questions_round_trip(spark, tmp_path):
+    (tmp_path / "crow_dataset.jsonl").write_text("".join(json.dumps(q, ensure_ascii=False) + "\n" for q in QUESTIONS) + "not json\n")
+    df = datasets.read_questions(spark, f"file://{tmp_path}/*_dataset.jsonl")
+    rows = {r["question_id"]: r for r in df.withColumn("g", datasets.gold(F.col("ground_truth"))).collect()}
+    assert len(rows) == 3 and {r["system_name"] for r in rows.values()} == {"crow"}
+    assert rows["crow_0001"]["g"] == ["C D", "E F"] and rows["crow_0002"]["g"] == ["4"] and rows["crow_0003"]["g"] == ["paternal uncle (FB)"]
+    assert rows["crow_0002"]["has_cultural_override"] is False and rows["crow_0002"]["path"] is None
+    datasets.write_questions(df.drop("system_name"), f"file://{tmp_path}/out")
+    back = [json.loads(x) for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert {q["question_id"]: q["ground_truth"] for q in back} == {q["question_id"]: q["ground_truth"] for q in QUESTIONS}
+    assert all(set(q) == set(QUESTIONS[0]) for q in back)
+    assert datasets.dataset_path(spark, f"file://{tmp_path}", "crow").endswith("crow_dataset.jsonl") and datasets.dataset_path(spark, f"file://{tmp_path}", "omaha") is None
+
+
+def test_examples_and_summaries(spark, tmp_path):
+    one = {"category": 2, "context": "c", "question_text": "q", "reasoning": "r", "answer": "a"}
+    for name, doc in (("a.json", {"cat_2": [one, one | {"answer": "b"}], "cat_3": [one | {"category": 3}]}), ("b.json", [one])):
+        (tmp_path / name).write_text(json.dumps(doc, indent=2))
+    assert [r["answer"] for r in datasets.read_examples(spark, f"file://{tmp_path}/a.json").orderBy("place").collect()] == ["a", "b", "a"]
+    assert datasets.read_examples(spark, f"file://{tmp_path}/b.json").first()["category"] == 2
+    (tmp_path / "x_dataset.jsonl").write_text("".join(json.dumps(q) + "\n" for q in QUESTIONS))
+    doc = datasets.summary_document(datasets.read_questions(spark, f"file://{tmp_path}/x_dataset.jsonl"), "crow", {"seed": 42})
+    got = json.loads(doc.first()["value"])
+    assert got["total_questions"] == 3 and got["by_category"] == {"4": 1, "3": 1} and got["by_hops"] == {"2": 1} and got["config"] == {"seed": "42"}
+    datasets.write_document(doc, f"file://{tmp_path}/doc")
+    assert len(list((tmp_path / "doc").glob("part-*"))) == 1
+
+
+def test_a_pedigree_as_a_graph_file(spark, tmp_path):
+    p = persons(spark, SMALL)
+    turtle.write_turtle(turtle.edge_triples(G.parent_edges(p)).unionByName(turtle.person_triples(p.selectExpr("id", "sex", "'P' || id as first_name", "'X' as surname", "id + 1800 as born"))), f"file://{tmp_path}/g")
+    back = turtle.read_turtle(spark, f"file://{tmp_path}/g")
+    assert turtle.edges(back).select("src", "pred", "dst").exceptAll(G.parent_edges(p)).count() == 0 and turtle.edges(back).count() == G.parent_edges(p).count()
+    assert turtle.persons(back).filter("sex = 'unknown'").count() == 0
