@@ -350,7 +350,7 @@ for _hops, _count, _first_id in (((4,), D.FOUR_HOP_COUNT, D.FOUR_HOP_IDS), ((5,
     _rules = [(p, t) for s, p, t, _ in K.overrides(True) if s == "crow" and p.count(".") + 1 in _hops]
     _add(
         f"augment_{'_'.join(map(str, _hops))}hop",
-        _graph(lambda p, h=_hops, n=_count, f=_first_id: D.further(_edges(p), _people(p), "crow", h, n, f).select("question_id", "n_hops", "question_text", "kin_term", F.concat_ws("|", gold("ground_truth")).alias("answer"))),
+        _graph(lambda p, h=_hops, n=_count, f=_first_id: D.further(_edges(p), _people(p), "crow", h, n, f).select("question_id", "n_hops", "question_text", "kin_term", F.concat_ws("|", gold(F.col("ground_truth"))).alias("answer"))),
         _sql(
             f"""SELECT 'crow_' || lpad(({_first_id - 1} + row_number() OVER (ORDER BY n_hops, r))::VARCHAR, 4, '0') AS question_id, n_hops, question_text, kin_term, answer FROM (
             SELECT *, row_number() OVER (PARTITION BY n_hops ORDER BY md5('42|' || question_text), question_text, path) AS r FROM (

@@ -45,6 +45,8 @@ def _plain(v):
         return "null"
     if isinstance(v, pd.Timestamp) and v == v.normalize():  # DuckDB's frames have dates as midnights
         v = v.date()
+    if isinstance(v, float) and v.is_integer():  # a column of integers with nulls is one of floats in Spark's frames
+        return str(int(v))
     return repr(round(v, 9) + 0.0) if isinstance(v, float) else str(v)
 
 
