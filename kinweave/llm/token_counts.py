@@ -46,9 +46,9 @@ class _Counts(dict):
         return n
 
 
-def with_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens", model: str = MODEL, kind: int | None = None) -> DataFrame:
-    """docs with the number of tokens of each text in column out."""
-    table = docs.sparkSession.sparkContext.broadcast(Pieces.read(model, kind))
+def with_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens", model: str | Pieces = MODEL) -> DataFrame:
+    """docs with the number of tokens of each text in column out; model is a file or a table."""
+    table = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Pieces) else Pieces.read(model))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

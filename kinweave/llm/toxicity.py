@@ -55,7 +55,7 @@ def features(text: str | None) -> np.ndarray:
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, categories: dict[str, Column], sample: int) -> pd.DataFrame:
     """x (buckets, 32-bit integers) and the categories of the sampled labelled rows. categories: name -> expression over labels' columns and text, null to leave a row out."""
-    drawn = common.saved(labels.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), *[c for c in labels.columns if c != key]).limit(sample))
+    drawn = common.saved(labels.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), *[c for c in labels.columns if c != key]).limit(sample).distinct())
     row = common.fresh(docs, "key")
     texts = docs.select(F.col(key).alias(row), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     # A key may repeat: of the distinct texts of the drawn keys, sample at most, one row each.

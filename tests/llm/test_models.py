@@ -114,3 +114,23 @@ def test_classifier_rejects_junk_and_keeps_clean_texts(spark):
 def test_classifier_on_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality_classifier.judge(none).count() == quality_classifier.keep(none).count() == 0
+
+
+def test_toxicity_query_equals_a_plain_chain(spark):
+    """The registered query against the same fit, applied to every text in plain loops."""
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    said = lambda words: F.col("text").rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+    toxic = F.col("toxic") == 1
+    categories = {"insult": toxic & said(toxicity.INSULTS), "contempt": toxic & said(toxicity.CONTEMPT), "toxic": toxic}
+    chosen, models, cut = toxicity.fit(toxicity.sampled(docs, labels.select("doc_id", "toxic"), "doc_id", "text", categories, toxicity.SAMPLE), list(categories))
+    place = {int(b): k for k, b in enumerate(chosen)}
+    got = {r["doc_id"]: r for r in toxicity.query(spark, small).collect()}
+    assert len(got) == docs.count()
+    for r in docs.select("doc_id", "text").collect():
+        mine, before = [place[int(b)] for b in toxicity.features(r["text"]) if int(b) in place], []
+        for w, earlier, intercept in models:
+            z = sum(float(w[k]) for k in mine) + sum(e * p for e, p in zip(earlier, before)) + intercept
+            before.append(1 / (1 + np.exp(-z)))
+        assert np.allclose([got[r["doc_id"]][f"p_{c}"] for c in categories], before, atol=1e-9)
+        assert got[r["doc_id"]]["toxic"] == (before[-1] >= cut)
