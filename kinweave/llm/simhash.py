@@ -22,9 +22,12 @@ chance of 0.2 ** SKETCH, less than that of two texts having one 64-bit hash.
 
 A bucket of near copies makes no square of pairs: each class is held against HUBS members first,
 and members that this has joined are not held against each other again. In a bucket of over CROWD
-classes (a passage that many texts quote) only texts whose sketches consist of such elements to an
-extent that similar texts without a rarer common element must have are held against each other;
-all other similar pairs of it meet in a smaller bucket.
+classes (a passage that many texts quote) no pairs are made at all: similar texts meet in a smaller
+bucket unless all that their sketches have in common is in such buckets, and for texts of which
+that can be true a prefix join over their whole sets decides. With the elements that are rarest
+among these texts first, two sets of similarity t have one in common in their first n - t n + 1
+elements; what a text adds of its own to a passage comes first, so the passage's buckets stay empty
+unless texts consist of little else.
 
 Defined cases: null and empty texts have fingerprint zero and no shingles, and are linked like any
 other; texts shorter than a shingle give one shingle; texts of any length are read whole; a null
@@ -60,8 +63,10 @@ PAIRED = 16
 NEAR_SHINGLE, SIMILARITY, SKETCH = 5, (4, 5), 28
 #: Differing bits of similar texts' fingerprints, at most: at the similarity itself a bit differs with probability acos(8/9) / pi, and more than 24 of 64 do once in some 200,000 pairs.
 NEAR_RADIUS = 24
-HUBS = 2
-#: Classes of a large bucket; elements of large buckets in the sketch of a text that can have no rarer element in common with a similar one (fewer have a chance of one in a million).
+#: Elements that the sketches of similar texts have in common at least; they have some 22, and fewer than this once in ten million pairs.
+OVERLAP = 9
+HUBS, TRIED = 6, 4
+#: Classes of a large bucket; elements of large buckets in the sketch of a text that may have no rarer one in common with a similar text (with fewer the chance is one in a million).
 CROWD, CROWDED = 64, 11
 #: Ids and elements up to this number are broadcast; above it the planner decides.
 FEW = 500_000
@@ -205,9 +210,9 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return df.mapInArrow(of, f"key {df.schema['key'].dataType.simpleString()}, cls long, n int, fp long, sketch array<long>")
 
 
-def _whole(docs: DataFrame, key: str, text: str, shingle: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, elements of the classes in pairs, from the texts of their rows."""
-    want = common.saved(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "least"))
+def _whole(docs: DataFrame, key: str, text: str, shingle: int, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, elements of the classes in wanted(cls), from the texts of their rows."""
+    want = common.saved(classes.join(wanted.distinct(), "cls", "left_semi").select("cls", "least"))
     row = common.fresh(docs, "least")
     rows = docs.join(common.broadcast_if(want.select(F.col("least").alias(row)).distinct(), FEW), F.col(key).eqNullSafe(F.col(row)), "left_semi").select(F.col(text).cast("binary").alias("text"))
 
@@ -242,25 +247,51 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
         return df.filter(fits).select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = common.saved(pairs)
-        return common.saved(_similar(pairs, _whole(docs, key, text, shingle, classes, pairs), similarity))
+        """The similar ones of pairs; those whose sketches say that they aren't go before the whole sets are made."""
+        sketch = lambda who: classes.select(F.col("cls").alias(who), F.col("n").alias(f"n{who}"), F.col("sketch").alias(f"s{who}"))
+        close = (F.least("na", "nb") < SKETCH * up // down) | (F.size(F.array_intersect("sa", "sb")) >= OVERLAP)
+        pairs = common.saved(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(close).select("a", "b"))
+        return common.saved(_similar(pairs, _whole(docs, key, text, shingle, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls"))), similarity))
 
     hub = lambda k: F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "fp")).dropFields("h")
     hubs = members.groupBy("token").agg(F.array_distinct(F.array(*[hub(k) for k in range(HUBS)])).alias("hubs"))
     me = F.struct("cls", "n", "fp").alias("p")
     first = verified(candidates(members.join(hubs, "token").select(me, F.explode("hubs").alias("q"))))
     roots = connected_components(first, "a", "b").withColumnRenamed("node", "cls")
-    # A text in a large bucket has a rarer element in common with every similar text unless its sketch is crowded.
-    crowded = members.filter(F.col("m") > CROWD).groupBy("cls", "n").agg(F.count("*").alias("c")).filter(F.when(F.col("n") <= SKETCH, F.col("c") * down >= F.col("n") * up).otherwise(F.col("c") >= CROWDED))
-    left = members.filter(F.col("m") <= CROWD).unionByName(members.filter(F.col("m") > CROWD).join(crowded.select("cls"), "cls", "left_semi"))
-    named = common.saved(left.join(roots, "cls", "left").select("token", "cls", "n", "fp", F.coalesce("root", "cls").alias("root")))
-    # Any pair of different components has a side outside the bucket's most frequent component.
-    main = named.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("most.root").alias("main"))
-    mixed = common.saved(named.join(main, "token"))
-    p = mixed.filter("root <> main").select("token", F.col("root").alias("pr"), me)
-    q = mixed.select("token", "main", F.col("root").alias("qr"), F.struct("cls", "n", "fp").alias("q"))
-    rest = p.join(q.hint("merge"), "token").filter((F.col("pr") != F.col("qr")) & ((F.col("qr") == F.col("main")) | (F.col("p.cls") < F.col("q.cls"))))
-    return first.unionByName(verified(candidates(rest)))
+    named = common.saved(members.join(roots, "cls", "left").select("token", "m", "cls", "n", "fp", F.coalesce("root", "cls").alias("root")))
+
+    def mixed(df: DataFrame) -> DataFrame:
+        """The members of buckets with several components, with the bucket's most frequent one."""
+        main = df.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+        return common.saved(df.join(main.filter("roots > 1").select("token", F.col("most.root").alias("main")), "token"))
+
+    def across(df: DataFrame, at: Column) -> DataFrame:
+        """The pairs of different components within buckets: any has a side outside the most frequent one. at is an element's place in the order of its set, in which the first common element leaves room for the similarity."""
+        me = F.struct("cls", "n", "fp", at.alias("at"))
+        p = df.filter("root <> main").select("token", F.col("root").alias("pr"), me.alias("p"))
+        q = df.select("token", "main", F.col("root").alias("qr"), me.alias("q"))
+        room = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")).cast("long") * (up + down) >= (F.col("p.n") + F.col("q.n")).cast("long") * up
+        return p.join(q.hint("merge"), "token").filter((F.col("pr") != F.col("qr")) & ((F.col("qr") == F.col("main")) | (F.col("p.cls") < F.col("q.cls"))) & room)
+
+    several = mixed(named)
+    rest = across(several.filter(F.col("m") <= CROWD), F.lit(0))
+    # Texts that can be similar to another without a rarer element of the sketches in common.
+    crowd = several.filter(F.col("m") > CROWD).groupBy("cls", "n", "fp", "root").agg(F.count("*").alias("c")).filter(F.when(F.col("n") <= SKETCH, F.col("c") * down >= F.col("n") * up).otherwise(F.col("c") >= CROWDED))
+    crowd = common.saved(crowd.select("cls", "n", "fp", "root"))
+    every = crowd.join(_whole(docs, key, text, shingle, classes, crowd.select("cls")), "cls").select("cls", "n", "fp", "root", F.explode("elements").alias("token"))
+    counts = every.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    ordered = every.join(counts, "token", "left").groupBy("cls", "n", "fp", "root").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("x"))
+    length = (F.col("n") - F.ceil(F.col("n") * up / F.lit(down)) + 1).cast("int")
+    prefixes = ordered.select("cls", "n", "fp", "root", F.posexplode(F.slice("x", F.lit(1), length)).alias("at", "t")).filter("t.c > 1").select("cls", "n", "fp", "root", "at", "t.token")
+    # A group of near copies that the hubs left in parts: its stragglers are held against a few members of each of their buckets before they are held against all.
+    ranked = mixed(prefixes)
+    some = [F.min(F.struct(F.xxhash64("cls", "token", F.lit(k)).alias("h"), "cls", "n", "fp")).dropFields("h") for k in range(TRIED)]
+    near = ranked.filter("root = main").groupBy("token").agg(F.array_distinct(F.array(*some)).alias("hubs"))
+    tried = verified(candidates(ranked.filter("root <> main").join(near, "token").select(F.struct("cls", "n", "fp").alias("p"), F.explode("hubs").alias("q"))))
+    again = connected_components(first.unionByName(tried), "a", "b").withColumnRenamed("node", "cls").withColumnRenamed("root", "now")
+    left = mixed(ranked.drop("main").join(again, "cls", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+    rest = candidates(rest).unionByName(candidates(across(left, F.col("at")))).distinct()
+    return first.unionByName(tried).unionByName(verified(rest))
 
 
 def _near(docs: DataFrame, key: str, text: str, shingle: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
