@@ -48,3 +48,28 @@ def small(df: DataFrame, rows: int) -> bool:
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else left to the planner (sort-merge with skew splitting)."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> tuple[DataFrame, int]:
+    """(df with the rows' numbers 0, 1, 2... in the order given, or in any; how many rows). Written once.
+
+    Rows are sorted by range over all tasks, each task numbers its own, and the tasks' counts (one
+    number a task) give where each starts; no task sees all rows."""
+    at, task = fresh(df, "at"), fresh(df, "task")
+    kept = saved((df.orderBy(*order) if order else df).withColumn(at, F.monotonically_increasing_id()))
+    counts = sorted(kept.groupBy(F.shiftright(at, 33).alias("task")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["task"], total))
+        total += r["n"]
+    table = kept.sparkSession.createDataFrame(starts, f"{task} long, {name} long")
+    out = kept.join(F.broadcast(table), F.shiftright(at, 33) == F.col(task)).withColumn(name, F.col(name) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1).cast("long"))).drop(at, task)
+    out._kinweave_path = kept._kinweave_path
+    return out, total
+
+
+
+def joined(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFrame:
+    """The rows of all written tables of one schema, read as one table."""
+    empty = spark.createDataFrame([], schema)
+    return spark.read.schema(empty.schema).parquet(*[p._kinweave_path for p in parts]) if parts else empty

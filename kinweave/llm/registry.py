@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, source_mix, token_counts, toxicity, url_filter
+from . import chat_format, embedding_dedup, hard_negatives, importance_resampling, quality_classifier, quality_rules, sentencepiece_codec, simhash, source_mix, token_counts, topk_search, toxicity, url_filter
 
 _MODULES = {
     "op1_source_mix": source_mix,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_toxicity": toxicity,
     "op9_quality_rules": quality_rules,
     "op10_quality_classifier": quality_classifier,
+    "op11_topk_search": topk_search,
+    "op12_importance_resampling": importance_resampling,
+    "op13_hard_negatives": hard_negatives,
 }
 
 
