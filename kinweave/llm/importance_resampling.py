@@ -77,9 +77,9 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     of = lambda table, name: counts(table).withColumnRenamed("n", name)
     n = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(of(source, "s"), "bucket", "left").join(of(target, "t"), "bucket", "left").fillna(0, ["s", "t"])
     n = common.saved(n)
-    total = n.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = ((F.col("t") + 1).cast("double") * (F.col("all_s") + buckets)) / ((F.col("s") + 1).cast("double") * (F.col("all_t") + buckets))
-    return n.join(F.broadcast(total)).select("bucket", F.floor(F.log(ratio) * 1000).alias("gain"))
+    all_s, all_t = n.agg(F.sum("s"), F.sum("t")).first()
+    ratio = ((F.col("t") + 1).cast("double") * float(all_s + buckets)) / ((F.col("s") + 1).cast("double") * float(all_t + buckets))
+    return n.select("bucket", F.floor(F.log(ratio) * 1000).alias("gain"))
 
 
 def _noise(key: Column, seed: int) -> Column:
@@ -103,9 +103,9 @@ def scored(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     sums = sums.select("row", "key", "n_words", "n_features", mean.alias("weight"))
     sums = sums.withColumn("score", F.col("weight") + _noise(F.col("key"), seed)).withColumn("out", F.col("n_words") < least)
     ranked, _ = common.numbered(sums, "place", F.col("out"), F.col("score").desc(), F.col("key"))
-    drawn = ranked.agg(F.sum((~F.col("out")).cast("long")).alias("n")).select(F.floor(F.coalesce("n", F.lit(0)) * share / 100).alias("drawn"))
-    rank = F.when(~F.col("out") & (F.col("place") < F.col("drawn")), F.col("place") + 1)
-    return ranked.join(F.broadcast(drawn)).select("row", "key", "n_words", "n_features", "weight", "score", rank.alias("rank"))
+    able = ranked.filter(~F.col("out")).count()
+    rank = F.when(F.col("place") < share * able // 100, F.col("place") + 1)
+    return ranked.select("row", "key", "n_words", "n_features", "weight", "score", rank.alias("rank"))
 
 
 def drawn(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
