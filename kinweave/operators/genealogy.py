@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.sources.shared import written
+from kinweave.sources.shared import spread, written
 
 
 def _edges(df: DataFrame, src: str, pred: Column | str, dst: str) -> DataFrame:
@@ -78,36 +78,90 @@ def basic_edges(p: DataFrame) -> DataFrame:
     return _union(parent_edges(p), spouse_edges(p), sibling_edges(p, sib), grandparent_edges(p), aunt_uncle_edges(p, sib))
 
 
+#: Low bits of a packed ancestor: the distance, and one bit in which mrca() marks the second person. The id stands above.
+_DIST_BITS, _LOW_BITS, _ID_BITS = 15, 16, 32
+
+
+def _packed(who: Column | str, dist: int | Column) -> Column:
+    who = F.col(who) if isinstance(who, str) else who
+    return F.shiftleft(who.cast("long"), _LOW_BITS) + (F.lit(dist).cast("long") if isinstance(dist, int) else dist.cast("long"))
+
+
+def _who(x: Column) -> Column:
+    return F.shiftright(x, _LOW_BITS)
+
+
+def _dist(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << _DIST_BITS) - 1).cast("long"))
+
+
+def _nearest(packed: Column) -> Column:
+    """A sorted array with each ancestor once, at the least distance."""
+    ordered = F.array_sort(packed)
+    return F.get(F.transform(F.array(ordered), lambda xs: F.filter(xs, lambda x, i: (i == 0) | (_who(x) != _who(F.get(xs, i - 1))))), F.lit(0))
+
+
+def ancestor_arrays(p: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, ancs: one sorted array a person that holds all ancestors (or those within depth steps) and oneself, each packed with the least distance.
+
+    By doubling: who knows the ancestors up to k steps away asks those exactly k steps away for theirs,
+    which gives all up to 2 k; so the joins are as many as the logarithm of the depth, and each is a
+    written table. An array is as long as a person has ancestors."""
+    low, high = p.agg(F.min(F.least("id", "mother_id", "father_id")), F.max(F.greatest("id", "mother_id", "father_id"))).first()
+    if low is not None and not 0 <= low <= high < 1 << _ID_BITS:
+        raise ValueError(f"ids must lie from 0 to 2^{_ID_BITS} - 1; found {low} to {high}")
+    own = F.filter(F.array(_packed("id", 0), _packed("mother_id", 1), _packed("father_id", 1)), lambda x: x.isNotNull())
+    df, k = written(spread(p.select("id", _nearest(own).alias("ancs")), "id")), 1
+    while depth is None or k < depth:
+        if k >= 1 << _DIST_BITS - 1:
+            raise ValueError(f"a line of 2^{_DIST_BITS - 1} generations or more")
+        # Columns are built at once, so the lambdas see this round's k.
+        ends = df.select("id", F.explode(F.transform(F.filter("ancs", lambda x: _dist(x) == k), _who)).alias("end"))
+        theirs = df.filter(F.size("ancs") > 1).select(F.col("id").alias("end"), F.transform(F.filter("ancs", lambda x: _dist(x) > 0), lambda x: x + k).alias("far"))
+        more = ends.join(theirs, "end").groupBy("id").agg(F.flatten(F.collect_list("far")).alias("far"))
+        after = written(spread(df, "id").join(more.hint("merge"), "id", "left").select("id", F.when(F.col("far").isNull(), F.col("ancs")).otherwise(_nearest(F.concat("ancs", "far"))).alias("ancs"), F.col("far").isNotNull().alias("grown")))
+        if after.filter("grown").isEmpty():
+            break
+        df, k = after.select("id", "ancs"), 2 * k
+    return df if depth is None else df.select("id", F.filter("ancs", lambda x: _dist(x) <= depth).alias("ancs"))
+
+
 def closure(p: DataFrame, depth: int | None = None) -> DataFrame:
-    """id, anc, dist: all ancestors (or those within depth steps) with their least distance, oneself at 0. One join a step, until a step finds no new ancestor; distances combine before the next, so inbreeding doesn't multiply rows, and each step is a written table."""
-    up = written(p.select("id", F.explode(F.array("mother_id", "father_id")).alias("to")).filter("to is not null").withColumnRenamed("id", "from"))
-    level, k = written(p.select("id", F.col("id").alias("anc"), F.lit(0).alias("dist"))), 0
-    known = level
-    while (depth is None or k < depth) and not level.isEmpty():
-        k += 1
-        step = level.join(up, F.col("anc") == F.col("from")).select("id", F.col("to").alias("anc")).distinct()
-        level = written(step.join(known, ["id", "anc"], "left_anti").withColumn("dist", F.lit(k)))
-        known = known.unionByName(level)
-    return known
+    """id, anc, dist: all ancestors (or those within depth steps) with their least distance, oneself at 0, one row each from ancestor_arrays()."""
+    df = ancestor_arrays(p, depth).select("id", F.explode("ancs").alias("x"))
+    return df.select("id", _who(F.col("x")).cast("int").alias("anc"), _dist(F.col("x")).cast("int").alias("dist"))
 
 
-#: Bits of an ancestor's id and of a distance in mrca()'s sort key.
-_ID_BITS, _DIST_BITS = 32, 15
+def _chosen(df: DataFrame) -> DataFrame:
+    """a, b, mrca, da, db from x, the least packed long (sum, ancestor, da) of each pair."""
+    cut = lambda low, bits: F.shiftright(F.col("x"), low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    df = df.select("a", "b", cut(_DIST_BITS, _ID_BITS).alias("mrca"), cut(0, _DIST_BITS).alias("da"), cut(_ID_BITS + _DIST_BITS, _LOW_BITS).alias("sum"))
+    return df.select("a", "b", "mrca", "da", (F.col("sum") - F.col("da")).alias("db"))
+
+
+def _choice(anc: Column, da: Column, db: Column) -> Column:
+    """The sort key of a common ancestor: least sum of distances, then least id; the smaller da of equal ones."""
+    long = lambda c: c.cast("long")
+    return F.shiftleft(long(da + db), _ID_BITS + _DIST_BITS) + F.shiftleft(long(anc), _DIST_BITS) + long(da)
 
 
 def mrca(p: DataFrame, pairs: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """a, b, mrca, da, db for every ordered pair of different persons (or of pairs(a, b) only) with a common ancestor: the least da + db, then the least id.
 
-    The choice is a minimum over one packed long (sum, id, da), which combines on the map side. Without pairs the result has a row for each related pair, so large populations ask for the pairs they need."""
-    up = closure(p, depth)
-    left, right = up.select(F.col("id").alias("a"), "anc", F.col("dist").alias("da")), up.select(F.col("id").alias("b"), "anc", F.col("dist").alias("db"))
-    both = left.join(right, "anc") if pairs is None else pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "anc"])
-    long = lambda c: c.cast("long")
-    packed = F.shiftleft(long(F.col("da") + F.col("db")), _ID_BITS + _DIST_BITS) + F.shiftleft(long(F.col("anc")), _DIST_BITS) + long(F.col("da"))
-    best = both.filter("a <> b").groupBy("a", "b").agg(F.min(packed).alias("x"))
-    cut = lambda low, bits: F.shiftright(F.col("x"), low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
-    df = best.select("a", "b", cut(_DIST_BITS, _ID_BITS).alias("mrca"), cut(0, _DIST_BITS).alias("da"), cut(_ID_BITS + _DIST_BITS, _DIST_BITS).alias("sum"))
-    return df.select("a", "b", "mrca", "da", (F.col("sum") - F.col("da")).alias("db"))
+    A given pair is one merge of two sorted arrays: put together and sorted, an ancestor of both
+    stands beside itself. Without pairs the result has a row for each related pair, found by joining on the
+    ancestor, with minima that combine on the map side; large populations ask for the pairs they need."""
+    if pairs is None:
+        up = written(closure(p, depth))
+        both = up.select(F.col("id").alias("a"), "anc", F.col("dist").alias("da")).join(up.select(F.col("id").alias("b"), "anc", F.col("dist").alias("db")), "anc")
+        return _chosen(both.filter("a <> b").groupBy("a", "b").agg(F.min(_choice(F.col("anc"), F.col("da"), F.col("db"))).alias("x")))
+    arrays = ancestor_arrays(p, depth)
+    of = lambda who: arrays.select(F.col("id").alias(who), F.col("ancs").alias(f"of_{who}"))
+    both = spread(pairs.select("a", "b").filter("a <> b").distinct(), "a", "b").join(of("a"), "a").join(of("b"), "b")
+    second = F.lit(1 << _DIST_BITS).cast("long")
+    merged = both.select("a", "b", F.array_sort(F.concat("of_a", F.transform("of_b", lambda x: x + second))).alias("m"))
+    beside = F.zip_with(F.slice("m", 1, F.size("m") - 1), F.slice("m", 2, F.size("m") - 1), lambda x, y: F.when(_who(x) == _who(y), _choice(_who(x), _dist(x), _dist(y))))
+    return _chosen(merged.select("a", "b", F.array_min(beside).alias("x")).filter("x is not null"))
 
 
 def linking_relatives(need: DataFrame, p: DataFrame) -> DataFrame:

@@ -36,3 +36,8 @@ def discard(*frames: DataFrame) -> None:
         if path:
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by columns to spark.sql.shuffle.partitions tasks: rows that are small but cost much work; adaptive execution joins partitions by bytes and would leave them to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
