@@ -581,9 +581,13 @@ _add(
 
 def queries() -> dict:
     """Name -> callable (spark, sf_dir) -> DataFrame."""
-    return dict(QUERIES)
+    from . import graph_queries
+
+    return QUERIES | graph_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return dict(ORACLES)
+    from . import graph_queries
+
+    return ORACLES | graph_queries.ORACLES
