@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import regular_paths as RP
+from ..streaming import answers
 from . import registry as base
 
 QUERIES: dict = {}
@@ -55,3 +56,29 @@ _add(
         *base._E, base._EDGE, f"hop AS (SELECT DISTINCT * FROM edge WHERE pred IN {_HOP})",
     ),
 )
+
+# --- answers as a stream --------------------------------------------------------------------
+
+#: A user's answers of one type, reported so many minutes after they were given; beyond DELAY they are late.
+_DELAY = "30 MINUTES"
+
+
+def _reported(events):
+    """events as answers: k of props says how many minutes before ts the answer was given."""
+    minutes = F.get_json_object("props", "$.k").cast("int")
+    answered = F.col("ts").cast("timestamp") - F.make_dt_interval(mins=minutes)
+    return events.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), answered.alias("answered"), F.col("ts").cast("timestamp").alias("arrived"), F.col("event_id").alias("seq"), F.col("value").cast("string").alias("response"))
+
+
+def _stream_last(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    states = answers.replayed(spark, path, spark.read.parquet(path).schema, lambda s: answers.last_answers(_reported(s), _DELAY))
+    return answers.merged(states).select("key", "n", "late", "seq", F.col("response").cast("double").alias("last_value"))
+
+
+_add(
+    "stream_last_answers",
+    _stream_last,
+    """WITH a AS (SELECT user_id || '/' || event_type AS key, event_id, value, regexp_extract(props, '"k": *(\\d+)', 1)::INT AS k, ts FROM events)
+    SELECT key, count(*) AS n, count(*) FILTER (k > 30) AS late, arg_max(event_id, (ts - to_minutes(k), event_id)) FILTER (k <= 30) AS seq, arg_max(value, (ts - to_minutes(k), event_id)) FILTER (k <= 30) AS last_value FROM a GROUP BY key""",
+)
