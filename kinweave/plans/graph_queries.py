@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import patterns as GP
 from ..operators import regular_paths as RP
+from ..sources import turtle as T
+from ..sources.shared import written
 from ..streaming import answers
 from . import registry as base
 
@@ -82,3 +85,42 @@ _add(
     """WITH a AS (SELECT user_id || '/' || event_type AS key, event_id, value, regexp_extract(props, '"k": *(\\d+)', 1)::INT AS k, ts FROM events)
     SELECT key, count(*) AS n, count(*) FILTER (k > 30) AS late, arg_max(event_id, (ts - to_minutes(k), event_id)) FILTER (k <= 30) AS seq, arg_max(value, (ts - to_minutes(k), event_id)) FILTER (k <= 30) AS last_value FROM a GROUP BY key""",
 )
+
+# --- graph patterns -------------------------------------------------------------------------
+
+
+def _triples(p):
+    """The pedigree as a graph: types, labels, parents, spouses and siblings. The first and last two persons have no sex, for the optional part."""
+    named = p.select("id", F.when((F.col("id") > 2) & F.col("spouse_id").isNotNull(), F.col("sex")).alias("sex"), F.concat(F.lit("P"), "id").alias("first_name"), F.concat(F.lit("of "), F.col("father_id").cast("string")).alias("surname"), F.lit(None).cast("int").alias("born"))
+    return written(T.person_triples(named).unionByName(T.edge_triples(base._edges(p))))
+
+
+_TRIPLES = """tr AS MATERIALIZED (SELECT DISTINCT subj, pred, obj FROM (
+  SELECT 'person:person_' || id AS subj, unnest(['a', 'rdfs:label', 'a']) AS pred, unnest(['family:Person', 'P' || id || ' of ' || father_id, CASE WHEN id > 2 AND spouse_id IS NOT NULL THEN CASE sex WHEN 'M' THEN 'family:Male' ELSE 'family:Female' END END]) AS obj FROM person
+  UNION ALL SELECT 'person:person_' || src, 'family:' || pred, 'person:person_' || dst FROM edge) WHERE obj IS NOT NULL)"""
+_PERSON_OF = (("?person", "a", "family:Person"), ("?person", "rdfs:label", "?name"))
+_SEX_OF = GP.Group(either=[GP.Group(("?person", "a", "family:Male"), bind={"gender": "male"}), GP.Group(("?person", "a", "family:Female"), bind={"gender": "female"})])
+_add(
+    "pattern_persons",
+    base._graph(lambda p: GP.solutions(_triples(p), GP.Group(*_PERSON_OF, optional=[_SEX_OF]), "person", "name", "gender")),
+    base._sql(
+        """SELECT t.subj AS person, n.obj AS name, g.gender FROM tr t JOIN tr n ON n.subj = t.subj AND n.pred = 'rdfs:label'
+        LEFT JOIN (SELECT subj, CASE obj WHEN 'family:Male' THEN 'male' ELSE 'female' END AS gender FROM tr WHERE pred = 'a' AND obj IN ('family:Male', 'family:Female')) g ON g.subj = t.subj
+        WHERE t.pred = 'a' AND t.obj = 'family:Person'""",
+        *base._E, base._EDGE, _TRIPLES,
+    ),
+)
+_add(
+    "pattern_uncles",
+    base._graph(lambda p: GP.solutions(_triples(p), GP.Group(("?child", "family:hasFather", "?father"), ("?father", "family:hasBrother", "?uncle"), ("?uncle", "rdfs:label", "?name"), optional=[GP.Group(("?uncle", "family:hasWife", "?aunt"), ("?aunt", "a", "family:Female"))]), "child", "uncle", "name", "aunt")),
+    base._sql(
+        """SELECT f.subj AS child, b.obj AS uncle, n.obj AS name, w.aunt FROM tr f JOIN tr b ON b.subj = f.obj AND b.pred = 'family:hasBrother' JOIN tr n ON n.subj = b.obj AND n.pred = 'rdfs:label'
+        LEFT JOIN (SELECT x.subj, x.obj AS aunt FROM tr x JOIN tr y ON y.subj = x.obj AND y.pred = 'a' AND y.obj = 'family:Female' WHERE x.pred = 'family:hasWife') w ON w.subj = b.obj WHERE f.pred = 'family:hasFather'""",
+        *base._E, base._EDGE, _TRIPLES,
+    ),
+)
+_add(
+    "pattern_in_laws",
+    base._graph(lambda p: GP.solutions(_triples(p), GP.Group(("?a", "family:hasSpouse", "?b"), either=[GP.Group(("?b", "family:hasBrother", "?c"), bind={"how": "brother"}), GP.Group(("?b", "family:hasMother", "?c"), bind={"how": "mother"})]), "a", "c", "how")),
+    base._sql("SELECT s.subj AS a, t.obj AS c, CASE t.pred WHEN 'family:hasBrother' THEN 'brother' ELSE 'mother' END AS how FROM tr s JOIN tr t ON t.subj = s.obj AND t.pred IN ('family:hasBrother', 'family:hasMother') WHERE s.pred = 'family:hasSpouse'", *base._E, base._EDGE, _TRIPLES),
+)
