@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import patterns as GP
 from ..operators import regular_paths as RP
 from ..sources import turtle as T
-from ..sources.shared import written
+from ..sources.shared import folder, written
+from ..sources.turtle_format import TurtleSource
 from ..streaming import answers
 from . import registry as base
 
@@ -124,3 +127,20 @@ _add(
     base._graph(lambda p: GP.solutions(_triples(p), GP.Group(("?a", "family:hasSpouse", "?b"), either=[GP.Group(("?b", "family:hasBrother", "?c"), bind={"how": "brother"}), GP.Group(("?b", "family:hasMother", "?c"), bind={"how": "mother"})]), "a", "c", "how")),
     base._sql("SELECT s.subj AS a, t.obj AS c, CASE t.pred WHEN 'family:hasBrother' THEN 'brother' ELSE 'mother' END AS how FROM tr s JOIN tr t ON t.subj = s.obj AND t.pred IN ('family:hasBrother', 'family:hasMother') WHERE s.pred = 'family:hasSpouse'", *base._E, base._EDGE, _TRIPLES),
 )
+
+
+# --- Turtle as a data source ----------------------------------------------------------------
+
+
+def _round_trip(p):
+    """The pedigree's graph written and read through format("turtle"): what it says of each person."""
+    spark = p.sparkSession
+    spark.dataSource.register(TurtleSource)
+    path = f"{folder(spark)}/kinweave/{uuid.uuid4().hex}.ttl"
+    made = _triples(p).withColumn("system", F.lit("pedigree"))
+    made.repartition("subj").sortWithinPartitions("subj").write.format("turtle").mode("append").save(path)
+    back = spark.read.format("turtle").load(path)
+    return back.groupBy("subj").agg(F.count("*").alias("n"), F.concat_ws("|", F.array_sort(F.collect_set(F.concat_ws(" ", "pred", "obj")))).alias("says"))
+
+
+_add("turtle_format", base._graph(_round_trip), base._sql("SELECT subj, count(*) AS n, string_agg(pred || ' ' || obj, '|' ORDER BY pred || ' ' || obj) AS says FROM tr GROUP BY subj", *base._E, base._EDGE, _TRIPLES))

@@ -19,8 +19,8 @@ PREFIXES = {
     "rdfs": "http://www.w3.org/2000/01/rdf-schema#",
     "xsd": "http://www.w3.org/2001/XMLSchema#",
 }
-#: A literal with its type or language, an address, a separator, or a name.
-_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|\^\^[^\s;,]+|@[A-Za-z-]+)?|<[^>]*>|[;,]|[^\s;,"<]+'
+#: A literal with its type or language, an address, a comment, a separator, or a name.
+_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|\^\^[^\s;,]+|@[A-Za-z-]+)?|<[^>]*>|#[^\n]*|[;,]|[^\s;,"<]+'
 _MARK = "\x01"
 
 
@@ -32,26 +32,46 @@ def _compact(token: Column) -> Column:
     return out
 
 
+def _bindings(spark: SparkSession, path: str) -> DataFrame:
+    """file, bound: what the prefixes of each file stand for where that isn't what PREFIXES says: "family:" for a known namespace, "<address" for another. Files that keep to PREFIXES have no row."""
+    line = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"^\s*@prefix\s+([^\s:]*):\s*<([^>]*)>", 1).alias("prefix"), F.regexp_extract("value", r"^\s*@prefix\s+([^\s:]*):\s*<([^>]*)>", 2).alias("space"), F.col("value").rlike(r"^\s*@prefix\s").alias("is_prefix"))
+    known = F.create_map(*[F.lit(x) for prefix, space in PREFIXES.items() for x in (space, f"{prefix}:")])
+    line = line.filter("is_prefix").select("file", "prefix", F.coalesce(F.element_at(known, F.col("space")), F.concat(F.lit("<"), "space")).alias("to")).filter(F.col("to") != F.concat("prefix", F.lit(":")))
+    return line.groupBy("file", "prefix").agg(F.min("to").alias("to")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "to"))).alias("bound"))
+
+
+def _bound(token: Column) -> Column:
+    """A token under the prefixes of PREFIXES, by the file's own bindings."""
+    to = F.element_at("bound", F.regexp_extract(token, r"^([^\s:<\"]*):", 1))
+    local = F.regexp_extract(token, r"^[^:]*:(.*)$", 1)
+    moved = F.when(to.endswith(":"), F.concat(to, local)).otherwise(F.concat(to, local, F.lit(">")))
+    return F.when(F.col("bound").isNull() | token.startswith("<") | token.startswith('"') | ~token.contains(":"), token).otherwise(F.coalesce(moved, token))
+
+
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """system (the file's stem), subj, pred, obj, kind (iri or literal), datatype (null for plain literals and numbers) for every triple under path.
 
-    Names stay prefixed, "a" stays as it is, literals are unquoted; comment lines and @prefix statements go; repeated triples are kept."""
-    blocks = spark.read.option("lineSep", " .\n").text(path).select(file_stem(F.col("_metadata.file_path")).alias("system"), F.regexp_replace(F.regexp_replace("value", r"(?m)^\s*#.*$", ""), r"\s*\.?\s*$", "").alias("block"))
-    blocks = blocks.select("system", F.filter(F.split("block", r"\.\s*\n(?=\s*(?:@prefix|\S+:))"), lambda b: ~b.rlike(r"^\s*(?:@|\z)")).alias("blocks")).select("system", F.explode("blocks").alias("block"))
-    tokens = blocks.select("system", F.regexp_extract_all("block", F.lit(_TOKEN), 0).alias("t")).filter(F.size("t") > 2)
+    Names stay prefixed, under the prefixes of PREFIXES whatever a file calls them; names in other namespaces that a file binds become addresses; "a" stays as it is, literals are unquoted; comments and @prefix statements go; repeated triples are kept. Statements end lines, and comments that follow something on their line don't end with a full stop; the data source in turtle_format takes those as well."""
+    blocks = spark.read.option("lineSep", " .\n").text(path).select(F.col("_metadata.file_path").alias("file"), file_stem(F.col("_metadata.file_path")).alias("system"), F.regexp_replace(F.regexp_replace("value", r"(?m)^\s*#.*$", ""), r"\s*\.?\s*$", "").alias("block"))
+    # One row a file that has names of its own; the planner broadcasts it while it is small.
+    blocks = blocks.join(_bindings(spark, path), "file", "left")
+    blocks = blocks.select("system", "bound", F.filter(F.split("block", r"\.\s*\n(?=\s*(?:@prefix|\S*:))"), lambda b: ~b.rlike(r"^\s*(?:@|\z)")).alias("blocks")).select("system", "bound", F.explode("blocks").alias("block"))
+    tokens = blocks.select("system", "bound", F.filter(F.regexp_extract_all("block", F.lit(_TOKEN), 0), lambda x: ~x.startswith("#")).alias("t")).filter(F.size("t") > 2)
     parts = F.split(F.array_join(F.slice("t", 2, F.size("t")), _MARK), f"{_MARK};{_MARK}?")
-    rows = tokens.select("system", F.col("t")[0].alias("subj"), F.explode(parts).alias("part")).select("system", "subj", F.split("part", _MARK).alias("x"))
-    rows = rows.filter(F.size("x") > 1).select("system", "subj", F.col("x")[0].alias("pred"), F.explode(F.filter(F.slice("x", 2, F.size("x")), lambda o: o != ",")).alias("o"))
+    rows = tokens.select("system", "bound", F.col("t")[0].alias("subj"), F.explode(parts).alias("part")).select("system", "bound", "subj", F.split("part", _MARK).alias("x"))
+    rows = rows.filter(F.size("x") > 1).select("system", "bound", "subj", F.col("x")[0].alias("pred"), F.explode(F.filter(F.slice("x", 2, F.size("x")), lambda o: o != ",")).alias("o"))
     body = F.regexp_extract("o", r'(?s)^"((?:[^"\\]|\\.)*)"', 1)
     plain = F.replace(F.replace(F.replace(F.replace(F.replace(body, F.lit("\\\\"), F.lit("\x02")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit("\x02"), F.lit("\\"))
     quoted, number = F.col("o").startswith('"'), F.col("o").rlike(r"^[-+]?[0-9][0-9.eE+-]*$")
-    return rows.select(
+    # In lambdas, so that each step's result is one value for the next.
+    terms = F.transform(F.transform(F.array("subj", "pred", "o", F.regexp_extract("o", r"\^\^(\S+)$", 1)), _bound), _compact)
+    return rows.select("system", "o", plain.alias("plain"), quoted.alias("quoted"), number.alias("number"), terms.alias("t")).select(
         "system",
-        _compact(F.col("subj")).alias("subj"),
-        _compact(F.col("pred")).alias("pred"),
-        F.when(quoted, plain).otherwise(_compact(F.col("o"))).alias("obj"),
-        F.when(quoted | number, "literal").otherwise("iri").alias("kind"),
-        F.when(quoted, F.nullif(_compact(F.regexp_extract("o", r'\^\^(\S+)$', 1)), F.lit(""))).alias("datatype"),
+        F.col("t")[0].alias("subj"),
+        F.col("t")[1].alias("pred"),
+        F.when(F.col("quoted"), F.col("plain")).otherwise(F.col("t")[2]).alias("obj"),
+        F.when(F.col("quoted") | F.col("number"), "literal").otherwise("iri").alias("kind"),
+        F.when(F.col("quoted"), F.nullif(F.col("t")[3], F.lit(""))).alias("datatype"),
     )
 
 
@@ -141,38 +161,75 @@ def edge_triples(found: DataFrame, prefix: str = "family") -> DataFrame:
     return found.select(iri("src").alias("subj"), F.concat(F.lit(f"{prefix}:"), F.col("pred")).alias("pred"), iri("dst").alias("obj"), F.lit("iri").alias("kind"), F.lit(None).cast("string").alias("datatype"))
 
 
-#: The vocabulary. Labels follow from the names but for those with a note in brackets.
-_CLASSES = ("Person", "Male", "Female", "Marriage")
-_FACTS = {"firstName": "xsd:string", "surname": "xsd:string", "yearOfBirth": "xsd:integer"}
-_RELATIONS = (
-    "hasParent", "hasMother", "hasFather", "hasChild", "hasSon", "hasDaughter", "hasSpouse", "hasHusband", "hasWife", "hasSibling", "hasBrother", "hasSister",
-    "hasGrandparent", "hasGrandmother", "hasGrandfather", "hasMaternalGrandmother", "hasMaternalGrandfather", "hasPaternalGrandmother", "hasPaternalGrandfather", "hasGrandchild",
-    "hasUncle", "hasAunt", "hasMaternalUncle", "hasMaternalAunt", "hasPaternalUncle", "hasPaternalAunt", "hasCousin", "hasNephew", "hasNiece",
-)
-_KIN = {
+#: The vocabulary that every graph declares, and that of some systems, with labels.
+CLASSES = {"Person": "Person", "Male": "Male", "Female": "Female", "Marriage": "Marriage", "Clan": "Clan"}
+FACTS = {"firstName": ("first name", "xsd:string"), "surname": ("surname", "xsd:string"), "yearOfBirth": ("year of birth", "xsd:integer")}
+RELATIONS = {
+    "hasFather": "has father",
+    "hasMother": "has mother",
+    "hasParent": "has parent",
+    "hasChild": "has child",
+    "hasSon": "has son",
+    "hasDaughter": "has daughter",
+    "hasSibling": "has sibling",
+    "hasBrother": "has brother",
+    "hasSister": "has sister",
+    "hasSpouse": "has spouse",
+    "hasHusband": "has husband",
+    "hasWife": "has wife",
+    "hasCousin": "has cousin",
+    "hasUncle": "has uncle",
+    "hasAunt": "has aunt",
+    "hasNephew": "has nephew",
+    "hasNiece": "has niece",
+    "hasGrandparent": "has grandparent",
+    "hasGrandfather": "has grandfather",
+    "hasGrandmother": "has grandmother",
+    "hasGrandchild": "has grandchild",
+    "hasMaternalGrandfather": "has maternal grandfather",
+    "hasMaternalGrandmother": "has maternal grandmother",
+    "hasPaternalGrandfather": "has paternal grandfather",
+    "hasPaternalGrandmother": "has paternal grandmother",
+    "hasMaternalUncle": "has maternal uncle (mother's brother)",
+    "hasMaternalAunt": "has maternal aunt (mother's sister)",
+    "hasPaternalUncle": "has paternal uncle (father's brother)",
+    "hasPaternalAunt": "has paternal aunt (father's sister)",
+}
+KIN_RELATIONS = {
+    "hasClassificatoryParent": "has classificatory parent",
+    "hasClassificatorySibling": "has classificatory sibling",
+    "hasCrossCousin": "has cross-cousin",
+    "hasParallelCousin": "has parallel cousin",
+    "hasCrossAunt": "has cross-aunt (father's sister)",
+    "hasCrossUncle": "has cross-uncle (mother's brother)",
+    "hasPotentialSpouse": "has potential spouse (cross-cousin)",
+    "hasAffinalRelative": "has affinal relative",
+    "hasMama": "has Mama (mother's brother)",
+    "hasAthai": "has Athai (father's sister)",
+    "sameMatriclan": "same matriclan",
+    "fathersMatriclan": "father's matriclan",
+    "samePatriclan": "same patriclan",
+    "mothersPatriclan": "mother's patriclan",
+    "hasSkewedGeneration": "has skewed generation relationship",
+}
+KIN_OF = {
     "hawaiian": ("hasClassificatoryParent", "hasClassificatorySibling"),
-    "iroquois": ("hasClassificatoryParent", "hasClassificatorySibling", "hasParallelCousin", "hasCrossCousin", "hasCrossUncle", "hasCrossAunt"),
-    "dravidian": ("hasClassificatoryParent", "hasClassificatorySibling", "hasParallelCousin", "hasCrossCousin", "hasCrossUncle", "hasCrossAunt", "hasMama", "hasAthai", "hasPotentialSpouse", "hasAffinalRelative"),
+    "iroquois": ("hasClassificatoryParent", "hasClassificatorySibling", "hasCrossCousin", "hasParallelCousin", "hasCrossAunt", "hasCrossUncle"),
+    "dravidian": ("hasClassificatoryParent", "hasClassificatorySibling", "hasCrossCousin", "hasParallelCousin", "hasCrossAunt", "hasCrossUncle", "hasPotentialSpouse", "hasAffinalRelative", "hasMama", "hasAthai"),
     "crow": ("sameMatriclan", "fathersMatriclan", "hasSkewedGeneration"),
     "omaha": ("samePatriclan", "mothersPatriclan", "hasSkewedGeneration"),
 }
-_LABELS = {
-    "hasMaternalUncle": "has maternal uncle (mother's brother)", "hasMaternalAunt": "has maternal aunt (mother's sister)", "hasPaternalUncle": "has paternal uncle (father's brother)", "hasPaternalAunt": "has paternal aunt (father's sister)",
-    "hasCrossUncle": "has cross-uncle (mother's brother)", "hasCrossAunt": "has cross-aunt (father's sister)", "hasCrossCousin": "has cross-cousin", "hasMama": "has Mama (mother's brother)", "hasAthai": "has Athai (father's sister)",
-    "hasPotentialSpouse": "has potential spouse (cross-cousin)", "hasSkewedGeneration": "has skewed generation relationship", "fathersMatriclan": "father's matriclan", "mothersPatriclan": "mother's patriclan",
-}
 
 
 def vocabulary(spark: SparkSession, system: str) -> DataFrame:
     """subj, pred, obj, kind, datatype: the classes and properties that a system's graph declares."""
-    label = lambda name: _LABELS.get(name) or (name if name[0].isupper() else "".join(f" {c.lower()}" if c.isupper() else c for c in name))
     rows = []
-    for name in (*_CLASSES, *(("Clan",) if system in ("crow", "omaha") else ())):
-        rows += [(f"family:{name}", "a", "owl:Class", "iri"), (f"family:{name}", "rdfs:label", label(name), "literal")]
-    for name, kind in _FACTS.items():
-        rows += [(f"family:{name}", "a", "owl:DatatypeProperty", "iri"), (f"family:{name}", "rdfs:label", label(name), "literal"), (f"family:{name}", "rdfs:range", kind, "iri")]
-    for name in _RELATIONS:
-        rows += [(f"family:{name}", "a", "owl:ObjectProperty", "iri"), (f"family:{name}", "rdfs:label", label(name), "literal"), (f"family:{name}", "rdfs:domain", "family:Person", "iri"), (f"family:{name}", "rdfs:range", "family:Person", "iri")]
-    for name in _KIN.get(system, ()):
-        rows += [(f"kin:{name}", "a", "owl:ObjectProperty", "iri"), (f"kin:{name}", "rdfs:label", label(name), "literal")]
+    for name, label in CLASSES.items():
+        rows += [(f"family:{name}", "a", "owl:Class", "iri"), (f"family:{name}", "rdfs:label", label, "literal")]
+    for name, (label, kind) in FACTS.items():
+        rows += [(f"family:{name}", "a", "owl:DatatypeProperty", "iri"), (f"family:{name}", "rdfs:label", label, "literal"), (f"family:{name}", "rdfs:range", kind, "iri")]
+    for name, label in RELATIONS.items():
+        rows += [(f"family:{name}", "a", "owl:ObjectProperty", "iri"), (f"family:{name}", "rdfs:label", label, "literal"), (f"family:{name}", "rdfs:domain", "family:Person", "iri"), (f"family:{name}", "rdfs:range", "family:Person", "iri")]
+    for name in KIN_OF.get(system, ()):
+        rows += [(f"kin:{name}", "a", "owl:ObjectProperty", "iri"), (f"kin:{name}", "rdfs:label", KIN_RELATIONS[name], "literal")]
     return spark.createDataFrame([(*r, None) for r in rows], "subj string, pred string, obj string, kind string, datatype string")
