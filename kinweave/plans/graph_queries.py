@@ -99,7 +99,7 @@ def _triples(p):
 
 
 _TRIPLES = """tr AS MATERIALIZED (SELECT DISTINCT subj, pred, obj FROM (
-  SELECT 'person:person_' || id AS subj, unnest(['a', 'rdfs:label', 'a']) AS pred, unnest(['family:Person', 'P' || id || ' of ' || father_id, CASE WHEN id > 2 AND spouse_id IS NOT NULL THEN CASE sex WHEN 'M' THEN 'family:Male' ELSE 'family:Female' END END]) AS obj FROM person
+  SELECT 'person:person_' || id AS subj, unnest(['a', 'family:firstName', 'family:surname', 'rdfs:label', 'a']) AS pred, unnest(['family:Person', 'P' || id, 'of ' || father_id, 'P' || id || ' of ' || father_id, CASE WHEN id > 2 AND spouse_id IS NOT NULL THEN CASE sex WHEN 'M' THEN 'family:Male' ELSE 'family:Female' END END]) AS obj FROM person
   UNION ALL SELECT 'person:person_' || src, 'family:' || pred, 'person:person_' || dst FROM edge) WHERE obj IS NOT NULL)"""
 _PERSON_OF = (("?person", "a", "family:Person"), ("?person", "rdfs:label", "?name"))
 _SEX_OF = GP.Group(either=[GP.Group(("?person", "a", "family:Male"), bind={"gender": "male"}), GP.Group(("?person", "a", "family:Female"), bind={"gender": "female"})])
