@@ -567,14 +567,20 @@ def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.bootstrap_gap(counts), "gap", "lo", "hi")
 
 
-_U = lambda tag: f"(('0x' || substr(md5('0|' || replicate || '|' || model || '|' || side || '|{tag}'), 1, 7))::BIGINT::DOUBLE / 268435456)"
+_U = "(('0x' || substr(md5('0|' || replicate || '|' || model || '|' || side), 1, 7))::BIGINT::DOUBLE / 268435456)"
 _add(
     "bootstrap_ci",
     _bootstrap,
     f"""WITH c AS (SELECT l_returnflag AS model, CASE WHEN l_linenumber <= 2 THEN 'a' ELSE 'b' END AS side, count(*) AS n, count(*) FILTER (l_quantity > 25) AS exact FROM lineitem GROUP BY ALL),
-    p AS (SELECT *, exact / n AS p, CASE side WHEN 'a' THEN 1 ELSE -1 END AS sign FROM c),
-    r AS (SELECT replicate, model, sum(sign * greatest(0.0, least(1.0, p + sqrt(-2 * ln(1 - {_U('r')})) * cos(2 * pi() * {_U('t')}) * sqrt(p * (1 - p) / n)))) AS gap FROM p, range(10000) AS x(replicate) GROUP BY ALL),
-    g AS (SELECT avg(gap) AS gap FROM r GROUP BY replicate)
+    p AS (SELECT *, exact / n AS p, sqrt(n * (exact / n) * (1 - exact / n)) AS sd, CASE side WHEN 'a' THEN 1 ELSE -1 END AS sign FROM c),
+    k AS (SELECT n, exact, unnest(range(greatest(0, floor(exact - 9 * sd) - 10)::BIGINT, least(n, ceil(exact + 9 * sd) + 10)::BIGINT + 1)) AS k FROM (SELECT DISTINCT n, exact, sd FROM p)),
+    l AS (SELECT *, sum(CASE WHEN k = k0 THEN 0 ELSE ln((n - k + 1) / k) + ln(exact / (n - exact)) END) OVER (PARTITION BY n, exact ORDER BY k) AS l FROM (SELECT *, min(k) OVER (PARTITION BY n, exact) AS k0 FROM k)),
+    w AS (SELECT n, exact, k, exp(l - max(l) OVER (PARTITION BY n, exact)) AS w FROM l),
+    h AS (SELECT n, exact, k, sum(w) OVER (PARTITION BY n, exact ORDER BY k) / sum(w) OVER (PARTITION BY n, exact) AS hi FROM w),
+    t AS (SELECT n, exact, k, coalesce(lag(hi) OVER (PARTITION BY n, exact ORDER BY k), 0) AS lo FROM h),
+    u AS (SELECT model, n, exact, sign, replicate, {_U} AS u FROM p, range(10000) AS x(replicate)),
+    d AS (SELECT replicate, model, sum(sign * (k / u.n)) AS gap FROM u ASOF JOIN t ON u.n = t.n AND u.exact = t.exact AND u.u >= t.lo GROUP BY ALL),
+    g AS (SELECT avg(gap) AS gap FROM d GROUP BY replicate)
     SELECT round((SELECT avg(gap) FROM (SELECT sum(sign * p) AS gap FROM p GROUP BY model)), 6) AS gap, round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi FROM g""",
 )
 
