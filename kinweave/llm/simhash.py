@@ -61,13 +61,13 @@ REFERENCES = 15
 PAIRED = 16
 #: near_dedup(): shingle size, similarity as a fraction (so that no rounding decides), elements of a sketch.
 NEAR_SHINGLE, SIMILARITY, SKETCH = 5, (4, 5), 28
-#: Differing bits of similar texts' fingerprints, at most: at the similarity itself a bit differs with probability acos(8/9) / pi, and more than 24 of 64 do once in some 200,000 pairs.
-NEAR_RADIUS = 24
-#: Elements that the sketches of similar texts have in common at least; they have some 22, and fewer than this once in ten million pairs.
-OVERLAP = 9
+#: Differing bits of the fingerprints of similar texts with more than SKETCH elements, at most: at the similarity itself a bit differs with probability acos(8/9) / pi, and more than 32 of 64 do once in 80 billion pairs.
+NEAR_RADIUS = 32
+#: Elements that the sketches of such texts have in common at least; they have some 22, and fewer than this once in 300 billion pairs.
+OVERLAP = 6
 HUBS, TRIED = 6, 4
-#: Classes of a large bucket; elements of large buckets in the sketch of a text that may have no rarer one in common with a similar text (with fewer the chance is one in a million).
-CROWD, CROWDED = 64, 11
+#: Classes of a large bucket; elements of large buckets in the sketch of a text that may have no rarer one in common with a similar text (with fewer the chance is one in a billion).
+CROWD, CROWDED = 64, 8
 #: Ids and elements up to this number are broadcast; above it the planner decides.
 FEW = 500_000
 _CHUNK = 1 << 16
@@ -211,8 +211,12 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
 
 def _whole(docs: DataFrame, key: str, text: str, shingle: int, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, elements of the classes in wanted(cls), from the texts of their rows."""
-    want = common.saved(classes.join(wanted.distinct(), "cls", "left_semi").select("cls", "least"))
+    """cls, elements of the classes in wanted(cls): small sets are whole in their sketches, others are made again from the texts of their rows."""
+    asked = common.saved(classes.join(wanted.distinct(), "cls", "left_semi").select("cls", "least", "n", "sketch"))
+    small = asked.filter(F.col("n") <= SKETCH).select("cls", F.col("sketch").alias("elements"))
+    want = asked.filter(F.col("n") > SKETCH).select("cls", "least")
+    if want.isEmpty():
+        return small
     row = common.fresh(docs, "least")
     rows = docs.join(common.broadcast_if(want.select(F.col("least").alias(row)).distinct(), FEW), F.col(key).eqNullSafe(F.col(row)), "left_semi").select(F.col(text).cast("binary").alias("text"))
 
@@ -222,7 +226,7 @@ def _whole(docs: DataFrame, key: str, text: str, shingle: int, classes: DataFram
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), _lists(sets)], ["cls", "elements"])
 
     found = rows.mapInArrow(of, "cls long, elements array<long>")
-    return common.saved(found.join(common.broadcast_if(want.select("cls"), FEW), "cls", "left_semi").dropDuplicates(["cls"]))
+    return common.saved(found.join(common.broadcast_if(want.select("cls"), FEW), "cls", "left_semi").dropDuplicates(["cls"]).unionByName(small))
 
 
 def _similar(pairs: DataFrame, whole: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -243,15 +247,21 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
 
     def candidates(df: DataFrame) -> DataFrame:
         p, q = F.col("p.n").cast("long"), F.col("q.n").cast("long")
-        fits = (F.col("p.cls") != F.col("q.cls")) & (F.least(p, q) * down >= F.greatest(p, q) * up) & _within(F.col("p.fp"), F.col("q.fp"), NEAR_RADIUS)
+        # A few elements say little by their majorities; their sketches say all.
+        near = (F.least(p, q) <= SKETCH) | _within(F.col("p.fp"), F.col("q.fp"), NEAR_RADIUS)
+        fits = (F.col("p.cls") != F.col("q.cls")) & (F.least(p, q) * down >= F.greatest(p, q) * up) & near
         return df.filter(fits).select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs; those whose sketches say that they aren't go before the whole sets are made."""
         sketch = lambda who: classes.select(F.col("cls").alias(who), F.col("n").alias(f"n{who}"), F.col("sketch").alias(f"s{who}"))
-        close = (F.least("na", "nb") < SKETCH * up // down) | (F.size(F.array_intersect("sa", "sb")) >= OVERLAP)
-        pairs = common.saved(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(close).select("a", "b"))
-        return common.saved(_similar(pairs, _whole(docs, key, text, shingle, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls"))), similarity))
+        both = F.size(F.array_intersect("sa", "sb")).cast("long")
+        sure = F.greatest("na", "nb") <= SKETCH
+        close = F.when(sure, both * (up + down) >= (F.col("na") + F.col("nb")) * up).otherwise(both >= OVERLAP)
+        pairs = common.saved(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(close).select("a", "b", sure.alias("sure")))
+        rest = pairs.filter(~F.col("sure")).select("a", "b")
+        found = _similar(rest, _whole(docs, key, text, shingle, classes, rest.select(F.explode(F.array("a", "b")).alias("cls"))), similarity)
+        return common.saved(found.unionByName(pairs.filter("sure").select("a", "b")))
 
     hub = lambda k: F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "fp")).dropFields("h")
     hubs = members.groupBy("token").agg(F.array_distinct(F.array(*[hub(k) for k in range(HUBS)])).alias("hubs"))
@@ -266,12 +276,21 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
         return common.saved(df.join(main.filter("roots > 1").select("token", F.col("most.root").alias("main")), "token"))
 
     def across(df: DataFrame, at: Column) -> DataFrame:
-        """The pairs of different components within buckets: any has a side outside the most frequent one. at is an element's place in the order of its set, in which the first common element leaves room for the similarity."""
-        me = F.struct("cls", "n", "fp", at.alias("at"))
-        p = df.filter("root <> main").select("token", F.col("root").alias("pr"), me.alias("p"))
-        q = df.select("token", "main", F.col("root").alias("qr"), me.alias("q"))
-        room = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")).cast("long") * (up + down) >= (F.col("p.n") + F.col("q.n")).cast("long") * up
-        return p.join(q.hint("merge"), "token").filter((F.col("pr") != F.col("qr")) & ((F.col("qr") == F.col("main")) | (F.col("p.cls") < F.col("q.cls"))) & room)
+        """The pairs of different components within buckets: any has a side outside the most frequent one. at is an element's place in the order of its set, in which the first common element leaves room for the similarity.
+
+        What room there is follows from the two sizes and places alone, so a bucket's different (size, place) are held against each other first, and members meet only where theirs fit: a bucket of texts that have too much of their own makes no pairs at all, however many they are."""
+        df = common.saved(df.withColumn("at", at))
+        kinds = df.groupBy("token", "n", "at").agg(F.max((F.col("root") != F.col("main"))).alias("apart"))
+        p = kinds.filter("apart").select("token", F.col("n").alias("pn"), F.col("at").alias("pa"))
+        q = kinds.select("token", F.col("n").alias("qn"), F.col("at").alias("qa"))
+        long = lambda c: F.col(c).cast("long")
+        room = F.least(long("pn") - long("pa"), long("qn") - long("qa")) * (up + down) >= (long("pn") + long("qn")) * up
+        fits = common.saved(p.join(q.hint("merge"), "token").filter(room & (F.least(long("pn"), long("qn")) * down >= F.greatest(long("pn"), long("qn")) * up)))
+        me = lambda who: F.struct("cls", "n", "fp").alias(who)
+        one = df.filter("root <> main").select("token", F.col("n").alias("pn"), F.col("at").alias("pa"), F.col("root").alias("pr"), me("p")).join(fits, ["token", "pn", "pa"])
+        two = df.select("token", F.col("n").alias("qn"), F.col("at").alias("qa"), "main", F.col("root").alias("qr"), me("q"))
+        pairs = one.join(two.hint("merge"), ["token", "qn", "qa"])
+        return pairs.filter((F.col("pr") != F.col("qr")) & ((F.col("qr") == F.col("main")) | (F.col("p.cls") < F.col("q.cls"))))
 
     several = mixed(named)
     rest = across(several.filter(F.col("m") <= CROWD), F.lit(0))
