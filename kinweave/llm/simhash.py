@@ -68,6 +68,8 @@ OVERLAP = 6
 HUBS, TRIED = 6, 4
 #: Classes of a large bucket; elements of large buckets in the sketch of a text that may have no rarer one in common with a similar text (with fewer the chance is one in a billion).
 CROWD, CROWDED = 64, 8
+#: Buckets in which the elements of crowded texts are counted.
+COUNTED = 1 << 20
 #: Ids and elements up to this number are broadcast; above it the planner decides.
 FEW = 500_000
 _CHUNK = 1 << 16
@@ -215,8 +217,6 @@ def _whole(docs: DataFrame, key: str, text: str, shingle: int, classes: DataFram
     asked = common.saved(classes.join(wanted.distinct(), "cls", "left_semi").select("cls", "least", "n", "sketch"))
     small = asked.filter(F.col("n") <= SKETCH).select("cls", F.col("sketch").alias("elements"))
     want = asked.filter(F.col("n") > SKETCH).select("cls", "least")
-    if want.isEmpty():
-        return small
     row = common.fresh(docs, "least")
     rows = docs.join(common.broadcast_if(want.select(F.col("least").alias(row)).distinct(), FEW), F.col(key).eqNullSafe(F.col(row)), "left_semi").select(F.col(text).cast("binary").alias("text"))
 
@@ -237,6 +237,46 @@ def _similar(pairs: DataFrame, whole: DataFrame, similarity: tuple[int, int]) ->
     return df.withColumn("both", both).filter(F.col("both") * (up + down) >= (F.size("xa") + F.size("xb")) * up).select("a", "b")
 
 
+def _prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """cls, n, fp, root, at, token: the first elements of each set, those that a similar set must have one of, in an order in which rare elements come first.
+
+    Any order will do that is the same for all sets. This one goes by how often the elements of an
+    element's bucket occur, of a fixed number of buckets (one count each is broadcast), then by the element;
+    what is alone in its bucket is in no other set and goes."""
+    up, down = similarity
+    mask, spark = COUNTED - 1, sets.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTED, np.int64)
+        for b in batches:
+            seen += np.bincount(b.column(0).flatten().to_numpy() & mask, minlength=COUNTED)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "c"])
+
+    found = sets.select("elements").mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(COUNTED, np.int64)
+    counts[found["bucket"].to_numpy()] = found["c"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            places, tokens, sizes = [], [], []
+            for x in b.column(4):
+                x = x.values.to_numpy()
+                often = shared.value[x & mask]
+                order = np.lexsort((x, often))[: len(x) - -(-len(x) * up // down) + 1]
+                at = np.flatnonzero(often[order] > 1)
+                places.append(at.astype(np.int32))
+                tokens.append(x[order[at]])
+                sizes.append(len(at))
+            rows = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(rows) for k in range(4)], pa.array(np.concatenate(places)), pa.array(np.concatenate(tokens))], ["cls", "n", "fp", "root", "at", "token"])
+
+    return sets.select("cls", "n", "fp", "root", "elements").mapInArrow(first, "cls long, n int, fp long, root long, at int, token long")
+
+
 def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """a, b: similar pairs of different classes that give the components of all similar pairs."""
     up, down = similarity
@@ -279,13 +319,13 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
         """The pairs of different components within buckets: any has a side outside the most frequent one. at is an element's place in the order of its set, in which the first common element leaves room for the similarity.
 
         What room there is follows from the two sizes and places alone, so a bucket's different (size, place) are held against each other first, and members meet only where theirs fit: a bucket of texts that have too much of their own makes no pairs at all, however many they are."""
-        df = common.saved(df.withColumn("at", at))
+        df = df.withColumn("at", at)
         kinds = df.groupBy("token", "n", "at").agg(F.max((F.col("root") != F.col("main"))).alias("apart"))
         p = kinds.filter("apart").select("token", F.col("n").alias("pn"), F.col("at").alias("pa"))
         q = kinds.select("token", F.col("n").alias("qn"), F.col("at").alias("qa"))
         long = lambda c: F.col(c).cast("long")
         room = F.least(long("pn") - long("pa"), long("qn") - long("qa")) * (up + down) >= (long("pn") + long("qn")) * up
-        fits = common.saved(p.join(q.hint("merge"), "token").filter(room & (F.least(long("pn"), long("qn")) * down >= F.greatest(long("pn"), long("qn")) * up)))
+        fits = p.join(q.hint("merge"), "token").filter(room & (F.least(long("pn"), long("qn")) * down >= F.greatest(long("pn"), long("qn")) * up))
         me = lambda who: F.struct("cls", "n", "fp").alias(who)
         one = df.filter("root <> main").select("token", F.col("n").alias("pn"), F.col("at").alias("pa"), F.col("root").alias("pr"), me("p")).join(fits, ["token", "pn", "pa"])
         two = df.select("token", F.col("n").alias("qn"), F.col("at").alias("qa"), "main", F.col("root").alias("qr"), me("q"))
@@ -297,11 +337,7 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
     # Texts that can be similar to another without a rarer element of the sketches in common.
     crowd = several.filter(F.col("m") > CROWD).groupBy("cls", "n", "fp", "root").agg(F.count("*").alias("c")).filter(F.when(F.col("n") <= SKETCH, F.col("c") * down >= F.col("n") * up).otherwise(F.col("c") >= CROWDED))
     crowd = common.saved(crowd.select("cls", "n", "fp", "root"))
-    every = crowd.join(_whole(docs, key, text, shingle, classes, crowd.select("cls")), "cls").select("cls", "n", "fp", "root", F.explode("elements").alias("token"))
-    counts = every.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    ordered = every.join(counts, "token", "left").groupBy("cls", "n", "fp", "root").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("x"))
-    length = (F.col("n") - F.ceil(F.col("n") * up / F.lit(down)) + 1).cast("int")
-    prefixes = ordered.select("cls", "n", "fp", "root", F.posexplode(F.slice("x", F.lit(1), length)).alias("at", "t")).filter("t.c > 1").select("cls", "n", "fp", "root", "at", "t.token")
+    prefixes = common.saved(_prefixes(crowd.join(_whole(docs, key, text, shingle, classes, crowd.select("cls")), "cls"), similarity))
     # A group of near copies that the hubs left in parts: its stragglers are held against a few members of each of their buckets before they are held against all.
     ranked = mixed(prefixes)
     some = [F.min(F.struct(F.xxhash64("cls", "token", F.lit(k)).alias("h"), "cls", "n", "fp")).dropFields("h") for k in range(TRIED)]
