@@ -300,7 +300,7 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
         close = F.when(sure, both * (up + down) >= (F.col("na") + F.col("nb")) * up).otherwise(both >= OVERLAP)
         pairs = common.saved(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(close).select("a", "b", sure.alias("sure")))
         rest = pairs.filter(~F.col("sure")).select("a", "b")
-        found = _similar(rest, _whole(docs, key, text, shingle, classes, rest.select(F.explode(F.array("a", "b")).alias("cls"))), similarity)
+        found = _similar(rest, _whole(docs, key, text, shingle, classes, rest.select(F.col("a").alias("cls")).distinct().unionByName(rest.select(F.col("b").alias("cls")).distinct())), similarity)
         return common.saved(found.unionByName(pairs.filter("sure").select("a", "b")))
 
     hub = lambda k: F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "fp")).dropFields("h")
