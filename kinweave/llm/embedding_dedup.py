@@ -1,14 +1,17 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, rerank.
 
-Rotations are learned on a bounded sample (SAMPLE vectors of each length), so that the signs of the
-turned vectors lose as little as they can; every vector is encoded and indexed. The cuts go through
-the origin: a bit of two vectors at cosine 0.93 differs with a probability of about an eighth
-(angle / pi), however the vectors cluster, where cuts through the middle of the data would split
-the densest group at random. Codes are cut into substrings; two vectors of a label meet when a
+Rotations are learned on a bounded sample (SAMPLE vectors of each length) from what the vectors
+don't have in common: within random directions each rotation is turned until the signs of the
+centred sample lose as little as they can, which balances its bits; every vector is encoded and indexed. The
+cuts themselves go through the origin: a bit of two vectors at cosine 0.93 then differs with a
+probability of about an eighth (angle / pi) however the vectors cluster, while cuts through the middle of
+the data would split the densest group at random; and as no rotation is turned towards the common
+direction, pairs that share nothing else differ in their due share of bits. Codes are cut into substrings; two vectors of a label meet when a
 substring is equal, or differs in one bit that is among the FLIPS least certain bits of either.
 That is an equi-join of the substrings, in which each pair comes out once, in the first table in
-which it meets; all pairs that meet are reranked by the cosine of the original vectors in double
-precision.
+which it meets. Pairs whose whole codes differ in more bits than a pair at the threshold would (by
+SPREAD standard deviations) go in the join; the rest is reranked by the cosine of the original
+vectors in double precision.
 
 Equal vectors of a label form one class first, so copies are counted, never paired. All links
 between different vectors within a dense group are made, since n_links counts them: their number,
@@ -24,6 +27,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -37,24 +41,28 @@ from .graph import connected_components
 THRESHOLD = 0.93
 #: Vectors of a length that the rotations are fitted on, at most.
 SAMPLE = 20_000
-CODES = 3
-BITS = 64
-SUBSTRINGS = 4
+CODES = 4
+#: Bits of a code (one long) and its substrings.
+BITS = 60
+SUBSTRINGS = 3
 FLIPS = 4
 ITERATIONS = 40
+#: A pair at the threshold differs in more bits once in 30,000 times.
+SPREAD = 4
 SEED = 7
 
 
 def fit(sample: np.ndarray, codes: int = CODES, bits: int = BITS) -> list[np.ndarray]:
-    """The projection (length x bits) of each code: principal axes turned by iterative quantisation. Vectors shorter than bits get several rotations side by side."""
+    """The projection (length x bits) of each code: random directions turned by iterative quantisation of the centred sample. Vectors shorter than bits get several rotations side by side."""
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    _, axes = np.linalg.eigh(x.T @ x / len(x))
-    axes = axes[:, ::-1][:, : min(bits, x.shape[1])]
-    v, rng, out = x @ axes, np.random.default_rng(SEED), []
+    x, rng, out = x - x.mean(axis=0), np.random.default_rng(SEED), []
+    width = min(bits, x.shape[1])
     for _ in range(codes):
         parts = []
         while sum(p.shape[1] for p in parts) < bits:
-            r, _ = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))
+            axes, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
+            axes = axes[:, :width]
+            v, r = x @ axes, np.eye(width)
             for _ in range(ITERATIONS):
                 left, _, right = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
                 r = left @ right
@@ -63,13 +71,20 @@ def fit(sample: np.ndarray, codes: int = CODES, bits: int = BITS) -> list[np.nda
     return out
 
 
+def most_bits(threshold: float, bits: int = CODES * BITS) -> int:
+    """The differing bits of a pair at the threshold, and SPREAD standard deviations more."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
+
+
 def _usable(vector: Column, label: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(label.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
+    """Rows of up to 64 bits as one long each."""
+    return np.packbits(np.pad(bits, ((0, 0), (0, 64 - bits.shape[1]))), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def _codes(vectors: DataFrame, model: list[np.ndarray]) -> DataFrame:
@@ -94,8 +109,8 @@ def _codes(vectors: DataFrame, model: list[np.ndarray]) -> DataFrame:
     return vectors.withColumn("e", encode("v")).select("*", "e.codes", "e.unsure").drop("e")
 
 
-def links(classes: DataFrame, model: list[np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """a, b (class numbers), na, nb (their sizes): the linked pairs of different vectors found."""
+def candidates(classes: DataFrame, model: list[np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """a, b (class numbers), na, nb (their sizes): the pairs of different vectors of a label that meet in the index, each once."""
     size = BITS // SUBSTRINGS
     spans = [(r, size * k) for r in range(len(model)) for k in range(SUBSTRINGS)]
     coded = common.saved(_codes(classes, model).select("c", "n", "label", "codes", "unsure"))
@@ -107,8 +122,6 @@ def links(classes: DataFrame, model: list[np.ndarray], threshold: float = THRESH
     bits = F.concat(F.array(F.lit(0).cast("long")), F.filter(F.transform(F.array(*[F.lit(1 << k).cast("long") for k in range(size)]), lambda x: x.bitwiseAND(F.col("k.u"))), lambda x: x != 0))
     probes = probes.select("label", "a", "na", "ca", "ua", F.col("k.t").alias("t"), F.col("k.s").alias("s0"), F.explode(bits).alias("flip"))
     probes = probes.select("label", "a", "na", "ca", "ua", "t", "flip", F.col("s0").bitwiseXOR(F.col("flip")).alias("s"))
-    # Exploded rows look small to the planner: without the hint it would broadcast the index, which grows with the input.
-    pairs = probes.join(index.hint("merge"), ["label", "t", "s"])
     apart = lambda r, lo: cut(F.col("ca"), r, lo).bitwiseXOR(cut(F.col("cb"), r, lo))
     either = lambda r, lo: cut(F.col("ua"), r, lo).bitwiseOR(cut(F.col("ub"), r, lo))
     first = F.lit(len(spans))
@@ -117,19 +130,31 @@ def links(classes: DataFrame, model: list[np.ndarray], threshold: float = THRESH
     # A pair that both sides find is taken from the smaller number's probe.
     theirs = reduce(lambda rest, x: F.when(F.col("t") == x[0], cut(F.col("ub"), *x[1])).otherwise(rest), enumerate(spans), F.lit(0).cast("long"))
     once = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & (F.col("flip") != 0) & (F.col("flip").bitwiseAND(theirs) == 0))
-    pairs = pairs.filter(once & (F.col("t") == first)).select("a", "na", "b", "nb")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("ca")[r].bitwiseXOR(F.col("cb")[r])) for r in range(len(model))])
+    # Exploded rows look small to the planner: without the hint it would broadcast the index, which grows with the input.
+    pairs = probes.join(index.hint("merge"), ["label", "t", "s"])
+    return pairs.filter((differ <= most_bits(threshold, BITS * len(model))) & once & (F.col("t") == first)).select("a", "na", "b", "nb")
+
+
+def links(classes: DataFrame, model: list[np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """The candidates whose vectors reach the threshold."""
     of = lambda k: classes.select(F.col("c").alias(k), F.col("v").alias(f"v{k}"), F.col("norm").alias(f"norm{k}"))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+    pairs = candidates(classes, model, threshold).join(of("a"), "a").join(of("b"), "b")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return pairs.filter(dot / (F.col("norma") * F.col("normb")) >= threshold).select("a", "na", "b", "nb")
 
 
+def different(rows: DataFrame) -> DataFrame:
+    """label, v, least (key), n, norm, dim, c (a number) of the different vectors of each label in rows (key, v, label)."""
+    classes = rows.groupBy("label", "v").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return classes.select("label", "v", "least", "n", norm.alias("norm"), F.size("v").alias("dim"), F.monotonically_increasing_id().alias("c"))
+
+
 def dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """key, n_links, component_id, kept for every row."""
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(label).alias("label")).withColumn("usable", _usable(F.col("v"), F.col("label")))
-    classes = rows.filter("usable").groupBy("label", "v").agg(F.min("key").alias("least"), F.count("*").alias("n"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    classes = common.saved(classes.select("label", "v", "least", "n", norm.alias("norm"), F.size("v").alias("dim"), F.monotonically_increasing_id().alias("c")))
+    classes = common.saved(different(rows.filter("usable")))
     found = []
     # One pass for each length of vectors: as many as there are kinds of embeddings.
     for (dim,) in classes.groupBy("dim").count().filter("count > 1").select("dim").orderBy("dim").collect():

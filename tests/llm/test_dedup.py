@@ -103,6 +103,26 @@ def test_embedding_recall_where_one_group_is_dense(spark, share, dim, spread):
     assert all(got[k] <= want[k] for k in got) and want.sum() > 500 and sum(got.values()) >= 0.97 * want.sum()
 
 
+@pytest.mark.parametrize("dim, mean", [(64, 0.2), (64, 0.5), (64, 0.7), (384, 0.5), (384, 0.7)])
+def test_few_candidates_and_all_links_where_vectors_share_a_direction(spark, dim, mean):
+    rng = np.random.default_rng(dim)
+    common = rng.standard_normal(dim) / np.sqrt(dim)
+    v = np.sqrt(mean) * common + np.sqrt(1 - mean) * rng.standard_normal((1000, dim)) / np.sqrt(dim)
+    for k in range(100):  # links at cosines from 0.93 to 0.97
+        x, e = v[k], rng.standard_normal(dim)
+        e -= x * (e @ x) / (x @ x)
+        c = 0.932 + 0.038 * k / 100
+        v[500 + k] = c * x / np.linalg.norm(x) + np.sqrt(1 - c * c) * e / np.linalg.norm(e)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.93, 1)))}
+    classes = embedding_dedup.different(spark.createDataFrame([(k, v[k].tolist(), 1) for k in range(1000)], "key long, v array<double>, label int")).cache()
+    key = {r["c"]: r["least"] for r in classes.collect()}
+    met = [tuple(sorted((key[r["a"]], key[r["b"]]))) for r in embedding_dedup.candidates(classes, embedding_dedup.fit(v)).collect()]
+    print("candidates", dim, mean, len(met) / (1000 * 999 / 2), "recall", len(want & set(met)) / len(want), len(want))
+    assert len(met) == len(set(met)) < 0.05 * 1000 * 999 / 2
+    assert len(want) >= 100 and len(want & set(met)) >= 0.9 * len(want)
+
+
 def test_every_length_of_vectors_is_searched(spark):
     rng = np.random.default_rng(4)
     rows = [(k, [*map(float, 5 * np.eye(d)[0] + 0.1 * rng.standard_normal(d))], 1) for k, d in enumerate([2] * 7 + [3] * 4 + [70] * 5 + [9])]
