@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kinship_terms as K
 from ..sources.datasets import gold
-from . import scoring
+from ..sources.shared import discard, written
+from . import paths, scoring
 
 #: Characters of a response that a result keeps.
 RAW = 1000
@@ -52,6 +53,47 @@ def respond(prompts: DataFrame, generate: Callable[[str], str | None], prompt: s
     return prompts.mapInPandas(asked, schema)
 
 
+def resumed(prompts: DataFrame, generate: Callable[[str], str | None], path: str, key: str = "question_id", every: int = 10_000, rate: float | None = None, **settings) -> DataFrame:
+    """prompts with their responses, of which the table at path holds those given so far: only prompts whose key it lacks are asked, in rounds of some every prompts, each of which is appended once it is whole. A run that is broken off asks no finished round again.
+
+    rate: calls a second of all tasks together; each task gets its share as a bucket of one second's calls. Null and repeated keys are asked once, the prompt that comes first in order for a key. settings are respond()'s."""
+    spark = prompts.sparkSession
+    schema = respond(prompts, generate, **settings).schema
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = store.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = prompts.groupBy(key).agg(F.min(F.struct(*[c for c in prompts.columns if c != key])).alias("x")).select(key, "x.*").select(*prompts.columns)
+    done = lambda: spark.read.schema(schema).parquet(path) if files.exists(store) else None
+    have = done()
+    left = first if have is None else first.join(have.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    left = written(left)
+    rounds = -(-left.count() // every)
+    tasks = spark.sparkContext.defaultParallelism
+    for k in range(rounds):
+        some = left.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k).repartition(tasks)
+        paced = _paced(generate, rate / tasks) if rate else generate
+        respond(some, paced, **settings).write.mode("append").parquet(path)
+    discard(left)
+    out = done()
+    return respond(first.limit(0), generate, **settings) if out is None else out
+
+
+def _paced(generate: Callable, rate: float) -> Callable:
+    """generate held to so many calls a second in a task: a bucket that fills at the rate and holds one second's calls, or one."""
+    held = {"calls": max(1.0, rate), "at": None}
+
+    def call(prompt: str) -> str | None:
+        now = time.monotonic()
+        held["calls"] = min(max(1.0, rate), held["calls"] + (now - (held["at"] or now)) * rate)
+        held["at"] = now
+        if held["calls"] < 1:
+            time.sleep((1 - held["calls"]) / rate)
+            held["calls"], held["at"] = 1.0, time.monotonic()
+        held["calls"] -= 1
+        return generate(prompt)
+
+    return call
+
+
 def evaluated(questions: DataFrame, responses: DataFrame, categories: list[int] | None = None, cot: bool = False) -> DataFrame:
     """One row for each question with a response (question_id, response, response_time; also model and protocol, if there): the question's fields with defaults for missing ones, what was read from the response, and the scores. Of several responses to one question by one model and protocol the last in time and text counts; responses to unknown questions go."""
     q = questions if categories is None else questions.filter(F.col("category").isin(*categories))
@@ -113,6 +155,46 @@ def western_means(results: DataFrame) -> DataFrame:
     return each.groupBy(F.col("kinship_system").isin(*K.WESTERN).alias("western")).agg(F.avg("mean").alias("macro_mean"), F.count("*").alias("systems"))
 
 
+#: The plain kin word in a cultural term, tried in order, and the paths by which someone reads it who takes it biologically.
+DEFAULT_PATHS = (
+    ("great-grandchild", ("C.C.C",)),
+    ("grandchild", ("C.C",)),
+    ("paternal grandfather", ("F.F",)),
+    ("maternal grandmother", ("M.M",)),
+    ("grandparent", ("F.F", "F.M", "M.F", "M.M")),
+    ("niece/nephew", ("Sb.C",)),
+    ("cousin", ("F.B.C", "F.Z.C", "M.B.C", "M.Z.C")),
+    ("aunt", ("F.Z", "M.Z")),
+    ("Athai", ("F.Z", "M.Z")),
+    ("uncle", ("F.B", "M.B")),
+    ("Mama", ("F.B", "M.B")),
+    ("sibling", ("Sb",)),
+    ("child", ("C",)),
+    ("parent", ("F", "M")),
+    ("father", ("F",)),
+    ("mother", ("M",)),
+)
+
+
+def default_paths(term: str) -> tuple[str, ...]:
+    """The biological reading of a cultural term; none of a term without a kin word."""
+    return next((p for word, p in DEFAULT_PATHS if word in term), ())
+
+
+def with_defaults(questions: DataFrame, edges: DataFrame) -> DataFrame:
+    """questions (anchor, kin_term and others) with default: the ids that the term's biological reading gives for the anchor, sorted, empty without any. The readings are a few rows a term; all of them are walked for all anchors at once."""
+    spark = questions.sparkSession
+    terms = [r["kin_term"] for r in questions.select("kin_term").dropna().distinct().collect()]  # the vocabulary's terms
+    readings = [(t, p) for t in terms for p in default_paths(t)]
+    if not readings:
+        return questions.withColumn("default", F.array().cast("array<int>"))
+    anchors = questions.select(F.col("anchor").alias("id")).dropna().distinct()
+    reached = paths.traverse_all(edges, anchors, sorted({p for _, p in readings})).filter("anchor <> node")
+    table = spark.createDataFrame(readings, "kin_term string, reading string")
+    found = reached.join(F.broadcast(table), F.col("path") == F.col("reading")).groupBy("anchor", "kin_term").agg(F.array_sort(F.collect_set("node")).alias("default"))
+    return questions.join(found, ["anchor", "kin_term"], "left").withColumn("default", F.coalesce("default", F.array().cast("array<int>")))
+
+
 def taxonomy(answers: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """answers(kinship_system, predicted, gold, default) -> kinship_system and the number of wrong answers of each class, one column a class."""
     wrong = answers.withColumn("class", scoring.error_class(F.col("predicted"), F.col("gold"), F.col("default"))).filter("class is not null")

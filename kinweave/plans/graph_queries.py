@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import kinship_terms as K
+from ..operators import evaluation, paths
 from ..operators import patterns as GP
 from ..operators import regular_paths as RP
+from ..operators.band import age_in_year, band_join
 from ..sources import turtle as T
 from ..sources.shared import folder, written
 from ..sources.turtle_format import TurtleSource
@@ -144,3 +147,53 @@ def _round_trip(p):
 
 
 _add("turtle_format", base._graph(_round_trip), base._sql("SELECT subj, count(*) AS n, string_agg(pred || ' ' || obj, '|' ORDER BY pred || ' ' || obj) AS says FROM tr GROUP BY subj", *base._E, base._EDGE, _TRIPLES))
+
+
+# --- bands and default answers --------------------------------------------------------------
+
+
+def _couples(p):
+    """Men and women born at most three years apart, by the man: a generation is 25 years, and each person's year moves by up to 24."""
+    born = F.expr("1700 + 25 * cast(floor(log2(id + 1)) as int) + (id * 7) % 25 + id div 12")
+    side = lambda sex, i, y: p.filter(F.col("sex") == sex).select(F.col("id").alias(i), born.alias(y))
+    pairs = band_join(side("M", "a", "born_a"), side("F", "b", "born_b"), ("born_a", "born_b"), 3)
+    return pairs.groupBy("a").agg(F.count("*").alias("n"), F.sum("b").alias("sum_b"), F.max(F.abs(age_in_year(F.col("born_a"), F.lit(2000)) - age_in_year(F.col("born_b"), F.lit(2000)))).cast("int").alias("gap"))
+
+
+_add(
+    "band_couples",
+    base._graph(_couples),
+    base._sql("SELECT a.id AS a, count(*) AS n, sum(b.id)::BIGINT AS sum_b, max(abs(a.y - b.y))::INT AS gap FROM y a JOIN y b ON a.sex = 'M' AND b.sex = 'F' AND abs(a.y - b.y) <= 3 GROUP BY a.id", "y AS (SELECT id, sex, 1700 + 25 * floor(log2(id + 1))::INT + (id * 7) % 25 + id // 12 AS y FROM person)"),
+)
+
+_RULES = [(s, p, t) for s, p, t, _ in K.overrides(True)]
+_READ = sorted({(t, p) for _, _, t in _RULES for p in evaluation.default_paths(t)})
+
+
+def _taxonomy(p):
+    """Every question on an overridden path, answered in one of seven ways by anchor and path: right, by the biological reading, with the anchor added, a part only, not at all, by the anchor alone, a part with the anchor."""
+    edges = written(base._edges(p))
+    rules = p.sparkSession.createDataFrame(_RULES, "kinship_system string, path string, kin_term string")
+    found = paths.traverse_all(edges, p, sorted({x for _, x, _ in _RULES})).filter("anchor <> node").groupBy("anchor", "path").agg(F.array_sort(F.collect_set("node")).alias("gold"))
+    asked = written(found.join(F.broadcast(rules), "path"))
+    df = evaluation.with_defaults(asked, edges)
+    me, part = F.array("anchor"), F.slice("gold", 1, 1)
+    ways = [F.col("gold"), F.col("default"), F.concat("gold", me), part, F.array().cast("array<int>"), me, F.concat(part, me)]
+    answers = df.withColumn("predicted", F.element_at(F.array(*ways), (F.pmod(F.col("anchor") * 31 + F.length("path"), F.lit(7)) + 1).cast("int")))
+    return evaluation.taxonomy(answers)
+
+
+_add(
+    "taxonomy_defaults",
+    base._graph(_taxonomy),
+    base._sql(
+        """SELECT kinship_system, count(*) FILTER (class = 'over') AS over_inclusion, count(*) FILTER (class = 'default') AS default_substitution, count(*) FILTER (class = 'disjoint') AS wrong_disjoint, count(*) FILTER (class = 'overlap') AS partial_overlap, count(*) FILTER (class = 'under') AS partial_under, count(*) FILTER (class = 'empty') AS empty_format
+        FROM (SELECT kinship_system, CASE WHEN len(p) = len(g) AND len(list_intersect(p, g)) = len(g) THEN NULL WHEN len(p) = 0 THEN 'empty' WHEN len(list_intersect(p, g)) = len(g) THEN 'over' WHEN len(list_intersect(p, g)) = len(p) THEN 'under' WHEN len(list_intersect(p, g)) > 0 THEN 'overlap' WHEN len(list_intersect(p, d)) = len(p) THEN 'default' ELSE 'disjoint' END AS class
+          FROM (SELECT *, CASE (anchor * 31 + length(path)) % 7 WHEN 0 THEN g WHEN 1 THEN d WHEN 2 THEN list_append(g, anchor) WHEN 3 THEN g[1:1] WHEN 4 THEN [] WHEN 5 THEN [anchor] ELSE [g[1], anchor] END AS p FROM q)) WHERE class IS NOT NULL GROUP BY kinship_system""",
+        *base._E, base._tree(sorted({x for _, x, _ in _RULES} | {x for _, x in _READ})),
+        f"rules(kinship_system, path, kin_term) AS (VALUES {base._values(_RULES)}), readings(kin_term, reading) AS (VALUES {base._values(_READ)})",
+        "gold AS MATERIALIZED (SELECT anchor, path, list(DISTINCT node ORDER BY node) AS g FROM tn WHERE anchor <> node GROUP BY ALL)",
+        "def AS MATERIALIZED (SELECT anchor, kin_term, list(DISTINCT node) AS d FROM tn JOIN readings ON reading = path WHERE anchor <> node GROUP BY ALL)",
+        "q AS (SELECT kinship_system, anchor, path, g, coalesce(d, []) AS d FROM gold JOIN rules USING (path) LEFT JOIN def USING (anchor, kin_term))",
+    ),
+)
