@@ -66,17 +66,39 @@ def loss_text(formatted: Column, learned_role: str = LEARNED_ROLE) -> Column:
     return F.array_join(F.transform(F.filter(parse(formatted), lambda t: t["role"] == learned_role), lambda t: t["text"]), "")
 
 
+def masked_text(segments: Column) -> Column:
+    """All text under the loss mask, unescaped, in order, nothing between. Cutting the formatted string by loss_spans() gives the same, but each cut would count characters from the start again."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+
+#: Numbers of a piece of running().
+_PIECE = 512
+
+
+def running(numbers: Column) -> Column:
+    """The running sums of an array of longs. An aggregate() that appends copies what it has each time, so the array is summed in pieces, whose sums are small enough for that."""
+    grow = lambda first: lambda xs: F.aggregate(xs, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    zero = F.lit(0).cast("long")
+
+    def summed(xs: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(_PIECE)), lambda i: F.slice(xs, i, _PIECE))
+
+        def placed(cut: Column) -> Column:
+            before = grow(zero)(F.transform(cut, lambda c: F.aggregate(c, zero, lambda a, x: a + x)))
+            ends = lambda c, start: F.slice(grow(start)(c), F.lit(2), F.greatest(F.size(c), F.lit(0)))
+            return common.let(before, lambda at: F.flatten(F.transform(cut, lambda c, k: ends(c, F.get(at, k)))))
+
+        return common.let(pieces, placed)
+
+    return common.let(numbers, summed)
+
+
 def loss_spans(segments: Column) -> Column:
     """The loss mask as array<struct<start long, end long>>: half-open ranges of code points of the formatted string."""
-    at = F.aggregate(
-        segments,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + F.char_length(s["text"])).alias("at"),
-            F.when(s["loss"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.char_length(s["text"])).alias("end"))))).otherwise(a["out"]).alias("out"),
-        ),
-    )
-    return at["out"]
+    length = lambda s: F.char_length(s["text"]).cast("long")
+    ends = running(F.transform(segments, length))
+    span = lambda s, end: F.struct((end - length(s)).alias("start"), end.alias("end"), s["loss"].alias("loss"))
+    return F.transform(F.filter(F.zip_with(segments, ends, span), lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +107,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LEARNED_ROLE).alias("role"), F.lit(said).alias("text"))
     df = format_conversations(rows.unionByName(probe))
-    df = df.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted")).alias("loss"))
+    df = df.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked_text(F.col("segments")).alias("loss"))
     return df.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

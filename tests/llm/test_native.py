@@ -96,3 +96,16 @@ def test_url_filter_uses_the_entries_of_the_day(spark):
 def test_rules_can_be_filtered(spark):
     df = quality_rules.judge(docs(spark, [(1, "the plain word " * 3, "s"), (2, " ".join(f"the w{k}" for k in range(60)), "s")]))
     assert [r["doc_id"] for r in df.filter("kept").select("doc_id").collect()] == [2]
+
+
+def test_loss_mask_of_long_conversations_and_clashing_columns(spark):
+    said = lambda k: ("x" * (k % 7) + "é<|im_end|>\\" * (k % 3)) if k % 5 else None
+    rows = [(1, k, ("user", "assistant", "assistant", None)[k % 4], said(k)) for k in range(3000)] + [(2, 0, "assistant", "long " * 400_000), (None, 0, "assistant", "lone"), (3, 0, "user", "no loss")]
+    turns = spark.createDataFrame([(*r, "f", "s") for r in rows], "conv_id long, turn int, role string, text string, formatted string, segments string")
+    df = chat_format.format_conversations(turns)
+    for r in df.select("conv_id", "formatted", "segments", chat_format.loss_spans(df["segments"]).alias("spans"), chat_format.masked_text(df["segments"]).alias("loss")).collect():
+        learned = [t or "" for c, _, role, t in rows if c == r["conv_id"] and role == "assistant"]
+        assert r["loss"] == "".join(learned) and len(r["spans"]) == len(learned)
+        cuts = [r["formatted"][a:b] for a, b in r["spans"]]
+        assert [c.replace("<\\|", "<|").replace("\\\\", "\\") for c in cuts] == learned
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
