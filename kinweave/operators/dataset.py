@@ -25,6 +25,9 @@ EXTENDED_QUOTAS = ((1, None, 50), (2, 2, 40), (2, 3, 40), (2, 4, 40), (2, 5, 40)
 FOUR_HOP_IDS, LONG_HOP_IDS = 501, 801
 FOUR_HOP_COUNT, LONG_HOP_COUNT = 50, 25
 
+#: The time span of the graph that a system's longer questions need, as its skewed terms need more generations.
+LONG_HOP_GRAPH = {"hawaiian": "200yr", "crow": "200yr", "omaha": "200yr", "iroquois": "extended", "dravidian": "extended"}
+
 _ROW = ("category", "n_hops", "anchor", "anchor_name", "question_text", "ids", "names", "single", "number", "context", "path", "bio_term", "kin_term", "has_override", "size", "kind")
 
 
@@ -178,6 +181,22 @@ def further(edges: DataFrame, people: DataFrame, system: str, hops: tuple[int, .
     return as_questions(sampled(rows, system, tuple((4, h, count) for h in hops), seed, first), system)
 
 
+def further_of_all(graphs: dict[tuple[str, str], tuple[DataFrame, DataFrame]], seed: int = 42, strict: bool = False) -> DataFrame:
+    """Further questions of 5 and 6 hops of every system that has overrides, each from its own graph: graphs holds (edges, people) by (system, time span); a system whose graph isn't there is an error."""
+    parts = []
+    for system, span in LONG_HOP_GRAPH.items():
+        if (system, span) not in graphs:
+            raise ValueError(f"{system} needs its graph of {span}")
+        edges, people = graphs[system, span]
+        parts.append(further(edges, people, system, (5, 6), LONG_HOP_COUNT, LONG_HOP_IDS, seed, strict))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def path_label(path: Column) -> Column:
+    """A path's predicates (an array) as one text, joined by slashes."""
+    return F.concat_ws("/", path)
+
+
 def candidates_none(edges: DataFrame, people: DataFrame, system: str) -> DataFrame:
     """An empty question set."""
     empty = fact_rows(edges.limit(0), people.limit(0)).withColumn("question_id", F.lit(""))

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import kinship_terms as K
+from ..operators import dataset as D
 from ..operators import evaluation, paths
 from ..operators import patterns as GP
 from ..operators import regular_paths as RP
 from ..operators.band import age_in_year, band_join
 from ..sources import turtle as T
+from ..sources.datasets import gold
 from ..sources.shared import folder, written
 from ..sources.turtle_format import TurtleSource
 from ..streaming import answers
@@ -197,3 +199,44 @@ _add(
         "q AS (SELECT kinship_system, anchor, path, g, coalesce(d, []) AS d FROM gold JOIN rules USING (path) LEFT JOIN def USING (anchor, kin_term))",
     ),
 )
+
+# --- override questions of every system: augmentation and quotas ----------------------------
+
+
+def _override_sql(system: str, rules: list[tuple[str, str]], quotas: dict[int, int], first: int, columns: str) -> str:
+    """The first questions of each number of hops in the seeded order, by system, with ids from first on."""
+    label = system.capitalize()
+    quota = "CASE n_hops " + " ".join(f"WHEN {h} THEN {n}" for h, n in quotas.items()) + " END"
+    return base._sql(
+        f"""SELECT {columns} FROM (SELECT *, '{system}_' || lpad(({first - 1} + row_number() OVER (ORDER BY n_hops, r))::VARCHAR, 4, '0') AS question_id FROM (
+        SELECT *, row_number() OVER (PARTITION BY n_hops ORDER BY md5('42|' || question_text), question_text, path) AS r FROM (
+        SELECT *, row_number() OVER (PARTITION BY question_text, n_hops ORDER BY path, anchor) AS k FROM (SELECT anchor, path, bio_term, array_to_string(names, '|') AS names, len(string_split(path, '.'))::INT AS n_hops, kin_term, x.text AS question_text, x.answer AS answer FROM (SELECT *, unnest([
+        {{'text': 'In the {label} kinship system, ' || CASE len(names) WHEN 1 THEN 'who is P' || anchor || '''s ' || kin_term ELSE 'who are P' || anchor || '''s ' || kin_term || 's' END || '?', 'answer': array_to_string(names, '|')}},
+        {{'text': 'In the {label} system, ' || array_to_string(names, ', ') || CASE len(names) WHEN 1 THEN ' is called P' || anchor || '''s ''' || kin_term ELSE ' are called P' || anchor || '''s ''' || kin_term || 's' END || '''. What is their actual biological relationship?', 'answer': bio_term}},
+        {{'text': 'List all of P' || anchor || '''s ' || kin_term || 's according to the {label} system.', 'answer': array_to_string(names, '|')}}]) AS x FROM rn JOIN ov USING (path) JOIN bio USING (path)))) WHERE k = 1) WHERE r <= {quota})""",
+        *base._E, base._tree([p for p, _ in rules]), base._RN, base._BIO_EVERY, f"ov(path, kin_term) AS (VALUES {base._values(rules)})",
+    )
+
+
+def _further(p, system, hops, count, first):
+    df = D.further(base._edges(p), base._people(p), system, hops, count, first)
+    return df.select("question_id", "n_hops", "question_text", "kin_term", F.concat_ws("|", gold(F.col("ground_truth"))).alias("answer"))
+
+
+def _overridden(p, system):
+    """The category 4 part of a system's question set, by its quotas."""
+    hops = {h for c, h, _ in D.QUOTAS if c == 4}
+    found = D.path_rows(base._edges(p), base._people(p), [x for s, x, *_ in K.overrides() if s == system and x.count(".") + 1 in hops])
+    rows = D.sampled(D.override_rows(found, system), system)
+    return rows.select("question_id", "n_hops", "question_text", "path", "bio_term", "kin_term", F.concat_ws("|", "names").alias("names"))
+
+
+for _system in ("hawaiian", "iroquois", "dravidian", "crow", "omaha"):
+    for _hops, _count, _first in (((4,), D.FOUR_HOP_COUNT, D.FOUR_HOP_IDS), ((5, 6), D.LONG_HOP_COUNT, D.LONG_HOP_IDS)):
+        _mine = [(p, t) for s, p, t, _ in K.overrides(True) if s == _system and p.count(".") + 1 in _hops]
+        _name = f"augment_{_system}_{'_'.join(map(str, _hops))}hop"
+        if _system != "crow":  # which the base registry has
+            _add(_name, base._graph(lambda p, s=_system, h=_hops, n=_count, f=_first: _further(p, s, h, n, f)), _override_sql(_system, _mine, dict.fromkeys(_hops, _count), _first, "question_id, n_hops, question_text, kin_term, answer"))
+    _quotas = {h: n for c, h, n in D.QUOTAS if c == 4}
+    _mine = [(p, t) for s, p, t, _ in K.overrides() if s == _system and p.count(".") + 1 in _quotas]
+    _add(f"question_set_{_system}_overrides", base._graph(lambda p, s=_system: _overridden(p, s)), _override_sql(_system, _mine, _quotas, 1, "question_id, n_hops, question_text, path, bio_term, kin_term, names"))
