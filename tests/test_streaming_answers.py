@@ -45,3 +45,13 @@ def test_batches_in_any_order_give_the_last_answers(spark, tmp_path):
 
 def test_an_empty_stream_gives_no_rows(spark, tmp_path):
     assert run(spark, tmp_path, [[]])[1] == {}
+
+
+def test_many_keys_need_no_python_call_each(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("concat('k', id % 20000) AS key", "timestamp_seconds(id) AS answered", "timestamp_seconds(id) AS arrived", "id AS seq", "concat('r', id) AS response", "1 AS n")
+    rows.repartition(2).write.parquet(f"file://{tmp_path}/in")
+    plans = []
+    states = answers.replayed(spark, f"file://{tmp_path}/in", SCHEMA, lambda s: plans.append(answers.last_answers(s, "10 MINUTES")) or plans[0], 1)
+    got = answers.merged(states)
+    assert got.count() == 20_000 and got.filter("n <> 2 or late <> 0 or seq < 20000 or response <> concat('r', seq)").isEmpty()
+    assert "InPandas" not in plans[0]._jdf.queryExecution().analyzed().toString()
