@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import connected_components
+from .graph import connected_components, rooted, stars
 
 SEED = 42
 SHINGLE = 3
@@ -278,7 +278,7 @@ def _prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 
 def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: similar pairs of different classes that give the components of all similar pairs."""
+    """a, b: pairs of different classes that give the components of all similar pairs: similar ones, and stars in place of those that were already joined."""
     up, down = similarity
     keyed = classes.select("cls", "n", "fp", F.explode("sketch").alias("token"))
     # Most elements occur in one class only and go here.
@@ -307,7 +307,8 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
     hubs = members.groupBy("token").agg(F.array_distinct(F.array(*[hub(k) for k in range(HUBS)])).alias("hubs"))
     me = F.struct("cls", "n", "fp").alias("p")
     first = verified(candidates(members.join(hubs, "token").select(me, F.explode("hubs").alias("q"))))
-    roots = connected_components(first, "a", "b").withColumnRenamed("node", "cls")
+    met = stars(first, "a", "b")
+    roots = rooted(met).withColumnRenamed("node", "cls")
     named = common.saved(members.join(roots, "cls", "left").select("token", "m", "cls", "n", "fp", F.coalesce("root", "cls").alias("root")))
 
     def mixed(df: DataFrame) -> DataFrame:
@@ -343,10 +344,11 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle
     some = [F.min(F.struct(F.xxhash64("cls", "token", F.lit(k)).alias("h"), "cls", "n", "fp")).dropFields("h") for k in range(TRIED)]
     near = ranked.filter("root = main").groupBy("token").agg(F.array_distinct(F.array(*some)).alias("hubs"))
     tried = verified(candidates(ranked.filter("root <> main").join(near, "token").select(F.struct("cls", "n", "fp").alias("p"), F.explode("hubs").alias("q"))))
-    again = connected_components(first.unionByName(tried), "a", "b").withColumnRenamed("node", "cls").withColumnRenamed("root", "now")
+    met = stars(met.toDF("a", "b").unionByName(tried), "a", "b")
+    again = rooted(met).toDF("cls", "now")
     left = mixed(ranked.drop("main").join(again, "cls", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
     rest = candidates(rest).unionByName(candidates(across(left, F.col("at")))).distinct()
-    return first.unionByName(tried).unionByName(verified(rest))
+    return met.toDF("a", "b").unionByName(verified(rest))
 
 
 def _near(docs: DataFrame, key: str, text: str, shingle: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Near-duplicates by five-word shingles against brute force."""
 
+import random
 from itertools import combinations
 
 import numpy as np
@@ -62,3 +63,47 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(-1, "one"), (2, "a second text under a repeated id"), (2, "one"), (4, " \t\n"), (9, "lone words here that differ from all")]
     assert simhash.near_dedup(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
+
+
+def _components(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in list(root)}
+
+
+def _jobs(spark, group, run):
+    spark.sparkContext.setJobGroup(group, "")
+    out = run()
+    spark.sparkContext._jsc.clearJobGroup()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_are_right_and_finished_stars_cost_few_jobs(spark):
+    from kinweave.llm.graph import connected_components
+
+    rng = random.Random(5)
+    shapes = {
+        "chain": [(k, k + 1) for k in range(40)],
+        "two chains, mixed": [(k * 7 % 41, (k + 1) * 7 % 41) for k in range(40)] + [(100 + k, 101 + k) for k in range(9)],
+        "random": [(rng.randrange(200), rng.randrange(200)) for _ in range(150)],
+        "repeated and reversed": [(1, 2), (2, 1), (1, 2), (3, 2), (5, 5), (-4, 9), (9, 8)],
+        "stars": [(k, 10 * (k // 10)) for k in range(1, 60) if k % 10],
+        "double star": [(k, 0) for k in range(2, 20)] + [(k, 1) for k in range(2, 20)],
+        "loops only": [(3, 3)],
+        "none": [],
+    }
+    jobs = {}
+    for name, edges in shapes.items():
+        df = spark.createDataFrame(edges, "a long, b long")
+        rows, jobs[name] = _jobs(spark, name, lambda df=df: connected_components(df, "a", "b").collect())
+        assert len(rows) == len({r["node"] for r in rows}), name
+        assert {r["node"]: r["root"] for r in rows} == _components([e for e in edges if e[0] != e[1]]), name
+    assert jobs["stars"] <= 12, jobs
