@@ -60,3 +60,15 @@ def test_pairs_are_compared_by_profile(people, monkeypatch):
     whole, single = S._Totals(1000), S._Totals(1000)
     S._meet(a, b, False, whole, single)
     assert seen == [1] and whole.cells[0][whole.columns[3 << 32 | 3]].tolist() == [1000] * 1000
+
+
+def test_blocks_that_share_no_younger_ancestors_do_not_meet(people, monkeypatch):
+    """Relatives by the oldest are counted by kinds; the same totals, whichever are the oldest."""
+    monkeypatch.setattr(S, "MANY", 2)
+    monkeypatch.setattr(S, "totals", lambda *_: pytest.fail("every block met every other"))
+    pairs = G.mrca(people).groupBy("a", "da", "db").agg(F.count("*").alias("n"), F.sum("b"), F.sum("mrca"))
+    assert _set(G.mrca_totals(people)) == _set(pairs)
+    found = G.cousins(people).localCheckpoint()
+    assert _set(G.cousin_totals(people)) == _set(found.groupBy("src", "degree", "type").agg(F.count("*"), F.sum("dst")))
+    monkeypatch.setattr(S, "_oldest", lambda members, above: members.filter("id % 3 = 0").select(F.col("id").alias("anc")))
+    assert _set(G.mrca_totals(people)) == _set(pairs)
